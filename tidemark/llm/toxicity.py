@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other texts count as unlabelled, toxic ones among
-them included. The risk is that of Kiryo et al. (2017): prior * E_P[loss(+)] + max(0, E_U[loss(-)]
+Confirmed toxic texts are the positives; the unlabelled sample is drawn from all texts, toxic ones
+included. The risk is that of Kiryo et al. (2017): prior * E_P[loss(+)] + max(0, E_U[loss(-)]
 - prior * E_P[loss(-)]), with the logistic loss, so the logit estimates the true odds. The model is
 linear, with an L1 penalty, over words and word beginnings, which also meet inflected forms, and over
 whether one, two or four different words of a text have them. It is fitted with numpy on a sample bounded by ``MAX_POSITIVE``
@@ -25,7 +25,7 @@ from tidemark.llm.common import crc_of_id, text_slices
 MAX_POSITIVE, MAX_UNLABELLED = 1500, 6000
 #: Features of the model, sampled positives that must hold one, how many times likelier it must be in them, and by
 #: how many standard deviations.
-MAX_FEATURES, LEAST_POSITIVE, LIFT, DEVIATIONS = 20_000, 5, 2.0, 5.0
+MAX_FEATURES, LEAST_POSITIVE, LIFT, DEVIATIONS = 20_000, 4, 2.0, 5.0
 #: Lengths of word beginnings, and how many different words of a text must have a feature.
 BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.3
@@ -88,10 +88,9 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | No
         return None
     places = marks.select("doc_id", (F.col("_toxic") == 1).alias("_positive"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & train).distinct().join(places, "doc_id", "left")
-    ids = ids.withColumn("_positive", F.coalesce("_positive", F.lit(False)))
-    key = F.xxhash64(F.lit("toxicity"), "doc_id")
-    some = [ids.where(c).orderBy(key, "doc_id").limit(k) for c, k in (("_positive", MAX_POSITIVE), ("not _positive", MAX_UNLABELLED))]
-    chosen = some[0].unionByName(some[1])
+    first = lambda rows, k: rows.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(k)
+    # the unlabelled sample is drawn from all rows, confirmed ones included, as the prior is theirs
+    chosen = first(ids.where("_positive"), MAX_POSITIVE).unionByName(first(ids, MAX_UNLABELLED).withColumn("_positive", F.lit(False)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # MAX_POSITIVE + MAX_UNLABELLED rows
     return rows.select("text", "_positive"), told["k"] / told["n"]
 
