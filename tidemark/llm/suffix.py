@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_slices, written
+from tidemark.llm.common import drop_written, text_slices, written
 
 #: Words of a passage that counts as repeated.
 PASSAGE = 50
@@ -101,6 +101,10 @@ class Words:
         return starts, place[starts]
 
 
+def _as_numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks())
+
+
 def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str) -> DataFrame:
     """Rows of ``df`` whose key equals that of the row before (with ``both``, or after) in the order of key and ``order``."""
     names = df.columns
@@ -130,6 +134,11 @@ def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str)
             on = np.append(held_on if held is not None else False, same)
             if both:
                 on[:-1] |= same
+            else:  # equal rows are one place: they are told what the first of them is
+                place = [c for c in order if table[c].null_count == 0]
+                equal = np.logical_and.reduce([same, *(_as_numbers(table[c])[1:] == _as_numbers(table[c])[:-1] for c in place)])
+                lead = np.maximum.accumulate(np.where(np.append(False, equal), 0, np.arange(len(on))))
+                on = on[lead]
             if first:  # kind 1: the first row of a task, 2: the last one
                 yield told(table.slice(0, 1), np.array([1]))
             first = False
@@ -177,6 +186,7 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     kept = written(base.mapInArrow(suffixes, f"key long, doc_id {id_type}, _h long, at int"), "suffixes")
     twice = _neighbours(kept, "key", ["doc_id", "_h", "at"], True, "matches")
+    drop_written(kept)
     marked = twice.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     marked = marked.withColumnsRenamed({"doc_id": "_d", "_h": "_g"})
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))
@@ -198,8 +208,10 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 names=["key", "doc_id", "_h", "at"],
             )
 
-    extended = written(suspects.mapInArrow(passages, f"key long, doc_id {id_type}, _h long, at int").distinct(), "passages")
-    return _neighbours(extended, "key", ["doc_id", "_h", "at"], False, "repeats").select("doc_id", "_h", "at")
+    extended = written(suspects.mapInArrow(passages, f"key long, doc_id {id_type}, _h long, at int"), "passages")
+    found = _neighbours(extended, "key", ["doc_id", "_h", "at"], False, "repeats").select("doc_id", "_h", "at")
+    drop_written(extended)
+    return found
 
 
 def _cut(text: bytes, ats: np.ndarray, passage: int) -> tuple[bytes, list[dict], int]:
