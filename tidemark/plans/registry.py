@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import fleet, paging, scheduling, scoring, telemetry, transcripts, writes
+from tidemark.plans.register import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (telemetry, scheduling, transcripts, paging, fleet, scoring, writes):
+    QUERIES |= _part.registry.queries
+    ORACLE_SQL |= _part.registry.oracle
 FLAGSHIP = "alert_windowed_counts"
