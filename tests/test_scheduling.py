@@ -72,7 +72,7 @@ def test_weekly_keeps_wall_time_over_the_jump(spark):
 
 
 def test_biweekly_follows_the_anchor_week(spark):
-    got = run(spark, "2024-01-15 00:00:00", "2024-02-13 00:00:00", frequency="BIWEEKLY")
+    got = run(spark, "2024-01-15 00:00:00", "2024-02-13 00:00:00", frequency="BIWEEKLY", anchor_start=dt.datetime(2024, 1, 1, 12))
     assert [a for a, _ in got] == ["01-15 14:00", "01-29 14:00", "02-12 14:00"]
 
 

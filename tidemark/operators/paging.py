@@ -39,7 +39,7 @@ def from_cursor(text: Column, schema: str) -> Column:
     raw = F.translate(text, "-_", "+/")
     padded = F.concat(raw, F.repeat(F.lit("="), F.pmod(F.lit(4) - F.pmod(F.length(raw), F.lit(4)), F.lit(4))))
     ok = padded.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.pmod(F.length(raw), F.lit(4)) != 1)
-    return F.from_json(F.when(ok, F.decode(F.unbase64(padded), "UTF-8")), schema)
+    return F.from_json(F.when(ok, F.unbase64(padded)).cast("string"), schema)
 
 
 def letter_trigrams(text: Column) -> Column:
