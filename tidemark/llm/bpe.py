@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import text_slices
 
 #: Text of one index; larger batches share more words.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words whose ids a Python worker remembers, across its tasks.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Marks that often end a word.
 PLAIN_ENDS = frozenset(".,;:!?")
 
@@ -45,10 +46,23 @@ def _folded(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+def _unassigned(text: str) -> set[str]:
+    """Characters that Python's tables don't know; the regex module and the tokenizers library have newer ones."""
+    return set() if text.isascii() else {c for c in set(text) if unicodedata.category(c) == "Cn"}
+
+
+@cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class PairIndexBPE:
     """Encoder and decoder for a BPE vocabulary with word ends, lower case and white space dropped."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -143,24 +157,36 @@ class PairIndexBPE:
         """Words and special tokens of a raw chunk that may hold special tokens; those are found before any folding."""
         out: list[str] = []
         for part in self.special_split.split(chunk) if self.special_split else [chunk]:
-            out += [part] if part in self.special else self.words.findall(_folded(part))
+            if part in self.special:
+                out.append(part)
+            elif _unassigned(part):
+                out += self._by_library(part)
+            else:
+                out += self.words.findall(_folded(part))
         return out
 
+    def _by_library(self, part: str) -> list[str]:
+        """Words of a text with letters newer than Python's character tables, as the tokenizers library sees them."""
+        t = _library(self.path)
+        part = t.normalizer.normalize_str(part)
+        return [part[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(part)]
+
     def _words_of(self, chunks: list[str]) -> tuple[list[str], list[int]]:
         """The words of all chunks, and how many each has. Chunks hold no ASCII white space, so folding them by lines is safe."""
         text = "\n".join(chunks)
-        odd = bool(self.special) and "<|" in text
+        odd = self.special.keys() | _unassigned(text)
+        odd = re.compile("|".join(map(re.escape, odd))) if any(o in text for o in odd) else None
         words: list[str] = []
         counts: list[int] = []
         for k, low in enumerate(_folded(text).split("\n")):
-            if low.isalpha():
+            if low.isalpha() and not (odd and odd.search(chunks[k])):
                 words.append(low)
                 counts.append(1)
-            elif low[-1:] in PLAIN_ENDS and low[:-1].isalpha():
+            elif odd is None and low[-1:] in PLAIN_ENDS and low[:-1].isalpha():
                 words += (low[:-1], low[-1])
                 counts.append(2)
             else:
-                part = self._pieces(chunks[k]) if odd and "<|" in chunks[k] else self.words.findall(low)
+                part = self._pieces(chunks[k]) if odd and odd.search(chunks[k]) else self.words.findall(low)
                 words += part
                 counts.append(len(part))
         return words, counts

@@ -73,3 +73,25 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
 
 def crc_of_id(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string"))
+
+
+#: Columns of documents that operators read by name.
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with every other column under a name that nothing inside an operator uses, and the names now in place."""
+    inner = [c if c in CORE else f"in_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), inner
+
+
+def restored(df: DataFrame, docs: DataFrame, inner: list[str], *extra: str) -> DataFrame:
+    """The columns of ``docs`` under their own names, then those of ``extra``, with underscores added where a name is taken."""
+    taken = {c.lower() for c in docs.columns}
+    said = []
+    for e in extra:
+        name = e
+        while name.lower() in taken:
+            name += "_"
+        said.append(F.col(e).alias(name))
+    return df.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)), *said)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_slices, written
+from tidemark.llm.common import restored, shielded, text_slices, written
 from tidemark.llm.components import connected_components, local_labels
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into blocks of this.
@@ -256,6 +256,7 @@ def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 24
     """
     names = [f"_f{k}" for k in range(lanes)]
     key = F.xxhash64("text")
+    outer, (docs, inner) = docs, shielded(docs)
     prints = fingerprints(docs.select("doc_id", "text", key.alias("_h")), width, lanes).drop("text")
     prints = written(prints, "prints")
     groups = near_duplicates(prints, width, lanes, max_bits, count)
@@ -270,6 +271,6 @@ def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 24
     on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_g"))
     one = docs.join(kept.where("_n = 1"), on, "left_semi")
     if kept.where("_n > 1").isEmpty():
-        return one
+        return restored(one, outer, inner)
     again = docs.join(kept.where("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(again)
+    return restored(one.unionByName(again), outer, inner)

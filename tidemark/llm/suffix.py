@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, text_slices, written
+from tidemark.llm.common import drop_written, restored, shielded, text_slices, written
 
 #: Words of a passage that counts as repeated.
 PASSAGE = 50
@@ -240,6 +240,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     stay as they are; rows of equal id and text are one place, so all of them keep it; null ids come
     first; a text may end up empty; an empty table gives none.
     """
+    outer, (docs, inner) = docs, shielded(docs)
     places = repeated_places(docs, passage).groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
     places = places.agg(F.collect_list("at").alias("_ats"))
     on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_g"))
@@ -271,4 +272,5 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 [*cols.values(), pa.array(spans, span), pa.array(sizes, pa.int64())], names=[*cols, "_spans", "_words"]
             )
 
-    return joined.mapInArrow(run, f"{schema}, _spans array<struct<`from`:int,`to`:int>>, _words long")
+    cut = joined.mapInArrow(run, f"{schema}, _spans array<struct<`from`:int,`to`:int>>, _words long")
+    return restored(cut, outer, inner, "_spans", "_words")

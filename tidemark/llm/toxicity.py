@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, text_slices
+from tidemark.llm.common import crc_of_id, restored, shielded, text_slices
 
 MAX_POSITIVE, MAX_UNLABELLED = 1500, 6000
 #: Features of the model, sampled positives that must hold one, how many times likelier it must be in them, and by
@@ -29,7 +29,7 @@ MAX_FEATURES, LEAST_POSITIVE, LIFT, DEVIATIONS = 20_000, 4, 2.0, 5.0
 #: Lengths of word beginnings, and how many different words of a text must have a feature.
 BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.3
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 MARKS = ".,;:!?\"'()[]{}<>|*_-–—«»“”‘’¿¡…#@/\\"
 
 
@@ -75,7 +75,16 @@ def nnpu(
         step = pace * m / (1 - 0.9**t)
         w, b = w - step[:-1], b - float(step[-1])
         w = np.sign(w) * np.maximum(np.abs(w) - sparse * pace[:-1], 0)
-    return w, b
+    return w, b + _shift(np.bincount(row, w[flat], len(rows))[~positive] + b, prior)
+
+
+def _shift(z: np.ndarray, prior: float) -> float:
+    """What logits have to move for the mean score of the unlabelled to be the class prior."""
+    lo, hi = -30.0, 30.0
+    for _ in range(60 if len(z) else 0):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (1 / (1 + np.exp(-np.clip(z + mid, -40, 40)))).mean() > prior else (mid, hi)
+    return (lo + hi) / 2
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
@@ -197,4 +206,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; every column stays."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < threshold).drop("_score")
+    rows, inner = shielded(docs)
+    return restored(score(rows, fit(docs, labels)).where(F.col("_score") < threshold), docs, inner)
