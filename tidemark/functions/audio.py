@@ -86,3 +86,24 @@ def vad_stats(ranges: Column, total: Column) -> Column:
         ratio.alias("active_ratio"), F.size(ranges).alias("segments"), F.try_divide(speech, F.size(ranges)).alias("mean_seconds"),
         F.when(ratio < 1, speech / (total - speech)).alias("speech_to_pause"),
     )
+
+
+def _block_levels(samples: Column, block: int) -> Column:
+    """dBFS of consecutive blocks; a last shorter one is left out."""
+    n = F.floor(F.size(samples) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: dbfs(rms(F.slice(samples, k * block + 1, F.lit(block)))))
+    return F.when(n > 0, blocks)
+
+
+def noise_floor(samples: Column, block: int = 160) -> Column:
+    """Tenth percentile of the blocks' levels, interpolated; null without a whole block."""
+    s = F.sort_array(_block_levels(samples, block))
+    at = (F.size(s) - 1) * 0.1
+    lo = F.floor(at).cast("int")
+    a, b = F.element_at(s, lo + 1), F.element_at(s, F.least(lo + 2, F.size(s)))
+    return a + (b - a) * (at - lo)
+
+
+def snr(samples: Column, block: int = 160) -> Column:
+    """Level of the whole over the noise floor, in dB."""
+    return dbfs(rms(samples)) - noise_floor(samples, block)
