@@ -49,13 +49,13 @@ def checks() -> list[Check]:
     ]
 
 
-def findings(settings: DataFrame, chosen: Sequence[Check] | None = None) -> DataFrame:
-    """(env, id, category, severity) of every broken rule, in one pass over the settings."""
+def findings(settings: DataFrame, chosen: Sequence[Check] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, env, id, category, severity) of every broken rule, in one pass over the settings."""
     env = F.when(F.col("declared_env").isin(*ENVIRONMENTS), F.col("declared_env")).otherwise("production")
     at = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array_position(F.array(*map(F.lit, ENVIRONMENTS)), F.col("env")).cast("int"))
     cells = [
         F.when(F.coalesce(c.broken, F.lit(False)), F.struct(F.lit(c.id).alias("id"), F.lit(c.category).alias("category"), F.element_at(F.array(*map(F.lit, c.severity)), at).alias("severity")))
         for c in (checks() if chosen is None else chosen)
     ]
-    rows = settings.withColumn("env", env).select("env", F.explode(F.array_compact(F.array(*cells))).alias("f"))
-    return rows.select("env", "f.*").where("severity <> 'ok'")
+    rows = settings.withColumn("env", env).select(*keys, "env", F.explode(F.array_compact(F.array(*cells))).alias("f"))
+    return rows.select(*keys, "env", "f.*").where("severity <> 'ok'")
