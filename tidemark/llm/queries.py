@@ -61,4 +61,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity, op7_mixing, op8_simhash, op9_minimax_sharding, op10_suffix_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: All pairs and a closure: fit for the small tables on which results are compared.
+ORACLE_SQL: dict[str, str] = {
+    "op1_pq_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+      c AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.other),
+      k AS (SELECT vec_id, min(other) AS component_id FROM c GROUP BY 1)
+      SELECT k.vec_id, coalesce(n.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = k.vec_id""",
+}
