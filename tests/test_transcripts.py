@@ -131,3 +131,38 @@ def test_stream_increments_and_alerts(spark, tmp_path):
     rows = [[("a", t(1), "p", 5.0), ("a", t(2), "p", 8.0), ("a", t(3), "q", 2.0)]]
     drained(jobs.increments(memory_stream(spark, tmp_path, rows, schema), "1 minute"), "inc", tmp_path)
     assert sorted(r["increment"] for r in spark.table("inc").collect()) == [0.0, 2.0, 3.0]
+
+
+def test_stream_window_counts(spark, tmp_path):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [[("a", t(k)) for k in range(5)] + [("b", t(1))], [("c", t(500))]]
+    s = memory_stream(spark, tmp_path, rows, "who string, ts timestamp")
+    drained(jobs.windowed_alerts(s, ["who"], "ts", "1 minute", "10 seconds", 3), "alerts", tmp_path)
+    assert [(r["who"], r["n"]) for r in spark.table("alerts").collect()] == [("a", 5)]
+
+
+def test_stream_latency_join(spark, tmp_path):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    a = memory_stream(spark, tmp_path / "a", [[("x", t(1)), ("y", t(2))]], "k string, sent timestamp")
+    b = memory_stream(spark, tmp_path / "b", [[("x", t(3)), ("y", t(300))]], "k string, received timestamp")
+    drained(jobs.latency_join(a, b, "k", "1 minute", "60 SECONDS"), "latency", tmp_path)
+    assert [(r["k"], r["latency_ms"]) for r in spark.table("latency").collect()] == [("x", 2000.0)]
+
+
+def test_stream_agreement(spark, tmp_path):
+    s = memory_stream(spark, tmp_path, [[("s", 1, ["a", "b"]), ("s", 2, ["a", "c"]), ("s", 3, ["a", "c", "d"])]], "session string, seq int, words array<string>")
+    drained(jobs.agreed(s), "agreed", tmp_path)
+    assert [w for r in spark.table("agreed").collect() for w in r["words"]] == ["a", "c"]
+
+
+def test_stream_upsert_keeps_the_newest(spark, tmp_path):
+    s = memory_stream(spark, tmp_path, [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]], "k string, v int, w string")
+    q = jobs.upserted(s, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
+    got = {r["k"]: r["w"] for r in spark.read.parquet(str(tmp_path / "out" / last)).collect()}
+    assert got == {"a": "z", "b": "y"}
