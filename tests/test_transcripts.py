@@ -166,3 +166,16 @@ def test_stream_upsert_keeps_the_newest(spark, tmp_path):
     last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
     got = {r["k"]: r["w"] for r in spark.read.parquet(str(tmp_path / "out" / last)).collect()}
     assert got == {"a": "z", "b": "y"}
+
+
+def test_stream_late_labels_fill_and_never_overwrite(spark, tmp_path):
+    import datetime as dt
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = dt.datetime(2024, 1, 1)
+    rows = [[("q", 0, None, t), ("q", 1, None, t)], [("q", 0, "a", t)], [("q", 0, "b", t)]]
+    s = memory_stream(spark, tmp_path, rows, "sequence string, index int, speaker string, ts timestamp")
+    drained(jobs.late_labels(s, 600_000), "late", tmp_path, "update")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(r["index"], r["speaker"]) for r in spark.table("late").collect()]
+    assert (0, "a") in got and (0, "b") not in got and (1, None) in got
