@@ -214,22 +214,17 @@ def fingerprint_links(nodes: DataFrame, lanes: int, max_bits: int, count: int) -
     return dealt.mapInArrow(_bucket_links(lanes, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int, lanes: int, max_bits: int, count: int) -> DataFrame:
-    """(_f0.., root fingerprint lanes r0.., component_id) of every distinct fingerprint of ``docs``.
+def groups_of(prints: DataFrame, lanes: int, max_bits: int, count: int) -> DataFrame:
+    """(_f0.., low, root): of each distinct fingerprint the smallest non-null doc_id and its group's root.
 
-    ``docs`` needs doc_id and the ``_f`` columns of ``fingerprints``. component_id is the smallest
-    non-null doc_id reachable over links, null where a component has none.
+    ``prints`` needs doc_id and the ``_f`` columns of ``fingerprints``.
     """
     names = [f"_f{k}" for k in range(lanes)]
-    classes = written(
-        docs.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", F.xxhash64(*names) if lanes > 1 else F.col("_f0")),
-        "fingerprints",
-    )
+    node = F.xxhash64(*names) if lanes > 1 else F.col("_f0")
+    classes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node), "fingerprints")
     roots = connected_components(fingerprint_links(classes, lanes, max_bits, count))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = written(joined.select(*names, "low", "root"), "members")
-    low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return joined.join(low, "root").select(*names, "root", "component_id")
+    return written(joined.select(*names, "low", "root"), "members")
 
 
 def components_of(docs: DataFrame, width: int = 4, max_bits: int = 4, lanes: int = 1, count: int = 3) -> DataFrame:
@@ -241,7 +236,9 @@ def components_of(docs: DataFrame, width: int = 4, max_bits: int = 4, lanes: int
     """
     names = [f"_f{k}" for k in range(lanes)]
     prints = written(fingerprints(docs.select("doc_id", "text"), width, lanes).drop("text"), "prints")
-    groups = near_duplicates(prints, width, lanes, max_bits, count)
+    members = groups_of(prints, lanes, max_bits, count)
+    low = members.groupBy("root").agg(F.min("low").alias("component_id"))
+    groups = members.join(low, "root").select(*names, "root", "component_id")
     hexes = F.concat(*(F.lower(F.lpad(F.hex(n), 16, "0")) for n in names))
     return prints.join(groups, names).select("doc_id", hexes.alias("fingerprint"), "component_id", "root")
 
@@ -259,7 +256,7 @@ def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 24
     outer, (docs, inner) = docs, shielded(docs)
     prints = fingerprints(docs.select("doc_id", "text", key.alias("_h")), width, lanes).drop("text")
     prints = written(prints, "prints")
-    groups = near_duplicates(prints, width, lanes, max_bits, count)
+    groups = groups_of(prints, lanes, max_bits, count)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("best")
     rows = prints.groupBy("doc_id", "_h", *names).count().join(groups.select(*names, "root"), names)
     kept = rows.groupBy("root").agg(best).select("best.doc_id", "best._h")
