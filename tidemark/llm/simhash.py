@@ -26,6 +26,8 @@ BLOCK = 4096
 PLAN_SHARE = 64
 #: Pairs held at once in a task before they are folded into a forest.
 PAIRS = 1 << 20
+#: Distinct shingles whose texts one task compares with each other; groups with more are cut into blocks of this.
+SHINGLES = 1 << 20
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -53,9 +55,8 @@ def _lane(h: np.ndarray, lane: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
-    """Majority bits of the shingle hashes, 64 a lane; zero without words."""
-    hashes, out = shingle_hashes(text, width), []
+def _majority(hashes: np.ndarray, lanes: int) -> list[int]:
+    out = []
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 1 << 16):
@@ -66,6 +67,11 @@ def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
     return out
 
 
+def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
+    """Majority bits of the shingle hashes, 64 a lane; zero without words."""
+    return _majority(shingle_hashes(text, width), lanes)
+
+
 def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, text: str = "text") -> DataFrame:
     """``docs`` with long columns f0, f1, ... added in front; every column of ``docs`` is kept.
 
@@ -243,25 +249,148 @@ def components_of(docs: DataFrame, width: int = 4, max_bits: int = 4, lanes: int
     return prints.join(groups, names).select("doc_id", hexes.alias("fingerprint"), "component_id", "root")
 
 
+def _close(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b with ``both`` in common have a Jaccard similarity of 0.8 or more."""
+    return 9 * both >= 4 * (a + b)
+
+
+def prefix_sizes(sizes: np.ndarray) -> np.ndarray:
+    """How many first elements of a set, in any order common to all, meet those of every set that is 0.8 alike."""
+    return np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
+
+
+def similar_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect what all pairs of distinct-valued sets at 0.8 or more connect; each pair is such a pair."""
+    n, i, j = len(sets), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    at = np.append(0, np.cumsum(sizes))
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(n), sizes)
+    rarest = np.lexsort((ids, often[ids], doc))
+    own = rarest[np.arange(len(ids)) - at[doc] < prefix_sizes(sizes)[doc]]
+    tok, doc = ids[own], doc[own]
+    by = np.lexsort((doc, tok))
+    tok, doc = tok[by], doc[by]
+    label, mark = np.arange(n), np.zeros(len(often), bool)
+    for s in range(n):
+        if not s & (s - 1) and len(tok):  # now and then drop elements whose sets are all connected
+            first = np.nonzero(np.append(True, tok[1:] != tok[:-1]))[0]
+            mixed = np.minimum.reduceat(label[doc], first) != np.maximum.reduceat(label[doc], first)
+            on = np.repeat(mixed, np.diff(np.append(first, len(tok))))
+            tok, doc = tok[on], doc[on]
+            first = np.nonzero(np.append(True, tok[1:] != tok[:-1]))[0] if len(tok) else np.zeros(0, np.int64)
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tok))))
+            by_doc = np.argsort(doc, kind="stable")
+            runs, begin, bounds = run[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1)), np.append(first, len(tok))
+        if not len(tok):
+            break
+        others = [doc[bounds[r] : bounds[r + 1]] for r in runs[begin[s] : begin[s + 1]]]
+        if not others:
+            continue
+        c = np.concatenate(others)
+        c = np.unique(c[(c > s) & (label[c] != label[s])])
+        c = c[5 * np.minimum(sizes[c], sizes[s]) >= 4 * np.maximum(sizes[c], sizes[s])]
+        if not len(c):
+            continue
+        mark[ids[at[s] : at[s + 1]]] = True
+        both = np.array([np.count_nonzero(mark[ids[at[k] : at[k + 1]]]) for k in c])
+        mark[ids[at[s] : at[s + 1]]] = False
+        hit = c[_close(sizes[c], sizes[s], both)]
+        if len(hit):
+            i.append(np.full(len(hit), s))
+            j.append(hit)
+            joined = np.unique(np.append(label[hit], label[s]))
+            label[np.isin(label, joined)] = joined[0]
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _verified_links(width: int):
+    """Over rows sorted by root, p, q: links (a, b) among each group's texts by the shingles themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+
+        def told() -> pa.RecordBatch | None:
+            if len(sets) < 2:
+                return None
+            nodes = np.fromiter(sets, np.int64, len(sets))
+            i, j = similar_sets(list(sets.values()))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+        for batch in text_slices(batches, "text"):
+            rows = zip(*(batch[c].to_pylist() for c in ("root", "p", "q", "node", "text")), strict=True)
+            for root, p, q, node, text in rows:
+                if (root, p, q) != now:
+                    if (out := told()) is not None:
+                        yield out
+                    now, sets = (root, p, q), {}
+                if node not in sets:
+                    sets[node] = np.unique(shingle_hashes((text or "").encode(), width))
+        if (out := told()) is not None:
+            yield out
+
+    return run
+
+
+def verified_edges(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of ``classes`` at 0.8 or more connect inside the components of ``candidates``.
+
+    ``classes`` has node, best (the row that stands for it) and size (its distinct shingles). A large
+    component is cut into blocks whose pairs go to separate tasks.
+    """
+    members = connected_components(candidates).join(classes.select("node", "size", "best.doc_id", "best._h"), "node")
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
+    members = members.join(blocks, "root").withColumnsRenamed({"doc_id": "_d", "_h": "_g"})
+    members = written(members.withColumn("blocks", F.greatest("blocks", F.lit(1))), "candidates")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_g"))
+    rows = docs.select("doc_id", "text").join(members, on).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "text")
+    dealt = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return dealt.mapInArrow(_verified_links(width), "a long, b long")
+
+
+def set_prints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
+    """(doc_id, _h, node, size, _f0..): hash and size of each text's set of shingles, and its fingerprint.
+
+    ``docs`` has doc_id, text and _h, the text's hash.
+    """
+    names = [f"_f{k}" for k in range(lanes)]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sets = [np.unique(shingle_hashes((t or "").encode(), width)) for t in batch["text"].to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            rows = [_majority(x, lanes) for x in sets]
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(lanes)]
+            size = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_h"], pa.array(node), size, *cols], names=["doc_id", "_h", "node", "size", *names])
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, _h long, node long, size int, " + ", ".join(f"{n} long" for n in names))
+
+
 def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 24, count: int = 8) -> DataFrame:
     """``docs`` with one row left of each near-duplicate group, every column kept.
 
-    Five-word shingles. 24 of 128 bits stand for a shingle similarity of 0.8 with one standard
-    deviation of room; eight 16-bit segments find a pair at 0.8 with probability 0.93 and one at
-    0.9 with 0.995, and each further member of a group is another way to it. The row with the
-    smallest doc_id stays (null ids last, then the smallest text hash); of equal rows one stays.
+    A group is what pairs with a Jaccard similarity of 0.8 or more between their sets of five-word
+    shingles connect. Pairs are looked for by fingerprint, 24 of 128 bits apart in eight 16-bit
+    segments, and kept only where the shingles themselves agree. The row with the smallest doc_id
+    stays (null ids last, then the smallest text hash); of equal rows one stays.
     """
     names = [f"_f{k}" for k in range(lanes)]
     key = F.xxhash64("text")
     outer, (docs, inner) = docs, shielded(docs)
-    prints = fingerprints(docs.select("doc_id", "text", key.alias("_h")), width, lanes).drop("text")
-    prints = written(prints, "prints")
-    groups = groups_of(prints, lanes, max_bits, count)
+    prints = written(set_prints(docs.select("doc_id", "text", key.alias("_h")), width, lanes), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("best")
-    rows = prints.groupBy("doc_id", "_h", *names).count().join(groups.select(*names, "root"), names)
-    kept = rows.groupBy("root").agg(best).select("best.doc_id", "best._h")
+    same = [F.first(c).alias(c) for c in ("size", *names)]
+    classes = written(prints.groupBy("node").agg(best, *same), "classes")
+    found = fingerprint_links(classes.select("node", *names), lanes, max_bits, count)
+    roots = connected_components(verified_edges(docs, classes, found, width))
+    groups = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+    kept = groups.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best._h")
     kept = kept.join(
-        rows.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.sum("count").alias("_n")),
+        prints.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.count("*").alias("_n")),
         F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")),
     ).select("_d", "_g", "_n")
     kept = written(kept, "kept")
