@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,16 @@ class Words:
         return starts, place[starts]
 
 
-def _as_numbers(column: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(column.combine_chunks())
+def _as_numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Arrays that are all equal between two rows where the column is, nulls being equal to each other."""
+    column = column.combine_chunks()
+    if not column.null_count:
+        return [np.asarray(column)]
+    none = column.is_null()
+    filled = column.drop_null()
+    if not len(filled):
+        return [np.asarray(none)]
+    return [np.asarray(pc.fill_null(column, filled[0])), np.asarray(none)]
 
 
 def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str) -> DataFrame:
@@ -135,8 +144,8 @@ def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str)
             if both:
                 on[:-1] |= same
             else:  # equal rows are one place: they are told what the first of them is
-                place = [c for c in order if table[c].null_count == 0]
-                equal = np.logical_and.reduce([same, *(_as_numbers(table[c])[1:] == _as_numbers(table[c])[:-1] for c in place)])
+                place = [x for c in order for x in _as_numbers(table[c])]
+                equal = np.logical_and.reduce([same, *(x[1:] == x[:-1] for x in place)])
                 lead = np.maximum.accumulate(np.where(np.append(False, equal), 0, np.arange(len(on))))
                 on = on[lead]
             if first:  # kind 1: the first row of a task, 2: the last one
