@@ -46,6 +46,24 @@ def test_texts_below_the_similarity_stay(spark):
     assert kept(spark, rows) == brute_kept(rows) == list(range(240))
 
 
+def test_no_pair_at_the_similarity_is_missed(spark, monkeypatch):
+    """Pairs of two at 0.80 to 0.82, a passage that all of them hold, hot buckets, and few words."""
+    rng = random.Random(6)
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "PLAN_SHARE", 2)
+    rows, passage = [], words(rng, 30, 10**6)
+    for k in range(250):
+        text = passage + " " + words(rng, 170, 10**6)
+        rows += [(2 * k, text), (2 * k + 1, replaced_tail(rng, text, 19 + k % 3))]
+    for k in range(500, 560, 2):
+        text = words(rng, 8 + k % 40, 10**6)
+        rows += [(k, text), (k + 1, text + " one")]
+    rows += [(600 + k, passage + " " + words(rng, k % 9, 10**6)) for k in range(60)]
+    want = brute_kept(rows)
+    assert kept(spark, rows) == want
+    assert len(want) < 400
+
+
 @pytest.mark.parametrize("block", [1 << 20, 700])
 def test_chains_join_by_links_only(spark, monkeypatch, block):
     rng = random.Random(4)
