@@ -29,6 +29,8 @@ MAX_FEATURES, LEAST_POSITIVE, LIFT, DEVIATIONS = 20_000, 4, 2.0, 5.0
 #: Lengths of word beginnings, and how many different words of a text must have a feature.
 BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.3
+#: Class prior where labels name toxic rows only and none is given: the score of the model that knows nothing, logit -2.
+PRIOR = 0.12
 BATCH_BYTES = 4 << 20
 MARKS = ".,;:!?\"'()[]{}<>|*_-–—«»“”‘’¿¡…#@/\\"
 
@@ -87,26 +89,29 @@ def _shift(z: np.ndarray, prior: float) -> float:
     return (lo + hi) / 2
 
 
-def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
-    """Bounded training rows (text, positive), and the share of toxic among labelled ones."""
+def _sampled(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple[DataFrame, float] | None:
+    """Bounded training rows (text, positive), and the class prior: the given one, else the share of toxic among labelled ones."""
     train = F.pmod(crc_of_id(), F.lit(4)) != 2
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     marks = marks.where(train)
     told = marks.agg(F.count("*").alias("n"), F.sum((F.col("_toxic") == 1).cast("int")).alias("k")).first()
-    if not told["k"] or told["k"] == told["n"]:
+    if not told["k"]:
         return None
+    if prior is None:
+        prior = told["k"] / told["n"] if told["k"] < told["n"] else PRIOR
     places = marks.select("doc_id", (F.col("_toxic") == 1).alias("_positive"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & train).distinct().join(places, "doc_id", "left")
     first = lambda rows, k: rows.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(k)
     # the unlabelled sample is drawn from all rows, confirmed ones included, as the prior is theirs
     chosen = first(ids.where("_positive"), MAX_POSITIVE).unionByName(first(ids, MAX_UNLABELLED).withColumn("_positive", F.lit(False)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # MAX_POSITIVE + MAX_UNLABELLED rows
-    return rows.select("text", "_positive"), told["k"] / told["n"]
+    return rows.select("text", "_positive"), prior
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from rows whose crc32(doc_id) mod 4 is not 2. Without both kinds of label the model knows only the prior."""
-    got = _sampled(docs, labels)
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+    """Learn from rows whose crc32(doc_id) mod 4 is not 2. Without a toxic label the model knows nothing; with toxic ones
+    only, ``prior`` or PRIOR is the share of toxic texts."""
+    got = _sampled(docs, labels, prior)
     if got is None:
         return Model((), np.zeros(0), -2.0)
     sample, prior = got
@@ -192,19 +197,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"_score double, {kept}")
 
 
-def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def predictions(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
     Defined cases: null and empty texts score the bias; null ids are not held out and train nothing;
     of several labels of an id the toxic one counts; repeated rows give a row each; other columns
     are ignored; an empty table gives no rows.
     """
-    out = score(docs.select("doc_id", "text"), fit(docs, labels))
+    out = score(docs.select("doc_id", "text"), fit(docs, labels, prior))
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; every column stays."""
     rows, inner = shielded(docs)
-    return restored(score(rows, fit(docs, labels)).where(F.col("_score") < threshold), docs, inner)
+    return restored(score(rows, fit(docs, labels, prior)).where(F.col("_score") < threshold), docs, inner)
