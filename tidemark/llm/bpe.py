@@ -23,14 +23,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import arrow_map, columns_of, restored, shielded, text_slices
 
 #: Text of one index; larger batches share more words.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Words whose ids a Python worker remembers, across its tasks.
 REMEMBERED = 400_000
-#: Marks that often end a word.
-PLAIN_ENDS = frozenset(".,;:!?")
+#: Marks that often end a word, and runs that are one word of letters whose lower case is one letter each, perhaps with such a mark.
+PLAIN_ENDS = ".,;:!?"
+PLAIN = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{PLAIN_ENDS}]?$"
 
 
 def byte_letters() -> list[str]:
@@ -94,13 +95,14 @@ class PairIndexBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of non-empty words given as bytes, one after the other, and where each word's begin; the last entry is their count."""
-        if not words:
+    def merge_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of non-empty words, one after the other, and where each word's begin; the last entry is their count."""
+        if not len(words):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size)
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        size, ends = np.diff(bounds), bounds[1:] - bounds[0]
+        raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
         sym = self.byte_id[raw]
         sym[ends - 1] = self.last_id[raw[ends - 1]]
         n = len(sym)
@@ -172,35 +174,48 @@ class PairIndexBPE:
         return [part[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(part)]
 
     def _words_of(self, chunks: list[str]) -> tuple[list[str], list[int]]:
-        """The words of all chunks, and how many each has. Chunks hold no ASCII white space, so folding them by lines is safe."""
+        """The words of chunks of any kind, and how many each has. Chunks hold no ASCII white space, so folding them by lines is safe."""
         text = "\n".join(chunks)
         odd = self.special.keys() | _unassigned(text)
         odd = re.compile("|".join(map(re.escape, odd))) if any(o in text for o in odd) else None
         words: list[str] = []
         counts: list[int] = []
         for k, low in enumerate(_folded(text).split("\n")):
-            if low.isalpha() and not (odd and odd.search(chunks[k])):
-                words.append(low)
-                counts.append(1)
-            elif odd is None and low[-1:] in PLAIN_ENDS and low[:-1].isalpha():
-                words += (low[:-1], low[-1])
-                counts.append(2)
-            else:
-                part = self._pieces(chunks[k]) if odd and odd.search(chunks[k]) else self.words.findall(low)
-                words += part
-                counts.append(len(part))
-        return words, counts
+            part = self._pieces(chunks[k]) if odd and odd.search(chunks[k]) else self.words.findall(low)
+            words += part
+            counts.append(len(part))
+        return words, counts[: len(chunks)]
+
+    def _split(self, chunks: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all chunks, in order, and how many each has; plain chunks never become Python strings."""
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        low = pc.utf8_lower(chunks.filter(plain))
+        marked = pc.match_substring_regex(low, f"[{PLAIN_ENDS}]$")
+        body, mark = pc.utf8_rtrim(low, characters=PLAIN_ENDS), pc.utf8_slice_codeunits(low.filter(marked), -1)
+        odd, n_odd = self._words_of(chunks.filter(pc.invert(plain)).to_pylist())
+        plain, marked = (m.to_numpy(zero_copy_only=False) for m in (plain, marked))
+        counts = np.zeros(len(chunks), np.int64)
+        counts[plain] = 1 + marked
+        counts[~plain] = n_odd
+        first = np.cumsum(counts) - counts
+        order = np.empty(int(counts.sum()), np.int64)
+        own = first[plain]
+        order[own] = np.arange(len(body))
+        order[own[marked] + 1] = len(body) + np.arange(len(mark))
+        rest = counts[~plain]
+        order[np.repeat(first[~plain] - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())] = len(body) + len(mark) + np.arange(len(odd))
+        words = pa.concat_arrays([body, mark, pa.array(odd, pa.string())]).dictionary_encode()
+        return pa.DictionaryArray.from_arrays(pa.array(np.asarray(words.indices)[order]), words.dictionary), counts
 
     def encode(self, texts: pa.Array, memory: WordIds | None = None) -> pa.ListArray:
         """Ids of each text; null and blank texts have none. ``memory`` keeps words across calls."""
         memory = WordIds() if memory is None else memory
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
         coded = lists.flatten().dictionary_encode()
-        at = np.asarray(coded.indices)
-        words, counts = self._words_of(coded.dictionary.to_pylist())
-        known = memory.lookup(words, self)
-        part = np.append(0, np.cumsum(np.asarray(counts, np.int64)))
-        chunk_words, chunk_ends = _gather(known, part[:-1], part[1:], at)
+        words, counts = self._split(coded.dictionary)
+        known = memory.lookup(words.dictionary, self)[np.asarray(words.indices)]
+        part = np.append(0, np.cumsum(counts))
+        chunk_words, chunk_ends = _gather(known, part[:-1], part[1:], np.asarray(coded.indices))
         ids, ends = _gather(memory.flat, memory.starts[:-1], memory.starts[1:], chunk_words)
         ends = np.append(0, ends)[np.append(0, chunk_ends)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
@@ -228,28 +243,31 @@ def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.nda
 
 
 class WordIds:
-    """Ids of the words a task has met, in one array."""
+    """Ids of the words a worker has met, in one array beside the words."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.names = pa.array([], pa.string())
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def lookup(self, words: list[str], bpe: PairIndexBPE) -> np.ndarray:
-        """Place of each word; new words share one pair index."""
-        if len(self.place) > REMEMBERED:
+    def lookup(self, words: pa.StringArray, bpe: PairIndexBPE) -> np.ndarray:
+        """Place of each of the different ``words``; new ones share one pair index."""
+        if len(self.names) > REMEMBERED:
             self.__init__()
-        place = self.place
-        new = list({w: None for w in words if w not in place})
-        plain = [w for w in new if w not in bpe.special]
-        named = [w for w in new if w in bpe.special]
-        ids, starts = bpe.merge_words([w.encode() for w in plain])
-        own = np.array([bpe.special[w] for w in named], np.int32)
-        for w in chain(plain, named):
-            place[w] = len(place)
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.names), -1)).astype(np.int64)
+        fresh = np.nonzero(at < 0)[0]
+        new = words.take(pa.array(fresh))
+        named = pc.is_in(new, value_set=pa.array(list(bpe.special), pa.string()))
+        plain, special = new.filter(pc.invert(named)), new.filter(named)
+        ids, starts = bpe.merge_words(plain)
+        own = np.array([bpe.special[w] for w in special.to_pylist()], np.int32)
+        named = named.to_numpy(zero_copy_only=False)
+        at[fresh[~named]] = len(self.names) + np.arange(len(plain))
+        at[fresh[named]] = len(self.names) + len(plain) + np.arange(len(special))
+        self.names = pa.concat_arrays([self.names, plain, special])
         base = self.starts[-1]
         self.starts = np.concatenate([self.starts, base + starts[1:], base + starts[-1] + np.arange(1, len(own) + 1)])
         self.flat = np.concatenate([self.flat, ids, own])
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        return at
 
 
 @cache
@@ -268,38 +286,66 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def encode_column(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` array<int> added in front; a null text has an empty list. Every column stays."""
+    """``docs`` with ``_ids`` array<int> added in front. Every column stays; a taken name gets more underscores.
+
+    Defined cases: null and blank texts have an empty list; a text of any length is one list; repeated
+    rows are encoded alike; an empty table gives no rows.
+    """
     path = path or default_path()
+    rows, inner = shielded(docs, (text,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = load(path), worker_memory(path)
         for batch in text_slices(batches, text, BATCH_BYTES):
-            ids = bpe.encode(batch[text], memory)
-            yield pa.RecordBatch.from_arrays([ids, *batch.columns], names=["_ids", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([bpe.encode(batch[text], memory), *batch.columns], names=["_ids", *batch.schema.names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"_ids array<int>, {kept}")
+    return restored(arrow_map(rows, run, f"_ids array<int>, {_schema(rows)}"), docs, inner, "_ids", front=True)
 
 
 def decode_column(encoded: DataFrame, path: str | None = None, ids: str = "_ids") -> DataFrame:
-    """``encoded`` with ``_decoded`` string added in front; null ids decode to an empty text."""
+    """``encoded`` with ``_decoded`` string added in front; null ids decode to an empty text. A taken name gets more underscores."""
     path = path or default_path()
+    rows, inner = shielded(encoded, (ids,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([bpe.decode(batch[ids]), *batch.columns], names=["_decoded", *batch.schema.names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"_decoded string, {kept}")
+    return restored(arrow_map(rows, run, f"_decoded string, {_schema(rows)}"), encoded, inner, "_decoded", front=True)
+
+
+def coded_column(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` without ``text``, with ``_ids`` array<int> and ``_decoded`` string in front: encoded and decoded by one worker.
+
+    Defined cases as for ``encode_column``; a text without ids decodes to an empty one.
+    """
+    path = path or default_path()
+    rows, inner = shielded(docs, (text,))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, memory = load(path), worker_memory(path)
+        for batch in text_slices(batches, text, BATCH_BYTES):
+            ids = bpe.encode(batch[text], memory)
+            rest = {c: batch[c] for c in batch.schema.names if c != text}
+            yield pa.RecordBatch.from_arrays([ids, bpe.decode(ids), *rest.values()], names=["_ids", "_decoded", *rest])
+
+    out = arrow_map(rows, run, f"_ids array<int>, _decoded string, {_schema(rows.drop(text))}")
+    kept = [(i, c) for i, c in zip(inner, docs.columns, strict=True) if i != text]
+    return restored(out, [c for _, c in kept], [i for i, _ in kept], "_ids", "_decoded", front=True)
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded in one pass.
 
     Defined cases: null and blank texts have no ids, and both digests are those of an empty text;
-    long texts are whole; repeated rows and null ids give a row each; other columns are ignored.
+    long texts are whole; repeated rows and null ids give a row each; other columns are ignored, also
+    where a name differs in case only; an empty table gives no rows.
     """
     path = path or default_path()
 
@@ -316,7 +362,6 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch["doc_id"], n, *hexes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    rows = columns_of(docs, "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python task works on at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of a record batch that Spark sends to a Python worker; a single longer row is a batch of its own.
+SENT_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +59,51 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, idle, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, whose worker returns its memory after each output and at the end."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                give_back()
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def columns_of(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, met letter for letter first: others may differ from them only in case."""
+    at = []
+    for name in names:
+        exact = [k for k, c in enumerate(df.columns) if c == name]
+        alike = [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not (exact or alike):
+            raise ValueError(f"no column {name}")
+        at.append((exact or alike)[0])
+    own = df.toDF(*(f"in_{k}" for k in range(len(df.columns))))
+    return own.select(*(F.col(f"in_{k}").alias(name) for k, name in zip(at, names, strict=True)))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each slice holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
@@ -79,19 +128,21 @@ def crc_of_id(column: str = "doc_id") -> F.Column:
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shielded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with every other column under a name that nothing inside an operator uses, and the names now in place."""
-    inner = [c if c in CORE else f"in_{k}" for k, c in enumerate(docs.columns)]
+def shielded(docs: DataFrame, core: tuple[str, ...] = CORE) -> tuple[DataFrame, list[str]]:
+    """``docs`` with every column but the first of each ``core`` name under a name that nothing inside an operator uses, and the names now in place."""
+    inner = [c if c in core and c not in docs.columns[:k] else f"in_{k}" for k, c in enumerate(docs.columns)]
     return docs.toDF(*inner), inner
 
 
-def restored(df: DataFrame, docs: DataFrame, inner: list[str], *extra: str) -> DataFrame:
-    """The columns of ``docs`` under their own names, then those of ``extra``, with underscores added where a name is taken."""
-    taken = {c.lower() for c in docs.columns}
+def restored(df: DataFrame, docs: DataFrame | list[str], inner: list[str], *extra: str, front: bool = False) -> DataFrame:
+    """The columns of ``docs`` under their own names, and after (or before) them those of ``extra``, with underscores added where a name is taken."""
+    names = docs if isinstance(docs, list) else docs.columns
+    taken = {c.lower() for c in names}
     said = []
     for e in extra:
         name = e
         while name.lower() in taken:
             name += "_"
         said.append(F.col(e).alias(name))
-    return df.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)), *said)
+    own = [F.col(i).alias(c) for i, c in zip(inner, names, strict=True)]
+    return df.select(*said, *own) if front else df.select(*own, *said)

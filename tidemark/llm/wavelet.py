@@ -16,28 +16,32 @@ import os
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import PairIndexBPE, WordIds, default_path
-from tidemark.llm.common import new_path, text_slices, written
+from tidemark.llm.common import arrow_map, columns_of, new_path, text_slices, written
 
 MAGIC = b"TMWM\x01\n"
 #: Bits of a plane's block.
 BLOCK_BITS = 1 << 16
+#: Unpacked blocks that an open shard keeps.
+KEPT_BLOCKS = 256
 #: Tokens after which a shard is closed, at the end of a document.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 END_ID = 1
 #: Words that one call gives to the tokenizers library.
 LINE_WORDS = 2048
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class LibraryBPE(PairIndexBPE):
@@ -51,14 +55,14 @@ class LibraryBPE(PairIndexBPE):
         self.library = Tokenizer.from_file(path)
         self.ends_word = np.array([t.endswith(self.end) for t in self.token.to_pylist()])
 
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        names = [w.decode() for w in words]
-        lines = [" ".join(names[k : k + LINE_WORDS]) for k in range(0, len(names), LINE_WORDS)]
+    def merge_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.append(np.arange(0, len(words), LINE_WORDS), len(words)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), words), " ").to_pylist()
         got = self.library.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
         starts = np.append(0, np.nonzero(self.ends_word[ids])[0] + 1)
         if len(starts) != len(words) + 1 or starts[-1] != len(ids):
-            each = [e.ids for e in self.library.encode_batch_fast(names, add_special_tokens=False)]
+            each = [e.ids for e in self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
             ids = np.array([i for e in each for i in e], np.int32)
             starts = np.append(0, np.cumsum([len(e) for e in each]))
         return ids, starts
@@ -77,16 +81,17 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
     zeros, tables, body = [], [], []
     for level in range(levels - 1, -1, -1):
         mask = (cur & cur.dtype.type(1 << level)) != 0
-        raw = np.packbits(mask, bitorder="little").tobytes()
+        bits = np.packbits(mask, bitorder="little")
+        raw = bits.tobytes()
         cuts = range(0, len(raw), BLOCK_BITS // 8)
         blocks = [squeeze.compress(raw[c : c + BLOCK_BITS // 8]) for c in cuts]
-        ones = np.add.reduceat(mask, np.arange(0, len(mask), BLOCK_BITS), dtype=np.uint64) if len(mask) else np.zeros(0, np.uint64)
+        ones = np.array([np.bitwise_count(bits[c : c + BLOCK_BITS // 8]).sum(dtype=np.uint64) for c in cuts], np.uint64)
         tables.append(np.append(np.uint64(0), np.cumsum(ones, dtype=np.uint64)).tobytes())
         tables.append(np.append(0, np.cumsum([len(b) for b in blocks])).astype("<u8").tobytes())
         body += blocks
         off = ~mask
         zeros.append(int(np.count_nonzero(off)))
-        cur = np.concatenate([cur[off], cur[mask]])
+        cur = np.concatenate([cur[off], cur[mask]])  # a stable parting
     head = {"n": len(ids), "levels": levels, "zeros": zeros, "docs": len(doc_ids), "null_ids": [k for k, d in enumerate(doc_ids) if d is None]}
     said = json.dumps(head).encode()
     named = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
@@ -120,7 +125,17 @@ class WaveletMatrix:
         for offsets in self._offsets:
             self._body.append(at)
             at += int(offsets[-1])
-        self._block = lru_cache(maxsize=256)(self._unpack)
+        self._seen: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """``_unpack``, with the last ``KEPT_BLOCKS`` results kept; they go with the shard."""
+        at = (plane, block)
+        if at not in self._seen:
+            self._seen[at] = self._unpack(plane, block)
+            if len(self._seen) > KEPT_BLOCKS:
+                self._seen.popitem(last=False)
+        self._seen.move_to_end(at)
+        return self._seen[at]
 
     def _unpack(self, plane: int, block: int) -> np.ndarray:
         """Bits of one block as 0 and 1."""
@@ -195,7 +210,8 @@ class WaveletMatrix:
             mask = np.concatenate(bits).view(bool) if bits else np.zeros(0, bool)
             out = np.empty(self.n, kind)
             out[~mask] = cur[: self.zeros[plane]]
-            out[mask] = cur[self.zeros[plane] :] | kind(1 << (self.levels - 1 - plane))
+            cur[self.zeros[plane] :] |= kind(1 << (self.levels - 1 - plane))
+            out[mask] = cur[self.zeros[plane] :]
             cur = out
         return cur.astype(np.int32)
 
@@ -249,9 +265,9 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_to
         if names:
             yield flush()
 
-    rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    rows = columns_of(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
-    return written(rows.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long"), "manifest")
+    return written(arrow_map(rows, run, "part int, seq int, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -265,7 +281,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 store, at = _store(file)
                 with store.open_input_file(at) as f:
                     shard = WaveletMatrix(f.read())
-                raw = shard.all_ids().astype("<u4").tobytes()
+                raw = memoryview(shard.all_ids().astype("<u4", copy=False)).cast("B")
                 ends = shard.ends.tolist()
                 starts = [0, *ends[:-1]]
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
@@ -276,15 +292,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a task for each shard: left alone, adaptive execution would gather the short manifest into one
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed.repartition(max(1, manifest.count())), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Shards of ``docs`` in a new folder of the shared one, read back to a row per document.
 
     Defined cases: null and blank texts are the end id alone; null ids come first; rows of one id
-    stand by the hash of their texts; repeated rows are repeated; other columns are ignored; an
-    empty table writes nothing and gives no rows.
+    stand by the hash of their texts; repeated rows are repeated; a text of any length stays in one
+    shard; other columns are ignored, also where a name differs in case only; an empty table writes
+    nothing and gives no rows.
     """
     folder = new_path(docs.sparkSession, "shards")
     return read_shards(write_shards(docs, folder, path, shard_tokens))
