@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import fleet, formats, lookups, paging, scheduling, scoring, telemetry, transcripts, writes
+from tidemark.plans import fleet, formats, lookups, paging, rollups, scheduling, scoring, telemetry, transcripts, writes
 from tidemark.plans.register import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (telemetry, scheduling, transcripts, paging, fleet, scoring, writes, formats, lookups):
+for _part in (telemetry, scheduling, transcripts, paging, fleet, scoring, writes, formats, lookups, rollups):
     QUERIES |= _part.registry.queries
     ORACLE_SQL |= _part.registry.oracle
 FLAGSHIP = "alert_windowed_counts"
