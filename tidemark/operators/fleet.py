@@ -57,25 +57,25 @@ def readiness(workers: DataFrame, limit: float) -> DataFrame:
     return n.withColumn("state", F.when((F.col("n") == 0) | (F.col("dead") > 0), "not_ready").when(F.col("full") == F.col("n"), "degraded").otherwise("ready"))
 
 
-def stage_depths(edges: DataFrame, nodes: DataFrame, most: int = 32) -> DataFrame:
+def stage_depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(stage, depth): longest path from a source. Stages of a cycle, which no round settles, come last with a null depth.
 
-    A stage settles when all its inputs have; the rounds are as many as the graph is deep.
+    A stage settles when all its inputs have; the rounds are as many as the graph is deep. A round
+    joins only the edges that leave the stages which the last one settled.
     """
-    parents = edges.groupBy(F.col("child").alias("stage")).agg(F.collect_set("parent").alias("inputs"))
-    open_ = nodes.join(parents, "stage", "left").withColumn("inputs", F.coalesce("inputs", F.array().cast("array<string>")))
-    depths = open_.where(F.size("inputs") == 0).select("stage", F.lit(1).alias("depth"))
-    need = edges.select("child", "parent").distinct().cache()
-    total = need.groupBy("child").agg(F.count("*").alias("n")).cache()
-    depths = depths.cache()
-    for level in range(2, most + 1):
-        ready = need.join(depths.withColumnRenamed("stage", "parent"), "parent").groupBy("child").agg(F.count("*").alias("got"))
-        new = ready.join(total, "child").where("got = n").select(F.col("child").alias("stage"), F.lit(level).alias("depth"))
-        new = new.join(depths, "stage", "left_anti").cache()
-        if new.isEmpty():
-            break
-        depths = depths.unionByName(new)
-    return nodes.join(depths, "stage", "left")
+    need = edges.select("child", "parent").distinct()
+    wait = need.groupBy(F.col("child").alias("stage")).agg(F.count("*").alias("left"))
+    state = nodes.select("stage").join(wait, "stage", "left").select("stage", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("depth")).cache()
+    level = 1
+    while not state.where("depth is null and left = 0").isEmpty():
+        ready = state.where("depth is null and left = 0").select(F.col("stage").alias("parent"))
+        served = need.join(ready, "parent").groupBy(F.col("child").alias("stage")).agg(F.count("*").alias("got"))
+        depth = F.when(F.col("depth").isNull() & (F.col("left") == 0), level).otherwise(F.col("depth"))
+        after = state.join(served, "stage", "left").select("stage", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), depth.alias("depth")).cache()
+        after.count()
+        state.unpersist()
+        state, level = after, level + 1
+    return nodes.join(state.select("stage", "depth"), "stage", "left")
 
 
 def stage_edges(stages: DataFrame) -> DataFrame:

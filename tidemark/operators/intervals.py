@@ -43,17 +43,22 @@ def _bucketed(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float, horizon: float) -> DataFrame:
     """Pairs of one key that overlap half-open. Left columns are prefixed l_, right ones r_; both have start, end.
 
-    Null ends become ``horizon`` first.
+    Null ends become ``horizon`` in the result. Open intervals do not go through buckets, of which
+    they would touch all to the end of time: they meet what ends after they begin by the key alone.
     """
     sides = []
     for df, p in ((left, "l_"), (right, "r_")):
-        df = df.withColumn("end", F.coalesce("end", F.lit(horizon)))
-        df = _bucketed(df, "start", "end", width)
-        sides.append(df.withColumnsRenamed({c: p + c for c in df.columns if c not in (*keys, "_bucket")}))
-    joined = sides[0].join(sides[1], [*keys, "_bucket"])
-    first = F.col("_bucket") == F.greatest("l__lo", "r__lo")
+        named = {c: p + c for c in df.columns if c not in keys}
+        shut = _bucketed(df.where("end is not null"), "start", "end", width).withColumnsRenamed(named | {"_lo": p + "_lo"})
+        open_ = df.where("end is null").withColumn("end", F.lit(horizon)).withColumnsRenamed(named)
+        sides.append((shut, open_, df.withColumn("end", F.coalesce("end", F.lit(horizon))).withColumnsRenamed(named)))
+    (l_shut, l_open, l_all), (r_shut, r_open, _) = sides
     hit = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))
-    return joined.where(first & hit).drop("_bucket", "l__lo", "r__lo")
+    first = F.col("_bucket") == F.greatest("l__lo", "r__lo")
+    out = l_shut.join(r_shut, [*keys, "_bucket"]).where(first & hit).drop("_bucket", "l__lo", "r__lo")
+    for a, b in ((l_open, r_shut.where(F.col("_bucket") == F.col("r__lo")).drop("_bucket", "r__lo")), (l_all, r_open)):
+        out = out.unionByName(a.join(b, list(keys)).where(hit))
+    return out
 
 
 def shared_seconds(pairs: DataFrame) -> Column:
@@ -81,13 +86,15 @@ def merged(df: DataFrame, keys: Sequence[str], gap: float = 0.0) -> DataFrame:
     return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def free_slots(windows: DataFrame, blockers: DataFrame, keys: Sequence[str], least: float = 60.0) -> DataFrame:
+def free_slots(windows: DataFrame, blockers: DataFrame, keys: Sequence[str], least: float = 60.0, width: float = 7 * 86_400.0) -> DataFrame:
     """Each window (uid, start, end) minus the union of the blockers of its key; gaps shorter than ``least`` are dropped.
 
     One sort: windows and clipped blockers of a window form one sequence whose gaps are the slots.
     """
     w = windows.withColumnsRenamed({"start": "w_start", "end": "w_end"})
-    clipped = w.join(merged(blockers, keys), list(keys)).where("start < w_end and end > w_start")
+    pairs = overlap_join(windows, merged(blockers, keys), keys, width, float("inf"))
+    rest = {f"l_{c}": c for c in windows.columns if c not in (*keys, "start", "end")}
+    clipped = pairs.withColumnsRenamed({"l_start": "w_start", "l_end": "w_end", "r_start": "start", "r_end": "end"} | rest)
     clipped = clipped.withColumn("start", F.greatest("start", "w_start")).withColumn("end", F.least("end", "w_end"))
     begin = w.withColumn("start", F.col("w_start")).withColumn("end", F.col("w_start"))
     finish = w.withColumn("start", F.col("w_end")).withColumn("end", F.col("w_end"))
@@ -122,8 +129,13 @@ def clipped(df: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def exclusive_runs(df: DataFrame, keys: Sequence[str], label: str, gap: float, least: float) -> DataFrame:
     """Stretches of one label alone, joined over gaps up to ``gap``, of ``least`` or longer."""
-    alone = sweep(df, keys).where("depth = 1").withColumnsRenamed({"start": "s", "end": "e"})
-    own = alone.join(df, list(keys)).where("start <= s and end >= e").select(*keys, label, F.col("s").alias("start"), F.col("e").alias("end"))
+    named = df.select(*keys, label).distinct().withColumn("_name", F.xxhash64(label).cast("decimal(38,0)"))
+    d = lambda at, sign: df.select(*keys, F.col(at).alias("at"), F.lit(sign).alias("d"), (F.xxhash64(label).cast("decimal(38,0)") * sign).cast("decimal(38,0)").alias("h"))
+    ticks = d("start", 1).unionByName(d("end", -1)).groupBy(*keys, "at").agg(F.sum("d").alias("d"), F.sum("h").alias("h"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    cells = ticks.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("d").over(order).alias("depth"), F.sum("h").over(order).alias("_name"))
+    # where one interval runs, the running sum of names is its own
+    own = cells.where("depth = 1 and end is not null").join(named, [*keys, "_name"]).select(*keys, label, "start", "end")
     return merged(own, [*keys, label], gap).where(F.col("end") - F.col("start") >= least)
 
 

@@ -6,20 +6,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import overlap_join
 
-def elementary(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
+
+def elementary(reference: DataFrame, hypothesis: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
     """Elementary intervals of a file: start, end, labels of both sides (start, end, label) in each.
 
-    Boundaries of both sides cut the time; each turn is expanded over the cells it covers by an
-    equi-join on the file and an exact test, so cost follows the number of covered cells.
+    Boundaries of both sides cut the time; each turn meets the cells it covers through buckets of
+    ``width``, so cost follows the number of covered cells.
     """
     both = reference.select(*keys, "start", "end").unionByName(hypothesis.select(*keys, "start", "end"))
     ticks = both.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
     cells = ticks.withColumn("until", F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))).where("until is not null")
     out = cells
     for name, side in (("ref", reference), ("hyp", hypothesis)):
-        s = side.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), "label")
-        got = cells.join(s, keys).where("s <= at and e >= until").groupBy(*keys, "at").agg(F.sort_array(F.collect_set("label")).alias(name))
+        pairs = overlap_join(cells.select(*keys, F.col("at").alias("start"), F.col("until").alias("end")), side.select(*keys, "start", "end", "label"), keys, width, float("inf"))
+        got = pairs.groupBy(*keys, F.col("l_start").alias("at")).agg(F.sort_array(F.collect_set("r_label")).alias(name))
         out = out.join(got, [*keys, "at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out.withColumnsRenamed({"at": "start", "until": "end"})
 

@@ -55,7 +55,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def repeats_previous(df: DataFrame, series: list[str], order: list[str], text: str, limit: float = REPEAT) -> DataFrame:
     """``repeats``: whether a segment shares more than ``limit`` of its trigrams with the one before."""
-    t = df.withColumn("_t", trigrams(F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: w != "")))
+    words = F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: w != "")
+    t = df.withColumn("_t", F.transform(trigrams(words), lambda g: F.xxhash64(g)))  # eight bytes a trigram go through the sort
     before = F.lag("_t").over(Window.partitionBy(*series).orderBy(*order))
     return t.withColumn("repeats", F.coalesce(jaccard(F.col("_t"), before) > limit, F.lit(False))).drop("_t")
 

@@ -55,11 +55,11 @@ def fleet_readiness(spark, sf_dir):
     return fleet.readiness(w, 20)
 
 
-@registry.query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier WHERE s_suppkey < 50),
+@registry.query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
     v AS (SELECT parent AS stage FROM e UNION SELECT child FROM e), d AS (SELECT stage, 1 AS depth FROM v WHERE stage NOT IN (SELECT child FROM e) UNION ALL SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.stage)
     SELECT stage, max(depth)::INTEGER AS depth FROM d GROUP BY stage""")
 def stage_depths(spark, sf_dir):
-    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").where("s_suppkey < 50")
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).unionByName(
         s.select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("child"))

@@ -82,10 +82,11 @@ def parameter_grid(spark, sf_dir):
     return r.crossJoin(F.broadcast(n))
 
 
-@registry.query(r"""WITH w AS (SELECT conv_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM conversations WHERE turn = 0), c AS (SELECT conv_id, w, unnest(generate_series(0, (ceil(len(w) / 5) - 1)::BIGINT)) AS place FROM w WHERE len(w) > 0)
-    SELECT conv_id, place::INTEGER AS place, place * 5 * 0.5::DOUBLE AS start, array_to_string(w[place * 5 + 1 : place * 5 + 5], ' ') AS caption FROM c""")
+@registry.query(r"""WITH w AS (SELECT conv_id || '/' || turn AS caption_of, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM conversations), c AS (SELECT caption_of, w, unnest(generate_series(0, (ceil(len(w) / 5) - 1)::BIGINT)) AS place FROM w WHERE len(w) > 0)
+    SELECT caption_of, place::INTEGER AS place, place * 5 * 0.5::DOUBLE AS start, array_to_string(w[place * 5 + 1 : place * 5 + 5], ' ') AS caption FROM c""")
 def timed_captions(spark, sf_dir):
-    return text.timed_captions(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text", 5, 0.5)
+    turns = table(spark, sf_dir, "conversations").withColumn("caption_of", F.concat_ws("/", "conv_id", "turn"))
+    return text.timed_captions(turns, "caption_of", "text", 5, 0.5)
 
 
 @registry.query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') AS stamp, o_orderpriority || chr(10) || strftime(o_orderdate, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || o_orderstatus || chr(10) AS file FROM orders""")

@@ -21,9 +21,9 @@ def page_after_cursor(spark, sf_dir):
 
 
 @registry.query("""SELECT o_orderkey, k AS place, n > 25 AS has_more FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER () AS n FROM
-    (SELECT * FROM orders WHERE o_custkey < 100 ORDER BY o_totalprice, o_orderkey LIMIT 26)) WHERE k <= 25""")
+    (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 26)) WHERE k <= 25""")
 def page_with_more(spark, sf_dir):
-    rows = paging.page(table(spark, sf_dir, "orders").where("o_custkey < 100"), "o_totalprice", "o_orderkey", 25)
+    rows = paging.page(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", 25)
     return paging.with_more(rows, "o_totalprice", "o_orderkey", 25).select("o_orderkey", F.col("place").cast("long").alias("place"), "has_more")
 
 

@@ -12,14 +12,14 @@ registry = Registry()
 DAY = 86_400.0
 #: Intervals of the oracle: seconds since 1970.
 _S = """s AS (SELECT o_custkey AS room, o_orderkey AS uid, epoch(o_orderdate) AS a, greatest(epoch(o_orderdate) + 86400, coalesce(epoch(max(l_shipdate)), epoch(o_orderdate) + 86400)) AS b
-    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate <= o_orderdate + INTERVAL 60 DAY GROUP BY o_custkey, o_orderkey, o_orderdate)"""
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderdate)"""
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """room, uid, start, end in seconds; shipments later than sixty days after the order do not count."""
+    """room, uid, start, end in seconds: from the order to its last shipment, a day at least."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    near = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))
-    last = o.select("o_orderkey", "o_orderdate", "o_custkey").join(l, near, "left").groupBy("o_custkey", "o_orderkey", "o_orderdate").agg(F.max("l_shipdate").alias("last"))
+    shipped = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"))
+    last = o.select("o_orderkey", "o_orderdate", "o_custkey").join(shipped, "o_orderkey", "left")
     sec = lambda c: F.unix_timestamp(c).cast("double")
     start = sec("o_orderdate")
     return last.select(
@@ -31,7 +31,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(f"WITH {_S} SELECT x.room, x.uid AS uid_a, y.uid AS uid_b FROM s x JOIN s y ON x.room = y.room AND x.uid < y.uid AND x.a < y.b AND y.a < x.b")
 def overlapping_sessions(spark, sf_dir):
     s = sessions(spark, sf_dir)
-    pairs = intervals.overlap_join(s, s, ["room"], 30 * DAY, 4e9).where("l_uid < r_uid")
+    pairs = intervals.overlap_join(s, s, ["room"], 365 * DAY, 4e9).where("l_uid < r_uid")
     return pairs.select("room", F.col("l_uid").alias("uid_a"), F.col("r_uid").alias("uid_b"))
 
 
@@ -98,7 +98,7 @@ def overlap_seconds(spark, sf_dir):
 @registry.query(f"""WITH {_S} SELECT x.room, x.uid, sum(least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE AS seconds FROM s x JOIN s y ON x.room = y.room AND x.uid <> y.uid AND x.a < y.b AND y.a < x.b GROUP BY ALL""")
 def coverage_by_session(spark, sf_dir):
     s = sessions(spark, sf_dir)
-    pairs = intervals.overlap_join(s, s, ["room"], 30 * DAY, 4e9).where("l_uid <> r_uid").withColumnRenamed("l_uid", "uid")
+    pairs = intervals.overlap_join(s, s, ["room"], 365 * DAY, 4e9).where("l_uid <> r_uid").withColumnRenamed("l_uid", "uid")
     return intervals.coverage(pairs, ["room", "uid"])
 
 
@@ -106,7 +106,7 @@ def coverage_by_session(spark, sf_dir):
     SELECT room, uid, arg_max(label, (o, -label)) AS label, max(o)::DOUBLE AS seconds FROM p GROUP BY ALL""")
 def best_overlapping_session(spark, sf_dir):
     s = sessions(spark, sf_dir)
-    pairs = intervals.overlap_join(s, s, ["room"], 30 * DAY, 4e9).where("l_uid <> r_uid")
+    pairs = intervals.overlap_join(s, s, ["room"], 365 * DAY, 4e9).where("l_uid <> r_uid")
     pairs = pairs.withColumnsRenamed({"l_uid": "uid", "r_uid": "label"}).withColumn("order", F.col("label"))
     return intervals.best_overlap(pairs, ["room", "uid"], "label", "order")
 

@@ -149,11 +149,10 @@ def latency_bins(spark, sf_dir):
     return metrics.summary(e, ["event_type", "bin"], "value").select("event_type", "bin", "n", "p50", "p95")
 
 
-@registry.query("""WITH h AS (SELECT epoch(ts)::BIGINT // 3600 AS hour, arg_max(c, event_id) AS c FROM (SELECT *, count(*) FILTER (event_type = 'error') OVER (ORDER BY event_id) AS c FROM events WHERE user_id % 10 = 0) GROUP BY 1)
+@registry.query("""WITH h AS (SELECT floor(epoch(ts))::BIGINT // 3600 AS hour, arg_max(c, (ts, event_id)) AS c FROM (SELECT *, count(*) FILTER (event_type = 'error') OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM events) GROUP BY 1)
     SELECT hour, (c - coalesce(lag(c) OVER (ORDER BY hour), 0))::BIGINT AS dropped FROM h""")
 def dropped_per_hour(spark, sf_dir):
-    e = events(spark, sf_dir).where("user_id % 10 = 0")
-    hourly = e.groupBy(F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour")).agg(F.count_if(F.col("event_type") == "error").alias("own"))
+    hourly = events(spark, sf_dir).groupBy(F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour")).agg(F.count_if(F.col("event_type") == "error").alias("own"))
     w = Window.orderBy("hour")  # a row an hour
     cumulative = hourly.withColumn("c", F.sum("own").over(w))
     return cumulative.select("hour", (F.col("c") - F.coalesce(F.lag("c").over(w), F.lit(0))).alias("dropped"))

@@ -48,8 +48,9 @@ def delete_upcoming(spark, sf_dir):
 @registry.query("SELECT s_suppkey, s_nationkey = 3 AND s_suppkey = (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = 3) OR s_nationkey <> 3 AND s_acctbal > 5000 AS is_source FROM supplier")
 def set_source_device(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("is_source", F.col("s_acctbal") > 5000)
-    first = s.where("s_nationkey = 3").agg(F.min("s_suppkey")).first()[0]
-    return tables.set_single(s, "s_nationkey", "s_suppkey", "is_source", F.lit(3), F.lit(first)).select("s_suppkey", "is_source")
+    first = s.where("s_nationkey = 3").agg(F.min("s_suppkey").alias("_first"))
+    s = s.crossJoin(F.broadcast(first))  # one row
+    return tables.set_single(s, "s_nationkey", "s_suppkey", "is_source", F.lit(3), F.col("_first")).select("s_suppkey", "is_source")
 
 
 @registry.query("""SELECT coalesce(a.name, r.name) AS name, CASE WHEN a.name IS NULL THEN 'pending' WHEN r.name IS NULL THEN 'unknown' ELSE 'applied' END AS state
