@@ -163,8 +163,7 @@ def test_stream_upsert_keeps_the_newest(spark, tmp_path):
     s = memory_stream(spark, tmp_path, [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]], "k string, v int, w string")
     q = jobs.upserted(s, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
-    got = {r["k"]: r["w"] for r in spark.read.parquet(str(tmp_path / "out" / last)).collect()}
+    got = {r["k"]: r["w"] for r in jobs.current(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": "z", "b": "y"}
 
 

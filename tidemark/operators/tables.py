@@ -59,3 +59,43 @@ def violations(table: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def pending_deletes(table: DataFrame, end: str, now: Column, keep: str) -> DataFrame:
     """Retention: rows that ended longer ago than ``keep``."""
     return table.where(F.col(end) < now - F.expr(f"INTERVAL {keep}"))
+
+
+def inserted(rows: DataFrame, key: str, seed: str, generated: Mapping[str, Column] | None = None) -> DataFrame:
+    """INSERT ... RETURNING: ``rows`` with a key derived from ``seed`` and their content, and generated columns.
+
+    The key is a digest in the shape of a uuid, so a task that runs again gives the same one.
+    """
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns)), 256)
+    part = lambda a, n: F.substring(digest, a, n)
+    uid = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    return rows.withColumns(dict(generated or {})).select(uid.alias(key), *rows.columns, *(generated or {}))
+
+
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table after an insert; columns that the new rows lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)
+
+
+def audited(rows: DataFrame, params: Sequence[str]) -> DataFrame:
+    """Audit rows whose parameters are one JSON text."""
+    return rows.withColumn("params_summary", F.to_json(F.struct(*params))).drop(*params)
+
+
+def add_member(members: DataFrame, group: str, member: str, flag: str, group_value: Column, member_value: Column, as_flagged: bool) -> DataFrame:
+    """Insert one membership; one that carries the flag clears it in its group first. A member that is there already stays as it is."""
+    new = members.sparkSession.range(1).select(group_value.alias(group), member_value.alias(member), F.lit(as_flagged).alias(flag))
+    there = members.where(F.col(member) == member_value).limit(1).select(F.lit(True).alias("_there"))
+    new = new.join(F.broadcast(there), how="left").where("_there is null").drop("_there")  # one row
+    cleared = members
+    if as_flagged:
+        cleared = members.join(F.broadcast(new.select(F.col(group).alias("_g"))), F.col(group) == F.col("_g"), "left")
+        cleared = cleared.withColumn(flag, F.when(F.col("_g").isNotNull(), F.lit(False)).otherwise(F.col(flag))).select(*members.columns)
+    return cleared.unionByName(new.select(*members.columns))
+
+
+def bumped(table: DataFrame, keys: DataFrame, key: str, version: str, touched: str, now: Column) -> DataFrame:
+    """Version plus one and a new time stamp for the rows whose key is among ``keys``: what ends every write to a room."""
+    hit = table.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    on = F.col("_hit").isNotNull()
+    return hit.withColumn(version, F.col(version) + on.cast("int")).withColumn(touched, F.when(on, now).otherwise(F.col(touched))).select(*table.columns)

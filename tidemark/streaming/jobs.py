@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,14 +37,26 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataF
     )
 
 
+#: How long a series or session that nobody hears of is remembered.
+FORGET_MS = 24 * 3_600_000
+
+
+def _ordered(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    """All rows of a key in a batch, which may come in several frames, in order."""
+    return pd.concat(list(frames)).sort_values(order)
+
+
 def increments(polls: DataFrame, late: str) -> DataFrame:
-    """Increments of cumulative counters (series, ts, process, value): one remembered reading a series."""
+    """Increments of cumulative counters (series, ts, process, value): one remembered reading a series, for FORGET_MS at most."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         out = []
-        for f in frames:
-            for ts, process, value in f.sort_values("ts")[["ts", "process", "value"]].itertuples(index=False):
+        for f in [_ordered(frames, "ts")]:
+            for ts, process, value in f[["ts", "process", "value"]].itertuples(index=False):
                 if last is None:
                     inc = 0.0
                 elif process != last[0] or value < last[1]:
@@ -54,10 +67,11 @@ def increments(polls: DataFrame, late: str) -> DataFrame:
                 out.append((key[0], ts, float(inc)))
         if last is not None:
             state.update(last)
+            state.setTimeoutDuration(FORGET_MS)
         yield pd.DataFrame(out, columns=["series", "ts", "increment"])
 
     return polls.withWatermark("ts", late).groupBy("series").applyInPandasWithState(
-        step, "series string, ts timestamp, increment double", "process string, value double", "append", GroupStateTimeout.NoTimeout
+        step, "series string, ts timestamp, increment double", "process string, value double", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -92,21 +106,27 @@ class Agreement:
 
 
 def agreed(hypotheses: DataFrame, n: int = 2) -> DataFrame:
-    """(session, committed words) of a stream of hypotheses (session, seq, words array)."""
+    """(session, committed words) of a stream of hypotheses (session, seq, words array).
+
+    A session's state goes when it is silent for FORGET_MS.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         committed, recent = state.get if state.exists else ([], [])
         fold = Agreement(n, list(committed), [list(r) for r in recent])
         out = []
-        for f in frames:
-            for words in f.sort_values("seq")["words"]:
-                if new := fold.append(list(words)):
-                    out.append((key[0], new))
+        for words in _ordered(frames, "seq")["words"]:
+            if new := fold.append(list(words)):
+                out.append((key[0], new))
         state.update((fold.committed, fold.recent))
+        state.setTimeoutDuration(FORGET_MS)
         yield pd.DataFrame(out, columns=["session", "words"])
 
     return hypotheses.groupBy("session").applyInPandasWithState(
-        step, "session string, words array<string>", "committed array<string>, recent array<array<string>>", "append", GroupStateTimeout.NoTimeout
+        step, "session string, words array<string>", "committed array<string>, recent array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -132,6 +152,8 @@ class LateLabels(StatefulProcessor):
                 if known is None:
                     self.words.updateValue((int(index),), (speaker,))
                     changed[int(index)] = speaker
+        for old in list(self.handle.listTimers()):  # the timer runs from the last change
+            self.handle.deleteTimer(old)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         yield pd.DataFrame([(key[0], i, s, False) for i, s in sorted(changed.items())], columns=["sequence", "index", "speaker", "settled"])
 
@@ -151,15 +173,55 @@ def late_labels(updates: DataFrame, timeout_ms: int) -> DataFrame:
     )
 
 
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Name the version that readers take; the file appears by a rename, so a reader sees the old name or the new one."""
+    jvm = spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, now = Path(f"{path}/next"), Path(f"{path}/current")
+    out = fs.create(new, True)
+    out.writeBytes(version)
+    out.close()
+    fs.delete(now, False)
+    fs.rename(new, now)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    jvm = spark._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("current", "next"):
+        if fs.exists(Path(f"{path}/{name}")):
+            return spark.read.text(f"{path}/{name}").first()[0]
+    return None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upserted`` keeps at ``path``."""
+    version = _current(spark, path)
+    if version is None:
+        raise ValueError(f"nothing was written to {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def upserted(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Keep the newest row of each key at ``path``: each micro-batch writes a new version and then points to it."""
+    """Keep the newest row of each key at ``path``: each micro-batch writes a new version, points to it, and removes the one
+    before the last. The pointer tells where to go on, so a new checkpoint over an old path loses nothing, and a batch that
+    runs again gives the same rows."""
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if epoch:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{epoch - 1}"))
+        old = _current(spark, path)
+        rows = batch if old is None else batch.unionByName(spark.read.parquet(f"{path}/{old}"))
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        version = f"v-{uuid.uuid4().hex}"
+        newest.write.parquet(f"{path}/{version}")
+        _point(spark, path, version)
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(Path(path)):
+            name = f.getPath().getName()
+            if name.startswith("v-") and name not in (version, old):
+                fs.delete(f.getPath(), True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
