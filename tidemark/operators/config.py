@@ -59,3 +59,50 @@ def findings(settings: DataFrame, chosen: Sequence[Check] | None = None, keys: S
     ]
     rows = settings.withColumn("env", env).select(*keys, "env", F.explode(F.array_compact(F.array(*cells))).alias("f"))
     return rows.select(*keys, "env", "f.*").where("severity <> 'ok'")
+
+
+#: What marks an example secret, and shortest secrets of sessions and of local accounts.
+MARKER, SESSION_SECRET, LOCAL_PASSWORD = "CHANGEME", 32, 8
+SSO = ("azure_tenant_id", "azure_client_id", "azure_client_secret", "azure_redirect_uri", "allowed_group")
+
+
+def console_checks() -> list[Check]:
+    """The rules of an admin console's settings: text columns, empty where unset, and ``is_development``.
+
+    Columns: declared_env, is_development, admin_api_key, admin_session_secret, db_password, test_audio_service_key,
+    local_credentials (user, blank, password), those of SSO, redis_url.
+    """
+    t = lambda c: F.coalesce(F.col(c), F.lit(""))
+    unset = lambda c: t(c) == ""
+    example = lambda v: F.upper(v).contains(MARKER)
+    local = F.trim(t("local_credentials")) != ""
+    raw = t("local_credentials")
+    blank = F.instr(raw, " ")
+    password = F.when((blank > 1) & (blank < F.length(raw)), F.substring(raw, blank + 1, F.length(raw)))
+    n_sso = sum((F.when(unset(c), 0).otherwise(1) for c in SSO), F.lit(0))
+    able = ~unset(SSO[0]) & ~unset(SSO[1]) & ~unset(SSO[2])
+    beyond = unset(SSO[0]) | unset(SSO[1]) | unset(SSO[2]) | unset(SSO[3])
+    key = F.regexp_extract(t("redis_url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@:]*):([^/@]*)@", 1)
+    is_url = t("redis_url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
+    grave, rising, mild = ("advisory", "critical", "critical"), ("advisory", "warning", "critical"), ("advisory", "warning", "warning")
+    example_secrets = {"admin-api-key": "admin_api_key", "admin-session-secret": "admin_session_secret", "db-password": "db_password", "test-audio-service-key": "test_audio_service_key"}
+    secret = t("admin_session_secret")
+    return [
+        Check("deployment-env-invalid", "environment", ~F.col("declared_env").isin(*ENVIRONMENTS), ("warning", "warning", "warning")),
+        Check("dev-flag-in-deployed-env", "access", F.col("is_development"), ("ok", "critical", "critical")),
+        *(Check(f"{name}-placeholder", "secrets", example(t(c)), grave) for name, c in example_secrets.items()),
+        Check("admin-api-key-missing", "secrets", unset("admin_api_key"), ("critical", "critical", "critical")),
+        Check("db-password-missing", "secrets", unset("db_password"), ("warning", "critical", "critical")),
+        Check("admin-session-secret-missing", "secrets", secret == "", rising),
+        Check("admin-session-secret-weak", "secrets", ~example(secret) & (secret != "") & (F.length(secret) < SESSION_SECRET), rising),
+        Check("sso-incomplete-config", "access", (n_sso > 0) & (n_sso < len(SSO)) & beyond, mild),
+        Check("admin-local-credentials-placeholder", "access", local & example(raw), grave),
+        Check("admin-local-credentials-malformed", "access", local & ~example(raw) & password.isNull(), grave),
+        Check("admin-local-credentials-weak", "access", local & ~example(raw) & (F.length(password) < LOCAL_PASSWORD), rising),
+        Check("no-login-method", "access", ~local & (n_sso < len(SSO)), ("critical", "critical", "critical")),
+        Check("local-login-only", "access", local & ~able, ("ok", "advisory", "warning")),
+        Check("sso-no-group-restriction", "access", able & unset("allowed_group"), rising),
+        Check("fleet-telemetry-disabled", "telemetry", unset("redis_url"), ("advisory", "advisory", "warning")),
+        Check("redis-url-no-password", "telemetry", is_url & (key == ""), rising),
+        Check("redis-url-placeholder-password", "telemetry", example(key), grave),
+    ]
