@@ -8,8 +8,9 @@ asymmetric distances from lookup tables rule out candidates: a code's own error
 the triangle inequality a true link cannot look farther than the bound plus that error. What is
 left is compared exactly, in double precision.
 
-Equal vectors are one class. Lists of any size are cut into blocks that are compared in separate
-tasks, which return counts and a spanning forest, never pairs.
+Lists that lie close together form a region, to which a vector is sent once, whatever number of its
+lists it probes. Equal vectors are one class. Regions of any size are cut into blocks that are compared
+in separate tasks, which fold what they find into counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import arrow_map, columns_of, drop_written, written
 from tidemark.llm.components import connected_components, local_labels
 from tidemark.llm.vectors import dimension, matrix, sample, usable
 
-#: Vectors that the quantisers are fitted on, coarse lists, subspaces, codewords of each.
-SAMPLE, MAX_LISTS, SUBSPACES, CODEWORDS = 8192, 1024, 8, 64
-#: Vectors of a list that one task compares.
-BLOCK = 4096
+#: Vectors that the quantisers are fitted on at least, and for each list; coarse lists, subspaces, codewords of each.
+SAMPLE, PER_LIST, MAX_LISTS, SUBSPACES, CODEWORDS = 8192, 8, 4096, 8, 64
+#: Lists of a region.
+REGION = 16
+#: Vectors of a region, and vectors that probe it, of one task.
+BLOCK, PROBING = 4096, 16384
+#: Links of a task that are held before they are folded.
+PAIRS = 1 << 20
 EPS = 1e-9
 
 
@@ -48,6 +53,9 @@ class Quantiser:
         rest = unit - self.coarse[self.home(unit)]
         dim = unit.shape[1]
         self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
+        regions = max(1, -(-len(self.coarse) // REGION))
+        middles = kmeans(self.coarse, regions, seed=7)
+        self.region = ((self.coarse[:, None] - middles[None]) ** 2).sum(2).argmin(1) if regions > 1 else np.zeros(len(self.coarse), int)
         self.books = [kmeans(rest[:, a:b], min(CODEWORDS, len(rest)), seed=k) for k, (a, b) in enumerate(self.parts)]
 
     @property
@@ -100,77 +108,114 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _index(quantiser: Quantiser, dim: int, reach: float):
-    """Index rows and probe rows of every class."""
+    """Every class in its region, and once in each region that has lists it probes."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit(matrix(batch["embedding"], dim))
-            home, near = quantiser.probes(unit, reach)
-            codes, error = quantiser.encode(unit, home)
-            row, probe = np.nonzero(near)
-            n, m = len(unit), len(row)
-            take = pa.array(np.concatenate([np.arange(n), row]))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(near.sum(1))).astype(np.int32)), pa.array(probe.astype(np.int32))
-            )
-            cols = {
-                "list": pa.array(np.concatenate([home, probe]).astype(np.int32)), "probing": pa.array(np.arange(n + m) >= n),
-                "node": batch["node"].take(take), "mult": batch["mult"].take(take), "embedding": batch["embedding"].take(take),
-                "home": pa.array(home[np.concatenate([np.arange(n), row])].astype(np.int32)),
-                "code": pa.array([c.tobytes() for c in codes], pa.binary()).take(take), "error": pa.array(error).take(take),
-                "probes": pa.concat_arrays([lists, pa.nulls(m, lists.type)]),
-            }
-            yield pa.RecordBatch.from_pydict(cols)
+            for at in range(0, batch.num_rows, 1024):
+                yield told(batch.slice(at, 1024))
+
+    def told(batch):
+        unit = _unit(matrix(batch["embedding"], dim))
+        home, near = quantiser.probes(unit, reach)
+        codes, error = quantiser.encode(unit, home)
+        row, probe = np.nonzero(near)
+        by = np.lexsort((quantiser.region[probe], row))
+        row, probe = row[by], probe[by]
+        region = quantiser.region[probe]
+        new = np.nonzero(np.append(True, (row[1:] != row[:-1]) | (region[1:] != region[:-1])))[0] if len(row) else np.zeros(0, int)
+        n, m = len(unit), len(new)
+        take = pa.array(np.concatenate([np.arange(n), row[new]]))
+        # of a row at home all the lists it probes, of a row elsewhere those there
+        bounds = np.concatenate([[0], np.cumsum(near.sum(1)), len(probe) + np.append(new[1:], len(probe) if m else [])[:m]])
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate([probe, probe]).astype(np.int32)))
+        cols = {
+            "region": pa.array(np.concatenate([quantiser.region[home], region[new]]).astype(np.int32)), "probing": pa.array(np.arange(n + m) >= n),
+            "node": batch["node"].take(take), "mult": batch["mult"].take(take), "embedding": batch["embedding"].take(take),
+            "home": pa.array(home).cast(pa.int32()).take(take), "code": pa.array([c.tobytes() for c in codes], pa.binary()).take(take),
+            "error": pa.array(error).take(take), "probes": lists,
+        }
+        return pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
+class _Links:
+    """Links of a task by row numbers: how many each row has, and what connects them."""
+
+    def __init__(self, mult: np.ndarray) -> None:
+        self.mult, self.count, self.held = mult, np.zeros(len(mult), np.int64), 0
+        self.i, self.j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.count, i, self.mult[j])
+        np.add.at(self.count, j, self.mult[i])
+        self.i.append(i)
+        self.j.append(j)
+        self.held += len(i)
+        if self.held > PAIRS:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        """Smallest row that each is connected with; what is held shrinks to a forest."""
+        lab = local_labels(len(self.mult), np.concatenate(self.i), np.concatenate(self.j))
+        on = np.nonzero(lab != np.arange(len(lab)))[0]
+        self.i, self.j, self.held = [on], [lab[on]], len(on)
+        return lab
+
+
 def _compare(quantiser: Quantiser, dim: int, cosine: float):
-    """One block pair of a list: links counted by class, and a forest of them."""
+    """One task: links counted by class, and a forest of them. Kind 0 compares a region's vectors of one list, kind 1 those that probe with those probed."""
     bound = np.sqrt(2 - 2 * cosine)
 
     def run(key, table):
-        which, _, p, q = (k.as_py() for k in key)
+        _, kind, p, q = (k.as_py() for k in key)
         unit = _unit(matrix(table["embedding"], dim))
         node, mult = (np.asarray(table[c].combine_chunks()) for c in ("node", "mult"))
         probing, own = np.asarray(table["probing"].combine_chunks().cast(pa.int8())) > 0, np.asarray(table["own"].combine_chunks())
-        home = np.asarray(table["home"].combine_chunks())
-        order = np.lexsort((node, own, probing))
-        foreign = probing.any()
-        if foreign:
-            left, right = order[probing[order]], order[~probing[order]]
-        elif p == q:
-            left = right = order
-        else:
-            left, right = order[own[order] == p], order[own[order] == q]
-        codes = np.frombuffer(b"".join(table["code"].take(pa.array(right)).to_pylist()), np.uint8).reshape(len(right), -1)
-        error = np.asarray(table["error"].combine_chunks())[right]
-        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(left) if len(right) else 0, 512):
-            rows = left[at : at + 512]
-            far = quantiser.asymmetric(unit[rows], which, codes)
-            a, b = np.nonzero(far <= ((bound + error) ** 2 + 1e-4).astype(np.float32))
-            a, b = rows[a], right[b]
-            if not foreign and p == q:
-                a, b = a[node[a] < node[b]], b[node[a] < node[b]]
-            for s in range(0, len(a), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                hit = (unit[x] * unit[y]).sum(1) >= cosine - 1e-12
-                i.append(x[hit])
-                j.append(y[hit])
-        i, j = np.concatenate(i), np.concatenate(j)
-        if foreign and len(i):  # a pair that each finds from its side counts where the smaller one probes
-            probes = table["probes"].combine_chunks()
-            back = {k: set(probes[k].as_py() or ()) for k in np.unique(j).tolist()}
-            both = np.array([h in back[k] for h, k in zip(home[i].tolist(), j.tolist(), strict=True)])
-            keep = ~both | (node[i] < node[j])
-            i, j = i[keep], j[keep]
-        links = np.bincount(i, mult[j], len(node)) + np.bincount(j, mult[i], len(node))
-        lab = local_labels(len(node), i, j)
-        on = np.nonzero(links > 0)[0]
-        return pa.table({"a": pa.array(node[on]), "b": pa.array(node[lab[on]]), "n": pa.array(links[on].astype(np.int64))})
+        home, probes = np.asarray(table["home"].combine_chunks()), table["probes"].combine_chunks()
+        codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(node), -1)
+        error = np.asarray(table["error"].combine_chunks())
+        here = np.nonzero(~probing)[0]
+        here = here[np.lexsort((node[here], home[here]))]
+        links = _Links(mult)
+        if kind:
+            size = np.diff(np.asarray(probes.offsets))
+            asked = np.asarray(probes.values)[: size.sum()] if probes.offset == 0 else np.asarray(probes.flatten())
+            who = np.repeat(np.arange(len(node)), size)
+            on = probing[who]
+            who, asked = who[on], asked[on]
+            by = np.argsort(asked, kind="stable")
+            who, asked = who[by], asked[by]
+            back: dict[int, set[int]] = {}
+        for which in np.unique(home[here]).tolist():
+            right = here[np.searchsorted(home[here], which) : np.searchsorted(home[here], which, side="right")]
+            if kind:
+                left = who[np.searchsorted(asked, which) : np.searchsorted(asked, which, side="right")]
+            elif p == q:
+                left = right
+            else:
+                left, right = right[own[right] == p], right[own[right] == q]
+            for at in range(0, len(left) if len(right) else 0, 512):
+                rows = left[at : at + 512]
+                far = quantiser.asymmetric(unit[rows], which, codes[right])
+                a, b = np.nonzero(far <= ((bound + error[right]) ** 2 + 1e-4).astype(np.float32))
+                a, b = rows[a], right[b]
+                if not kind and p == q:
+                    a, b = a[node[a] < node[b]], b[node[a] < node[b]]
+                for s in range(0, len(a), 1 << 16):
+                    x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+                    hit = (unit[x] * unit[y]).sum(1) >= cosine
+                    x, y = x[hit], y[hit]
+                    if kind and len(x):  # a pair that each finds from its side counts where the smaller one probes
+                        back |= {k: set(probes[k].as_py()) for k in np.unique(y).tolist() if k not in back}
+                        both = np.array([h in back[k] for h, k in zip(home[x].tolist(), y.tolist(), strict=True)])
+                        keep = ~both | (node[x] < node[y])
+                        x, y = x[keep], y[keep]
+                    links.add(x, y)
+        lab = links.fold()
+        on = np.nonzero(links.count > 0)[0]
+        return pa.table({"a": pa.array(node[on]), "b": pa.array(node[lab[on]]), "n": pa.array(links.count[on])})
 
     return run
 
@@ -181,9 +226,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, lists: int | None
     Defined cases: vectors that are null, zero, not finite, or not of the commonest length link with
     nothing: no links, a component of their own, kept. Equal vectors link with each other. A null
     vec_id takes no part and gives null. Repeated ids: rows of one id and vector are rows of one
-    class. An empty table gives no rows; other columns are ignored.
+    class. An empty table gives no rows; other columns are ignored, also where a name differs in case only.
     """
-    rows = vectors.select("vec_id", "embedding")
+    rows = columns_of(vectors, "vec_id", "embedding")
     good = rows.where(usable() & F.col("vec_id").isNotNull())
     dim = dimension(good)
     good = good.where(F.size("embedding") == dim)
@@ -192,20 +237,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, lists: int | None
     n = classes.count()
     if n:
         k = lists or max(1, min(MAX_LISTS, round(n**0.5)))
-        quantiser = Quantiser(_unit(sample(classes, "node", SAMPLE)), k)
+        quantiser = Quantiser(_unit(sample(classes, "node", max(SAMPLE, PER_LIST * k))), k)
         reach = float(np.sqrt(2 - 2 * cosine)) / 2
         kind = classes.schema["embedding"].dataType.simpleString()
-        indexed = classes.select("node", "mult", "embedding").mapInArrow(
-            _index(quantiser, dim, reach),
-            f"list int, probing boolean, node long, mult long, embedding {kind}, home int, code binary, error double, probes array<int>",
+        indexed = arrow_map(
+            classes.select("node", "mult", "embedding"), _index(quantiser, dim, reach),
+            f"region int, probing boolean, node long, mult long, embedding {kind}, home int, code binary, error double, probes array<int>",
         )
         indexed = written(indexed, "lists")
-        sizes = indexed.groupBy("list").agg(
+        sizes = indexed.groupBy("region").agg(
             F.ceil(F.sum((~F.col("probing")).cast("long")) / block).cast("int").alias("ni"),
-            F.ceil(F.sum(F.col("probing").cast("long")) / block).cast("int").alias("nq"),
+            F.ceil(F.sum(F.col("probing").cast("long")) / (block * PROBING // BLOCK)).cast("int").alias("nq"),
         )
-        # a row a list, MAX_LISTS at most
-        dealt = indexed.join(F.broadcast(sizes), "list").withColumn(
+        # a row a region, MAX_LISTS at most
+        dealt = indexed.join(F.broadcast(sizes), "region").withColumn(
             "own", F.pmod(F.xxhash64("node"), F.when(F.col("probing"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
         )
         upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -216,8 +261,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, lists: int | None
         asked = dealt.where("probing and ni > 0").withColumn("o", F.explode(upto(F.col("ni"))))
         asked = asked.select("*", F.lit(1).alias("kind"), F.col("o").alias("p"), F.col("own").alias("q"))
         tasks = inner.unionByName(held).unionByName(asked)
-        found = tasks.groupBy("list", "kind", "p", "q").applyInArrow(_compare(quantiser, dim, cosine), "a long, b long, n long")
+        found = tasks.groupBy("region", "kind", "p", "q").applyInArrow(_compare(quantiser, dim, cosine), "a long, b long, n long")
         found = written(found, "links")
+        drop_written(indexed)
         counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
         roots = connected_components(found.select("a", "b"))
         members = members.join(counts, "node", "left").join(roots, "node", "left")
