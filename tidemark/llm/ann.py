@@ -3,8 +3,9 @@
 On a bounded sample the neighbour graph is built exactly and cut into balanced partitions; a small
 network learns to tell, from a vector, where its neighbours lie. Every vector is indexed in its
 likeliest partition. A query goes to the most probable partitions until their probabilities add up
-to ``MASS``, so clustered data are searched in few and shapeless data in many, and what it meets is
-ranked by the exact inner product, ties to the smaller id.
+to ``MASS`` and they hold as many vectors as it asks for, so clustered data are searched in few and
+shapeless data in many, and what it meets is ranked by the exact inner product, ties to the smaller
+id. There are more partitions the larger the table is.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import arrow_map, columns_of, written
 from tidemark.llm.vectors import dimension, matrix, sample, usable
 
-#: Vectors the graph is built on, its neighbours, partitions, hidden units.
-SAMPLE, NEIGHBOURS, PARTITIONS, HIDDEN = 4096, 20, 16, 128
+#: Vectors the graph is built on at least, and for each partition; its neighbours, hidden units.
+SAMPLE, PER_PARTITION, NEIGHBOURS, HIDDEN = 4096, 64, 20, 128
+#: Least and most partitions.
+PARTITIONS = (16, 256)
 #: Probability that the partitions a query goes to must hold together.
 MASS = 0.97
 #: Indexed vectors, and queries, of one task.
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 8192
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -111,12 +114,17 @@ class Router:
                     setattr(self, k, getattr(self, k) - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8))
 
 
-def learn(x: np.ndarray, parts: int = PARTITIONS) -> tuple[Router, Router]:
+def partitions_for(n: int) -> int:
+    """Partitions of a table of ``n`` vectors: a quarter of their square root, within bounds."""
+    return max(PARTITIONS[0], min(PARTITIONS[1], round(n**0.5 / 4)))
+
+
+def learn(x: np.ndarray, parts: int) -> tuple[Router, Router]:
     """(assigner, router): the first gives a vector its partition, the second tells where a query's neighbours are indexed."""
     scale = np.linalg.norm(x, axis=1).mean() or 1.0
     x = x / scale
     k = min(NEIGHBOURS, len(x) - 1)
-    parts = max(1, min(parts, len(x) // 32))
+    parts = min(len(x), max(2, min(parts, len(x) // 32)))
     assign, route = Router(x.shape[1], parts), Router(x.shape[1], parts, seed=10)
     assign.scale = route.scale = scale
     if parts == 1:
@@ -163,49 +171,57 @@ def _search(dim: int, top: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int = PARTITIONS, mass: float = MASS) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int | None = None, mass: float = MASS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` largest inner products found of each row whose id ``every`` divides.
 
     Every usable row but the query's own is a candidate. Defined cases: vectors that are null, zero,
     not finite or not of the commonest length, and null ids, take no part; ties go to the smaller id;
     of rows that share an id the equal ones count once; with few rows all are returned; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored, also where a name differs in case only.
     """
-    good = vectors.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
+    good = columns_of(vectors, "vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull()).distinct()
     dim = dimension(good)
     good = written(good.where(F.size("embedding") == dim), "vectors")
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    x = sample(good, "vec_id", SAMPLE)
+    parts = parts or partitions_for(good.count())
+    x = sample(good, "vec_id", max(SAMPLE, PER_PARTITION * parts))
     if not len(x):
         return spark.createDataFrame([], schema)
     assign, route = learn(x, parts)
 
     def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home = assign.probabilities(matrix(batch["embedding"], dim) / assign.scale).argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *batch.columns], names=["part", *batch.schema.names])
+
+    kind = good.schema["embedding"].dataType.simpleString()
+    placed = written(arrow_map(good, place, f"part int, vec_id long, embedding {kind}"), "placed")
+    held = np.zeros(parts, np.int64)
+    for r in placed.groupBy("part").count().collect():  # PARTITIONS[1] rows at most
+        held[r["part"]] = r["count"]
+
+    def ask(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch["embedding"], dim) / assign.scale
-            home = assign.probabilities(v).argmax(1)
-            ask = np.asarray(batch["vec_id"]) % every == 0
-            row = np.nonzero(ask)[0]
-            p = route.probabilities(v[row])
-            order = np.argsort(-p, axis=1)
-            before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-            r, c = np.nonzero(before < mass)
-            take = pa.array(np.concatenate([np.arange(len(v)), row[r]]))
+            p = route.probabilities(matrix(batch["embedding"], dim) / assign.scale)
+            order = np.argsort(-p, axis=1, kind="stable")
+            sure, met = np.take_along_axis(p, order, 1), held[order]
+            before, seen = np.cumsum(sure, 1) - sure, np.cumsum(met, 1) - met
+            r, c = np.nonzero((before < mass) | (seen <= top))  # the query's own row is one of those met
+            take = pa.array(r)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([home, order[r, c]]).astype(np.int32)), pa.array(np.arange(len(take)) >= len(v)),
-                 batch["vec_id"].take(take), batch["embedding"].take(take)],
-                names=["part", "asks", "vec_id", "embedding"],
+                [pa.array(order[r, c].astype(np.int32)), batch["vec_id"].take(take), batch["embedding"].take(take)], names=["part", "vec_id", "embedding"]
             )
 
-    kind = good.schema["embedding"].dataType.simpleString()
-    placed = written(good.mapInArrow(place, f"part int, asks boolean, vec_id long, embedding {kind}"), "placed")
-    sizes = placed.groupBy("part").agg(
-        F.ceil(F.sum((~F.col("asks")).cast("long")) / BLOCK).cast("int").alias("ni"), F.ceil(F.sum(F.col("asks").cast("long")) / QUERIES).cast("int").alias("nq")
-    )
-    dealt = placed.join(F.broadcast(sizes), "part").where("ni > 0 and nq > 0")  # a row a partition
+    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
+    asked = written(arrow_map(queries, ask, f"part int, vec_id long, embedding {kind}"), "asked")
+    blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
+    blocks = blocks.join(placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ni")), "part")
+    both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    dealt = both.join(F.broadcast(blocks), "part")  # a row a partition
     own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("asks"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("ni")).otherwise(F.col("nq")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
