@@ -3,8 +3,8 @@
 The pieces come from a fixed public vocabulary. Each language has a probability for every piece,
 fitted by expectation maximisation over all segmentations of its words. A word's likelihood is the
 sum over all its segmentations, from a forward pass; a text's is the product over its words. The
-fit uses a sample bounded by ``DOCS`` rows and ``WORDS`` distinct words a language, the first by a
-hash of their ids; every text is scored whole, and each distinct word of a batch once.
+fit uses a sample bounded by ``DOCS`` rows a language, the first by a hash of their ids and texts;
+every text is scored whole, runs of letters of any length too, and each distinct word of a batch once.
 """
 
 from __future__ import annotations
@@ -18,20 +18,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, text_slices
+from tidemark.llm.common import arrow_map, columns_of, crc_of_id, text_slices
 from tidemark.llm.toxicity import word_lists
 
-DOCS, WORDS = 1500, 20_000
+#: Training rows a language; Spark finds them with a group limit in each task up to 1000.
+DOCS = 600
 #: Languages with fewer training rows than this are still learned; there may be at most so many languages.
 MAX_LANGUAGES = 256
-BUCKETS = 4096
-LONGEST_PIECE = 8
-#: Longer runs are scored as consecutive runs of this length.
-LONGEST_WORD = 40
+#: Runs longer than this are summed one at a time, in blocks of places.
+LONG, PLACES = 64, 4096
 ROUNDS = 5
 UNKNOWN = 1e-7
 REMEMBERED = 400_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BEGIN = "▁"
 UND = "und"
 
@@ -49,31 +48,38 @@ def pieces(path: str) -> dict[str, int]:
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     names = sorted({p.id_to_piece(i) for i in range(p.get_piece_size())})
-    fit = [n for n in names if len(n) <= LONGEST_PIECE and (n == BEGIN or n.removeprefix(BEGIN).isalpha())]
+    fit = [n for n in names if n == BEGIN or n.removeprefix(BEGIN).isalpha()]
     return {n: k for k, n in enumerate(fit)}
 
 
+def longest(known: dict[str, int]) -> int:
+    return max(map(len, known), default=1)
+
+
 def grids(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words by length: (their places, for each end j and piece length l the piece that ends there; unknown ones are last)."""
-    none, by = len(known), {}
+    none, by, most = len(known), {}, longest(known)
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
     get = known.get
     for n, at in by.items():
-        spans = [(j, l) for j in range(1, n + 1) for l in range(1, min(LONGEST_PIECE, j) + 1)]
+        spans = [(j, l) for j in range(1, n + 1) for l in range(1, min(most, j) + 1)]
         cells = [[get(w[j - l : j], none) for j, l in spans] for w in (words[k] for k in at)]
-        grid = np.full((len(at), n + 1, LONGEST_PIECE + 1), none, np.int32)
+        grid = np.full((len(at), n + 1, most + 1), none, np.int32)
         grid[:, [s[0] for s in spans], [s[1] for s in spans]] = cells
         yield np.array(at), grid
 
 
 def forward(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]; ``table`` has a row a piece and one, zero, for none. A single unknown letter costs UNKNOWN."""
-    w, n = grid.shape[:2]
+    """alpha[word, end, language]; ``table`` has a row a piece and one, zero, for none. A single unknown letter costs UNKNOWN.
+
+    For words of LONG letters or fewer; one that comes near underflow is summed again by ``long_likelihood``.
+    """
+    w, n, most = grid.shape
     alpha = np.zeros((w, n, table.shape[1]))
     alpha[:, 0] = 1
     for j in range(1, n):
-        for l in range(1, min(LONGEST_PIECE, j) + 1):
+        for l in range(1, min(most - 1, j) + 1):
             p = table[grid[:, j, l]]
             if l == 1:
                 p = np.maximum(p, UNKNOWN)
@@ -81,31 +87,55 @@ def forward(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_likelihood(word: str, known: dict[str, int], table: np.ndarray) -> np.ndarray:
+    """log P of one run of any length in each language: the forward pass with what it may underflow by kept as a logarithm."""
+    most, none, get = longest(known), len(known), known.get
+    last = np.zeros((most, table.shape[1]))  # alpha of the last ends, the newest first
+    last[0] = 1
+    scale = np.zeros(table.shape[1])
+    for begin in range(0, len(word), PLACES):
+        for j in range(begin + 1, min(begin + PLACES, len(word)) + 1):
+            p = table[[get(word[j - l : j], none) if l <= j else none for l in range(1, most + 1)]]
+            p[0] = np.maximum(p[0], UNKNOWN)
+            new = (last * p).sum(0)
+            last = np.concatenate([new[None], last[:-1]])
+            if j % 8 == 0:
+                top = last.max(0)
+                last /= top
+                scale += np.log(top)
+    return scale + np.log(last[0])
+
+
 def log_likelihood(words: list[str], known: dict[str, int], table: np.ndarray) -> np.ndarray:
     """log P(word) in each language, over all segmentations."""
     out = np.zeros((len(words), table.shape[1]))
-    for at, grid in grids(words, known):
+    short = [k for k, w in enumerate(words) if len(w) <= LONG]
+    for at, grid in grids([words[k] for k in short], known):
         for k in range(0, len(at), 4096):
-            out[at[k : k + 4096]] = np.log(np.maximum(forward(grid[k : k + 4096], table)[:, -1], 1e-300))
+            alpha = forward(grid[k : k + 4096], table)[:, -1]
+            out[np.asarray(short)[at[k : k + 4096]]] = np.log(np.maximum(alpha, 1e-300))
+    for k, w in enumerate(words):
+        if len(w) > LONG or out[k].min(initial=0) < -600:
+            out[k] = long_likelihood(w, known, table)
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, known: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected use of each piece by one language's words: the forward-backward step."""
-    table, out = np.append(p, 0.0)[:, None], np.zeros(len(known) + 1)
-    for at, grid in grids(words, known):
+    """Expected use of each piece by one language's words: the forward-backward step. Runs over LONG letters teach nothing."""
+    table, out, most = np.append(p, 0.0)[:, None], np.zeros(len(known) + 1), longest(known)
+    for at, grid in grids([w if len(w) <= LONG else "" for w in words], known):
         alpha = forward(grid, table)[:, :, 0]
         n = grid.shape[1]
         beta = np.zeros_like(alpha)
         beta[:, n - 1] = 1
         share = counts[at] / np.maximum(alpha[:, n - 1], 1e-300)
         for j in range(n - 1, 0, -1):
-            for l in range(1, min(LONGEST_PIECE, j) + 1):
+            for l in range(1, min(most, j) + 1):
                 q = table[grid[:, j, l], 0]
                 if l == 1:
                     q = np.maximum(q, UNKNOWN)
                 beta[:, j - l] += beta[:, j] * q
-                np.add.at(out, grid[:, j, l], share * alpha[:, j - l] * q * beta[:, j])
+                out += np.bincount(grid[:, j, l], share * alpha[:, j - l] * q * beta[:, j], len(out))
     return out[:-1]
 
 
@@ -120,10 +150,8 @@ def fit_language(words: list[str], counts: np.ndarray, known: dict[str, int], ro
 def runs(word: str) -> list[str]:
     """The letter runs of a folded word as the model sees them."""
     if word.isalpha():
-        parts = [word]
-    else:
-        parts = "".join(c if c.isalpha() else " " for c in word).split()
-    return [BEGIN + p[k : k + LONGEST_WORD] for p in parts for k in range(0, len(p), LONGEST_WORD)]
+        return [BEGIN + word]
+    return [BEGIN + p for p in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 class Model:
@@ -171,18 +199,17 @@ class Model:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """Training rows, at most about DOCS a language, chosen by ranges of an id hash from counts over all rows."""
+    """Training rows, DOCS a language at most: the first by a hash of id and text, of equal rows one."""
     spark = docs.sparkSession
     train = docs.where(F.col("lang").isNotNull() & F.coalesce(F.pmod(crc_of_id(), F.lit(3)) != 1, F.lit(True)))
-    bucket = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(BUCKETS))
-    sizes = train.groupBy("lang", bucket.alias("bucket")).count()
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket"))
-    last = sizes.withColumn("n", upto).where((F.col("n") <= DOCS) | (F.col("n") == F.col("count")))
-    rows = last.groupBy("lang").agg(F.max("bucket").alias("last")).limit(MAX_LANGUAGES + 1).collect()
+    train = train.withColumn("_at", F.xxhash64(F.lit("langid"), "doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
+    ends = train.select("lang", "_at").distinct().withColumn("_k", place).where(F.col("_k") <= DOCS)
+    rows = ends.groupBy("lang").agg(F.max("_at").alias("last")).limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     upto = F.broadcast(spark.createDataFrame([(r["lang"], r["last"]) for r in rows], "lang string, last long"))
-    return train.withColumn("bucket", bucket).join(upto, "lang").where("bucket <= last").select("lang", "text")
+    return train.join(upto, "lang").where("_at <= last").dropDuplicates(["lang", "_at"]).select("lang", "text")
 
 
 def fit(docs: DataFrame, path: str | None = None) -> Model:
@@ -194,9 +221,8 @@ def fit(docs: DataFrame, path: str | None = None) -> Model:
             table = pa.table({"lang": batch["lang"].take(pa.array(row)), "word": words}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).combine_chunks().to_batches()
 
-    words = _sample(docs).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    top = words.where("word <> ''").withColumn("rank", rank).where(F.col("rank") <= WORDS).select("lang", "word", "n").toArrow()
+    words = arrow_map(_sample(docs), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = words.where("word <> ''").toArrow()  # the words of DOCS texts a language
     by: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(top[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         own = by.setdefault(lang, {})
@@ -212,10 +238,12 @@ def predictions(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Learned only from rows with a language whose crc32(doc_id) mod 3 is not 1. Defined cases: null
     texts and those without letters are ``und`` with score 0, and so is everything where nothing can
-    be learned; null ids are not held out; equal scores go to the first language by name; repeated
-    rows give a row each; other columns are ignored; an empty table gives no rows.
+    be learned; null ids are not held out; very long texts, and runs of letters of any length, are
+    summed whole; equal scores go to the first language by name; repeated rows give a row each; other
+    columns are ignored, also where a name differs in case only; an empty table gives no rows.
     """
-    model = fit(docs.select("doc_id", "lang", "text"), path)
+    docs = columns_of(docs, "doc_id", "lang", "text")
+    model = fit(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -230,6 +258,5 @@ def predictions(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return arrow_map(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
