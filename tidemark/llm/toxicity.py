@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, restored, shielded, text_slices
+from tidemark.llm.common import arrow_map, columns_of, crc_of_id, drop_written, restored, shielded, text_slices, written
 
 MAX_POSITIVE, MAX_UNLABELLED = 1500, 6000
-#: Features of the model, sampled positives that must hold one, how many times likelier it must be in them, and by
-#: how many standard deviations.
-MAX_FEATURES, LEAST_POSITIVE, LIFT, DEVIATIONS = 20_000, 4, 2.0, 5.0
+#: Sampled positives that must hold a feature, how many times likelier it must be in them, and by how many standard
+#: deviations: what is no likelier in confirmed texts has no weight of its own.
+LEAST_POSITIVE, LIFT, DEVIATIONS = 4, 2.0, 5.0
 #: Lengths of word beginnings, and how many different words of a text must have a feature.
 BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 4)
 THRESHOLD = 0.3
@@ -54,23 +54,31 @@ def features_of(word: str) -> list[str]:
     return [" " + word, *(word[:k] for k in BEGINNINGS if k < len(word))] if word else []
 
 
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk at logits z: prior * E_P[loss(+)], and E_U[loss(-)] - prior * E_P[loss(-)], which counts as zero below."""
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+    return float(prior * plus[positive].sum() / n_p), float(minus[~positive].sum() / n_u - prior * minus[positive].sum() / n_p)
+
+
+def slope(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """The step's direction at each logit: the risk's gradient, or, where its second part is negative, back from that part."""
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    back = np.where(positive, -prior * p / n_p, p / n_u)
+    return np.where(positive, -prior * (1 - p) / n_p, 0.0) + back if risk(z, positive, prior)[1] >= 0 else -back
+
+
 def nnpu(
     rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.03, sparse: float = 1e-3
 ) -> tuple[np.ndarray, float]:
     """Weights and bias. ``rows``: features each text has; ``positive``: whether it is a confirmed one."""
     flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[flat], len(rows)) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss_minus = np.logaddexp(0, z)
-        negative = loss_minus[~positive].sum() / n_u - prior * loss_minus[positive].sum() / n_p
-        g = np.where(positive, -prior * (1 - p) / n_p, 0.0)
-        back = np.where(positive, -prior * p / n_p, p / n_u)
-        g = g + back if negative >= 0 else -back  # a negative risk is an overfit one: step back from it
+        g = slope(np.bincount(row, w[flat], len(rows)) + b, positive, prior)
         grad = np.append(np.bincount(flat, g[row], size), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         pace = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -99,13 +107,14 @@ def _sampled(docs: DataFrame, labels: DataFrame, prior: float | None = None) ->
         return None
     if prior is None:
         prior = told["k"] / told["n"] if told["k"] < told["n"] else PRIOR
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
     places = marks.select("doc_id", (F.col("_toxic") == 1).alias("_positive"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & train).distinct().join(places, "doc_id", "left")
     first = lambda rows, k: rows.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(k)
     # the unlabelled sample is drawn from all rows, confirmed ones included, as the prior is theirs
     chosen = first(ids.where("_positive"), MAX_POSITIVE).unionByName(first(ids, MAX_UNLABELLED).withColumn("_positive", F.lit(False)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # MAX_POSITIVE + MAX_UNLABELLED rows
-    return rows.select("text", "_positive"), prior
+    return written(rows.select("text", "_positive"), "sample"), prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
@@ -128,10 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
             lists = [sorted(x) for x in lists]
             yield pa.RecordBatch.from_arrays([batch["_positive"], pa.array(lists, pa.list_(pa.string()))], names=["positive", "words"])
 
-    each = sample.mapInArrow(words, "positive boolean, words array<string>")
+    each = arrow_map(sample, words, "positive boolean, words array<string>")
     # only what enough positives hold can count for anything
     often = each.where("positive").select(F.explode("words").alias("word")).groupBy("word").count()
-    often = often.where(F.col("count") >= LEAST_POSITIVE).orderBy(F.col("count").desc(), "word").limit(MAX_FEATURES)
+    often = often.where(F.col("count") >= LEAST_POSITIVE)  # of MAX_POSITIVE texts
     vocabulary = tuple(sorted(r["word"] for r in often.collect()))
     place = {w: k for k, w in enumerate(vocabulary)}
 
@@ -139,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
         for batch in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["_positive"], pa.array(_present(batch["text"], place), pa.list_(pa.int32()))], names=["positive", "at"])
 
-    table = sample.mapInArrow(numbers, "positive boolean, at array<int>").toArrow()
+    table = arrow_map(sample, numbers, "positive boolean, at array<int>").toArrow()
     rows = [np.asarray(a.values) for a in table["at"].combine_chunks()]
     positive = np.asarray(table["positive"].to_pylist(), bool)
     held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, p in zip(rows, positive, strict=True) if p == side)]), minlength=len(place) * len(LEVELS)) for side in (True, False)]
@@ -148,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     apart = (held[0] / n_p - held[1] / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
     keep = (held[0] * n_u > LIFT * (held[1] + 1) * n_p) & (apart > DEVIATIONS)
     names = np.cumsum(keep) - 1
+    drop_written(sample)
     weights, bias = nnpu([names[r[keep[r]]] for r in rows], positive, int(keep.sum()), prior)
     used = np.nonzero(weights)[0]
     own = np.nonzero(keep)[0][used]  # feature numbers, a level each
@@ -194,22 +204,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([out, *batch.columns], names=["_score", *batch.schema.names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"_score double, {kept}")
+    return arrow_map(docs, run, f"_score double, {kept}")
 
 
 def predictions(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Defined cases: null and empty texts score the bias; null ids are not held out and train nothing;
-    of several labels of an id the toxic one counts; repeated rows give a row each; other columns
-    are ignored; an empty table gives no rows.
+    Defined cases: null and empty texts score the bias; very long texts are scored whole; null ids are
+    not held out and train nothing; of several labels of an id the toxic one counts; texts of equal
+    words score alike; repeated rows give a row each; other columns are ignored, also where a name
+    differs in case only; an empty table gives no rows.
     """
-    out = score(docs.select("doc_id", "text"), fit(docs, labels, prior))
+    docs, labels = columns_of(docs, "doc_id", "text"), columns_of(labels, "doc_id", "toxic")
+    out = score(docs, fit(docs, labels, prior))
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; every column stays."""
+    """``docs`` without the rows that score ``threshold`` or more, and more than a text of which nothing is known; every column stays.
+
+    Defined cases: null, blank and empty texts stay, and so does everything where nothing is learned,
+    whatever the class prior; repeated rows go or stay together; null ids are scored like others;
+    columns may have any names; an empty table gives none.
+    """
     rows, inner = shielded(docs)
-    return restored(score(rows, fit(docs, labels, prior)).where(F.col("_score") < threshold), docs, inner)
+    model = fit(columns_of(docs, "doc_id", "text"), columns_of(labels, "doc_id", "toxic"), prior)
+    bare = 1 / (1 + float(np.exp(-np.clip(model.bias, -40, 40))))
+    toxic = (F.col("_score") >= threshold) & (F.col("_score") > bare)
+    return restored(score(rows, model).where(~toxic), docs, inner)
