@@ -18,8 +18,8 @@ from tidemark.llm.common import restored, shielded, written
 
 #: Leaves a mixture may have; a tree with target weights is written by hand or by rule, not per document.
 MAX_LEAVES = 100_000
-#: Buckets of the seeded order over which a leaf's tokens are summed.
-ORDER_BITS = 12
+#: Bits of the seeded order by which each step narrows the place where a leaf's prefix ends, and steps.
+ORDER_BITS, STEPS = 8, 4
 #: Stands for a null domain, language or source.
 NONE = "(none)"
 #: Production weights: by domain, then by language; sources of one language share alike.
@@ -109,16 +109,18 @@ def decisions(
     leaves = spark.createDataFrame(
         plan, "_leaf struct<domain:string,lang:string,source:string>, tokens long, budget long, whole int, part long"
     )
-    shift = 63 - ORDER_BITS
     placed = narrow.join(F.broadcast(leaves.where("part > 0").select("_leaf", "whole", "part")), "_leaf")
-    placed = placed.withColumn("_at", _order(seed, F.col("whole"))).withColumn("_bucket", F.shiftright("_at", shift))
-    sums = placed.groupBy("_leaf", "part", "_bucket").agg(F.sum("n_tokens").alias("n"))
+    placed = placed.withColumn("_at", _order(seed, F.col("whole")))
     run = Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    edge = sums.where("before < part").groupBy("_leaf").agg(F.max_by(F.struct("_bucket", "before"), "_bucket").alias("e"))
-    inside = placed.join(F.broadcast(edge), "_leaf").where("_bucket = e._bucket")
+    inside = placed.withColumn("_from", F.lit(0).cast("long"))
+    for k in range(1, STEPS + 1):  # sums of 2 ** ORDER_BITS ranges tell in which of them the prefix ends; only that one is looked into
+        bucket = F.shiftright("_at", 63 - k * ORDER_BITS)
+        sums = inside.groupBy("_leaf", "part", "_from", bucket.alias("_bucket")).agg(F.sum("n_tokens").alias("n"))
+        sums = sums.withColumn("_before", F.col("_from") + F.coalesce(F.sum("n").over(run), F.lit(0)))
+        edge = sums.where("_before < part").groupBy("_leaf").agg(F.max_by(F.struct("_bucket", "_before"), "_bucket").alias("e"))
+        inside = placed.join(F.broadcast(edge), "_leaf").where(bucket == F.col("e._bucket")).withColumn("_from", F.col("e._before")).drop("e")
     step = Window.partitionBy("_leaf").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("start", F.col("e.before") + F.coalesce(F.sum("n_tokens").over(step), F.lit(0)))
+    inside = inside.withColumn("start", F.col("_from") + F.coalesce(F.sum("n_tokens").over(step), F.lit(0)))
     last = inside.where("start < part").groupBy("_leaf").agg(F.max("_at").alias("last"))
     return leaves.join(last, "_leaf", "left").select("_leaf", "tokens", "budget", "whole", F.coalesce("last", F.lit(-1)).alias("last"))
 
