@@ -164,7 +164,7 @@ def test_shards_hold_groups_and_number_slots(spark):
         by_text[text[r["doc_id"]]].add(r["shard"])
         raw = text[r["doc_id"]]
         assert r["size"] == len((raw or "").encode()) + 16
-        assert r["text_crc32"] == (None if raw is None else zlib.crc32(raw.encode()))
+        assert r["text_crc32"] == zlib.crc32((raw or "").encode())
         sizes[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in by_text.values())

@@ -12,15 +12,15 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import columns_of, drop_written, written
 
 #: Most key ranges that the driver looks at in one round.
 RANGES = 1 << 16
-#: Sub-buckets over which the slots of a shard are numbered.
-SLOT_BUCKETS = 128
+#: Least sub-buckets over which the slots of a shard are numbered, and rows of one that more are made for.
+SLOT_BUCKETS, SLOT_ROWS = 128, 1 << 16
 #: Bits of the key; it is the first 63 bits of the text's digest.
 KEY_BITS = 63
 
@@ -54,11 +54,6 @@ def smallest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return lo, _feasible(sizes, sums, lo, shards) or []
 
 
-def _pieces(ranges: list[Range]) -> list[tuple[int, int]]:
-    """Ranges as (range index, size) of unit pieces: the fluid relaxation lets a range of several groups be cut anywhere."""
-    return [(k, r[2]) for k, r in enumerate(ranges)]
-
-
 def _fluid_ends(ranges: list[Range], sums: list[int], capacity: int, shards: int, early: bool) -> list[int]:
     """Range that holds each shard's end under greedy filling when ranges of several groups can be cut.
 
@@ -147,33 +142,36 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Dat
 
     Law ``bytes``: groups of equal texts stay whole and the largest shard is as small as any
     contiguous placement of the groups in digest order allows. Slots number a shard's rows from
-    zero without gaps. Defined cases: a null text has ``overhead`` bytes, groups with other null
-    texts, apart from empty ones, and has a null crc; repeated rows and ids each get a slot; null ids are kept; an
-    empty table gives no rows; other columns are ignored. With fewer groups than shards the
-    shards beyond stay empty.
+    zero without gaps. Defined cases: a null text has ``overhead`` bytes and the crc of no bytes, 0, and
+    groups with other null texts, apart from empty ones; repeated rows and ids each get a slot; null ids
+    are kept; a very long text is one group like any other; an empty table gives no rows; other columns
+    are ignored, also where a name differs in case only. With fewer groups than shards the shards beyond
+    stay empty.
     """
+    docs = columns_of(docs, "doc_id", "text")
     text = F.col("text")
     digest = F.coalesce(F.md5(text), F.lit("0" * 32))
     key = F.shiftrightunsigned(F.conv(F.substring(digest, 1, 16), 16, -10).cast("long"), 1)
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(overhead)).alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         key.alias("key"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
+        F.xxhash64("doc_id", "text").alias("_hash"),
     )
     rows = written(rows, "sizes")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     _, cuts = cuts_of(groups, shards)
+    drop_written(groups)
+    buckets = max(SLOT_BUCKETS, -(-rows.count() // SLOT_ROWS))
+    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int")).drop("_hash")
     shard = sum((F.when(F.col("key") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = rows.withColumn("shard", shard)
     counts = placed.groupBy("shard", "_bucket").count()
-    from pyspark.sql import Window
-
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_bucket").orderBy("key", "doc_id", "size")
-    numbered = placed.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "_bucket"])
+    numbered = placed.withColumn("_at", F.row_number().over(inside) - 1).join(starts, ["shard", "_bucket"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_start") + F.col("_at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
