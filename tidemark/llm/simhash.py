@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import restored, shielded, text_slices, written
+from tidemark.llm.common import arrow_map, columns_of, drop_written, restored, shielded, text_slices, written
 from tidemark.llm.components import connected_components, local_labels
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into blocks of this.
@@ -77,21 +77,22 @@ def fingerprint(text: bytes, width: int, lanes: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, text: str = "text") -> DataFrame:
-    """``docs`` with long columns f0, f1, ... added in front; every column of ``docs`` is kept.
+    """``docs`` with long columns _f0, _f1, ... added in front; every column of ``docs`` is kept.
 
-    A null text counts as empty. Names clash with nothing: the added ones start with ``_f``.
+    A null text counts as empty; a text of any length is taken whole. A taken name gets more underscores.
     """
+    rows, inner = shielded(docs, (text,))
     names = [f"_f{k}" for k in range(lanes)]
     schema = ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            rows = [fingerprint((t or "").encode(), width, lanes) for t in batch[text].to_pylist()]
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(lanes)]
+            prints = [fingerprint((t or "").encode(), width, lanes) for t in batch[text].to_pylist()]
+            cols = [pa.array([p[k] for p in prints], pa.int64()) for k in range(lanes)]
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns], names=[*names, *batch.schema.names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {kept}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return restored(arrow_map(rows, run, f"{schema}, {kept}"), docs, inner, *names, front=True)
 
 
 def segments(bits: int, count: int) -> list[tuple[int, int, int]]:
@@ -219,7 +220,7 @@ def fingerprint_links(nodes: DataFrame, lanes: int, max_bits: int, count: int) -
     names = [f"_f{k}" for k in range(lanes)]
     part = nodes.where(F.pmod(F.xxhash64(*names), F.lit(PLAN_SHARE)) == 0)
     dealt = _dealt(_variants(part, lanes, count), _variants(nodes, lanes, count), ["node", *names])
-    return dealt.mapInArrow(_bucket_links(lanes, max_bits), "a long, b long")
+    return arrow_map(dealt, _bucket_links(lanes, max_bits), "a long, b long")
 
 
 def _dealt(part: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -258,10 +259,11 @@ def components_of(docs: DataFrame, width: int = 4, max_bits: int = 4, lanes: int
 
     Defined cases: a null or blank text has fingerprint zero and links like any other; repeated rows
     and repeated ids give a row each; a null doc_id never names a component but its text links;
-    an empty table gives no rows; other columns are ignored, whatever their names.
+    very long texts are taken whole; an empty table gives no rows; other columns are ignored,
+    whatever their names, also where one differs in case only.
     """
     names = [f"_f{k}" for k in range(lanes)]
-    prints = written(fingerprints(docs.select("doc_id", "text"), width, lanes).drop("text"), "prints")
+    prints = written(fingerprints(columns_of(docs, "doc_id", "text"), width, lanes).drop("text"), "prints")
     members = groups_of(prints, lanes, max_bits, count)
     low = members.groupBy("root").agg(F.min("low").alias("component_id"))
     groups = members.join(low, "root").select(*names, "root", "component_id")
@@ -367,7 +369,7 @@ def verified_edges(docs: DataFrame, classes: DataFrame, candidates: DataFrame, w
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "text")
     dealt = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    return dealt.mapInArrow(_verified_links(width), "a long, b long")
+    return arrow_map(dealt, _verified_links(width), "a long, b long")
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +384,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(PLAN_SHARE)) == 0)
-    often = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
+    often = arrow_map(part, run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
     rows = often.collect()
     h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
     order = np.argsort(h)
@@ -418,7 +420,7 @@ def set_prints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
             )
 
     schema = f"doc_id {id_type}, _h long, node long, size int, prefix array<long>, "
-    return docs.mapInArrow(run, schema + ", ".join(f"{n} long" for n in names))
+    return arrow_map(docs, run, schema + ", ".join(f"{n} long" for n in names))
 
 
 def prefix_links(classes: DataFrame, lanes: int, max_bits: int) -> DataFrame:
@@ -428,7 +430,7 @@ def prefix_links(classes: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     keyed = lambda df: df.select(*columns, F.explode("prefix").alias("key"))
     part = classes.where(F.pmod(F.xxhash64("node"), F.lit(PLAN_SHARE)) == 0)
     dealt = _dealt(keyed(part), keyed(classes), columns)
-    return dealt.mapInArrow(_bucket_links(lanes, max_bits, True), "a long, b long")
+    return arrow_map(dealt, _bucket_links(lanes, max_bits, True), "a long, b long")
 
 
 def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 42) -> DataFrame:

@@ -20,18 +20,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, restored, shielded, text_slices, written
+from tidemark.llm.common import arrow_map, drop_written, restored, shielded, text_slices, written
 
 #: Words of a passage that counts as repeated.
 PASSAGE = 50
 #: Words of the hash that selects suffixes, and places among which the smallest is taken.
 GRAM, SPAN = 8, 16
 
+#: Bytes of text whose letters are hashed at once.
+LETTERS = 1 << 18
+#: Independent 64-bit hashes of a passage that must all be equal.
+LANES = 2
+
 _RNG = np.random.default_rng(20_011)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = _RNG.integers(1, 1 << 63, (LANES, 256), dtype=np.uint64)
 _STEP = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,9 +46,9 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.cumprod(np.append(np.uint64(1), np.full(max(0, n - 1), np.uint64(base)))) if n else np.zeros(0, np.uint64)
 
 
-_OFFSET = _powers(0xD1342543DE82EF95, _STEP)
-_BASE = 0xAF251AF3B0F025B5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_OFFSET = [_powers(b, _STEP) for b in (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)]
+_BASE = (0xAF251AF3B0F025B5, 0xDA942042E4DD58B5)
+_INVERSE = [pow(b, -1, 1 << 64) for b in _BASE]
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -54,37 +59,51 @@ def _mixed(z: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts, runs of bytes other than ASCII white space: places, hashes, and each text's first and last."""
+    """The words of several texts, runs of bytes other than ASCII white space: places, hashes, and each text's first and last.
+
+    Letters are hashed in blocks, so that what is held counts by words and not by bytes.
+    """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], lanes: int = 1) -> None:
         raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
         edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
         self.start, self.end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-        size = self.end - self.start
-        own = np.repeat(self.start, size)
-        at = np.nonzero(~blank)[0]
-        off = at - own
+        del blank, edge
+        n = len(self.start)
+        hashes = np.zeros((lanes, n), np.uint64)
+        at = 0
+        while at < n:  # some words, one at least
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + LETTERS, side="right")))
+            hashes[:, at:to] = self._letters(raw, self.start[at:to], self.end[at:to], lanes)
+            at = to
+        self.hash = hashes[0]
         with np.errstate(over="ignore"):
-            each = _BYTE[raw[at]] * _OFFSET[off & (_STEP - 1)] + (off >> 16).astype(np.uint64) * _ODD
-            firsts = np.cumsum(size) - size
-            self.hash = _mixed(np.add.reduceat(each, firsts)) if len(size) else np.zeros(0, np.uint64)
-            self.hash = _mixed(self.hash + size.astype(np.uint64))
-            n = len(size)
-            self._sum = np.append(np.uint64(0), np.cumsum(self.hash * _powers(_BASE, n), dtype=np.uint64))
-            self._back = _powers(_INVERSE, n)
+            self._sum = [np.append(np.uint64(0), np.cumsum(h * _powers(b, n), dtype=np.uint64)) for h, b in zip(hashes, _BASE, strict=False)]
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.text_at = np.append(0, ends[:-1])
         self.first = np.searchsorted(self.start, self.text_at)
         self.last = np.append(self.first[1:], n)
 
-    def window(self, length: int) -> np.ndarray:
+    @staticmethod
+    def _letters(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
+        size = end - start
+        firsts = np.cumsum(size) - size
+        off = np.arange(size.sum()) - np.repeat(firsts, size)
+        letter = raw[np.repeat(start, size) + off]
+        with np.errstate(over="ignore"):
+            far = (off >> 16).astype(np.uint64) * _ODD
+            off &= _STEP - 1
+            sums = [np.add.reduceat(_BYTE[k][letter] * _OFFSET[k][off] + far, firsts) for k in range(lanes)]
+            return [_mixed(_mixed(x) + size.astype(np.uint64)) for x in sums]
+
+    def window(self, length: int, lane: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each place on; places too near the end of all have none."""
         n = len(self.hash) - length + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            return _mixed((self._sum[length:] - self._sum[:n]) * self._back[:n])
+            return _mixed((self._sum[lane][length:] - self._sum[lane][:n]) * _powers(_INVERSE[lane], n))
 
     def anchors(self, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
         """Passage starts inside one text, and the minimiser place of each."""
@@ -114,8 +133,8 @@ def _as_numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(pc.fill_null(column, filled[0])), np.asarray(none)]
 
 
-def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str) -> DataFrame:
-    """Rows of ``df`` whose key equals that of the row before (with ``both``, or after) in the order of key and ``order``."""
+def _neighbours(df: DataFrame, keys: list[str], order: list[str], both: bool, tag: str) -> DataFrame:
+    """Rows of ``df`` whose keys equal those of the row before (with ``both``, or after) in the order of keys and ``order``."""
     names = df.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -138,8 +157,8 @@ def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str)
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            value = np.asarray(table[key].combine_chunks())
-            same = value[1:] == value[:-1]
+            values = [np.asarray(table[k].combine_chunks()) for k in keys]
+            same = np.logical_and.reduce([v[1:] == v[:-1] for v in values])
             on = np.append(held_on if held is not None else False, same)
             if both:
                 on[:-1] |= same
@@ -159,13 +178,13 @@ def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str)
             if held_on:
                 yield told(held, np.array([0]))
 
-    rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    found = written(rows.mapInArrow(run, f"{fields}, _kind int, _part int"), tag)
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    found = written(arrow_map(rows, run, f"{fields}, _kind int, _part int"), tag)
     # two rows a task
     edges = sorted(found.where("_kind > 0").collect(), key=lambda r: (r["_part"], r["_kind"]))
     missed = []
     for a, b in zip(edges, edges[1:], strict=False):
-        if a["_kind"] == 2 and b["_kind"] == 1 and a[key] == b[key]:
+        if a["_kind"] == 2 and b["_kind"] == 1 and all(a[k] == b[k] for k in keys):
             missed += [b, a] if both else [b]
     out = found.where("_kind = 0").select(*names)
     if missed:
@@ -173,10 +192,19 @@ def _neighbours(df: DataFrame, key: str, order: list[str], both: bool, tag: str)
     return out
 
 
+def _tag(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: the text's hash, or zero where no id comes twice."""
+    alone = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return F.lit(0).cast("long") if alone else F.xxhash64("text")
+
+
 def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(doc_id, _h, at): word places at which a passage starts that an earlier place has too; _h is the text's hash."""
+    """(doc_id, _h, at): word places at which a passage starts that an earlier place has too.
+
+    ``docs`` has doc_id, text and _h, what ``_tag`` gives.
+    """
     key_words = passage - SPAN + 1
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    base = docs.select("doc_id", "text", "_h")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +221,8 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 names=["key", "doc_id", "_h", "at"],
             )
 
-    kept = written(base.mapInArrow(suffixes, f"key long, doc_id {id_type}, _h long, at int"), "suffixes")
-    twice = _neighbours(kept, "key", ["doc_id", "_h", "at"], True, "matches")
+    kept = written(arrow_map(base, suffixes, f"key long, doc_id {id_type}, _h long, at int"), "suffixes")
+    twice = _neighbours(kept, ["key"], ["doc_id", "_h", "at"], True, "matches")
     drop_written(kept)
     marked = twice.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     marked = marked.withColumnsRenamed({"doc_id": "_d", "_h": "_g"})
@@ -203,7 +231,7 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            words = Words([(t or "").encode() for t in batch["text"].to_pylist()])
+            words = Words([(t or "").encode() for t in batch["text"].to_pylist()], LANES)
             starts, place = words.anchors(passage)
             marks = np.zeros(len(words.hash), bool)
             for first, ats in zip(words.first, batch["ats"], strict=True):
@@ -212,13 +240,16 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             doc = np.searchsorted(words.first, starts, side="right") - 1
             keep = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.window(passage)[starts].view(np.int64)), batch["doc_id"].take(keep), batch["_h"].take(keep),
-                 pa.array((starts - words.first[doc]).astype(np.int32))],
-                names=["key", "doc_id", "_h", "at"],
+                [*(pa.array(words.window(passage, k)[starts].view(np.int64)) for k in range(LANES)), batch["doc_id"].take(keep),
+                 batch["_h"].take(keep), pa.array((starts - words.first[doc]).astype(np.int32))],
+                names=[*keys, "doc_id", "_h", "at"],
             )
 
-    extended = written(suspects.mapInArrow(passages, f"key long, doc_id {id_type}, _h long, at int"), "passages")
-    found = _neighbours(extended, "key", ["doc_id", "_h", "at"], False, "repeats").select("doc_id", "_h", "at")
+    keys = [f"key{k}" for k in range(LANES)]
+    schema = ", ".join(f"{k} long" for k in keys) + f", doc_id {id_type}, _h long, at int"
+    extended = written(arrow_map(suspects, passages, schema), "passages")
+    found = _neighbours(extended, keys, ["doc_id", "_h", "at"], False, "repeats").select("doc_id", "_h", "at")
+    drop_written(twice)
     drop_written(extended)
     return found
 
@@ -245,15 +276,16 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """``docs`` with passages of ``passage`` words or more cut out of ``text`` wherever they have an earlier place.
 
     Every row and column stays; ``_spans`` (word spans cut) and ``_words`` (count before) are added.
-    n_chars, where there is such a long column, follows the text. Defined cases: null and short texts
-    stay as they are; rows of equal id and text are one place, so all of them keep it; null ids come
+    n_chars, where there is such a long column, follows the text. Passages are equal where two independent
+    64-bit hashes of their words are. Defined cases: null and short texts stay as they are; a text must
+    fit in a worker, with about 20 bytes of memory a byte; rows of equal id and text are one place, so all of them keep it; null ids come
     first; a text may end up empty; an empty table gives none.
     """
     outer, (docs, inner) = docs, shielded(docs)
-    places = repeated_places(docs, passage).groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
+    tag = _tag(docs)
+    places = repeated_places(docs.select("doc_id", "text", tag.alias("_h")), passage).groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
     places = places.agg(F.collect_list("at").alias("_ats"))
-    on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_g"))
-    joined = docs.join(places, on, "left").drop("_d", "_g")
+    joined = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_d")) & (tag == F.col("_g")), "left").drop("_d", "_g")
     fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     count = any(f.name == "n_chars" and f.dataType.simpleString() == "bigint" for f in fields)
@@ -281,5 +313,5 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 [*cols.values(), pa.array(spans, span), pa.array(sizes, pa.int64())], names=[*cols, "_spans", "_words"]
             )
 
-    cut = joined.mapInArrow(run, f"{schema}, _spans array<struct<`from`:int,`to`:int>>, _words long")
+    cut = arrow_map(joined, run, f"{schema}, _spans array<struct<`from`:int,`to`:int>>, _words long")
     return restored(cut, outer, inner, "_spans", "_words")
