@@ -7,7 +7,6 @@ Every rule counts in one aggregate over the window, so all rules share one scan
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +51,6 @@ class Rule:
     when: Column
     observed: Column
 
-    def alerts(self, totals: DataFrame) -> DataFrame:
-        return totals.where(self.when).select(F.lit(self.id).alias("id"), F.lit(self.severity).alias("severity"), "series", self.observed.cast("double").alias("observed"))
-
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
@@ -133,6 +129,3 @@ def probe_down(probes: DataFrame, least: int = PROBE_FAILURES) -> DataFrame:
 
     return consecutive(probes, ["target"], ["ts"], ~F.col("healthy"), least)
 
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -83,6 +83,20 @@ def _word_similarity(term: str, name: str) -> float:
     return best
 
 
+def may_hold(name: Column, term: str, threshold: float) -> Column:
+    """Whether a name can score ``threshold``: no extent holds more of the term's trigrams than the name. Native, so few names reach Python."""
+    want = letter_trigrams(F.lit(term))
+    share = F.size(F.array_intersect(letter_trigrams(name), want)) / F.size(want)
+    return ~name.rlike(r"^[\x00-\x7F]*$") | (share >= threshold)
+
+
+def best_extents(df: DataFrame, name: str, uid: str, term: str, limit: int, threshold: float = SIMILAR) -> DataFrame:
+    """Names by how well the term matches their best extent, as a page."""
+    some = df.where(may_hold(F.col(name), term, threshold)) if term.isascii() and term.strip() else df
+    scored = some.withColumn("score", F.round(word_similarity(term)(name), 6))
+    return page(scored.where(F.col("score") >= threshold), "score", uid, limit, descending=True)
+
+
 def word_similarity(term: str):
     """Arrow UDF of a column: how well the term matches the best extent of a name."""
     @F.pandas_udf("double")

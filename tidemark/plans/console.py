@@ -183,3 +183,36 @@ def meter_snapshots(spark, sf_dir):
 def upcoming_in_room(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("room_uid"), F.col("o_orderdate").cast("timestamp_ntz").alias("effective_start"), F.lit("AUTO").alias("type"), F.col("o_orderstatus").alias("code"))
     return lookups.upcoming(o.where("room_uid = 7"), ["AUTO"], F.lit("1999-01-01").cast("timestamp_ntz")).select("o_orderkey", "code")
+
+
+@registry.query("""SELECT c_custkey, c_mktsegment AS lang, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 7 ELSE c_nationkey END::BIGINT AS size, c_acctbal > 0 AS dark, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS extra FROM customer""")
+def deep_settings(spark, sf_dir):
+    from tidemark.sources.text_formats import deep_merged
+
+    base = F.struct(F.col("c_mktsegment").alias("lang"), F.struct(F.col("c_nationkey").cast("long").alias("size"), (F.col("c_acctbal") > 0).alias("dark")).alias("theme"))
+    over = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("extra"), F.struct(F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 7).alias("size")).alias("theme"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", base.alias("base"), over.alias("over"))
+    m = c.select("c_custkey", deep_merged(F.col("base"), F.col("over"), c.schema["base"].dataType, c.schema["over"].dataType).alias("m"))
+    return m.select("c_custkey", "m.lang", "m.theme.size", "m.theme.dark", "m.extra")
+
+
+@registry.query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '{"room":' || s_suppkey || '}' END AS config FROM supplier""")
+def config_fragments(spark, sf_dir):
+    from tidemark.sources.text_formats import config_fragment
+
+    text = F.concat(F.lit('{"room":'), F.col("s_suppkey").cast("string"), F.lit("}"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, "config=").otherwise("other=")
+    url = F.concat(F.lit("https://x.example/a?b=1#"), name, F.base64(F.encode(text, "utf-8")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", config_fragment(url).alias("config"))
+
+
+@registry.query("""SELECT '{"at":0,"counters":[' || (SELECT string_agg('{"name":"' || t || '","n":' || n || '}', ',' ORDER BY t) FROM (SELECT event_type AS t, count(*) AS n FROM events GROUP BY 1)) || '],"probes":[' ||
+    (SELECT string_agg('{"service":"' || r_name || '","ok":' || (r_regionkey > 0) || '}', ',' ORDER BY r_name) FROM region) || '],"alerts":[],"canary":{"at":' || (SELECT max(event_id) FROM events) || ',"ok":true}}' AS json""")
+def metrics_snapshot_json(spark, sf_dir):
+    from tidemark.sources.text_formats import built_snapshot
+
+    e = table(spark, sf_dir, "events")
+    counters = e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    probes = table(spark, sf_dir, "region").select(F.col("r_name").alias("service"), (F.col("r_regionkey") > 0).alias("ok"))
+    alerts = probes.where("service is null").select(F.col("service").alias("id"))
+    return built_snapshot(counters, probes, alerts, e.select(F.col("event_id").alias("at"), F.lit(True).alias("ok")), F.lit(0))

@@ -78,6 +78,11 @@ def stage_edges(spark, sf_dir):
     return fleet.stage_edges(stages).withColumn("lost", F.round("lost", 4))
 
 
+@registry.query("SELECT 'n' || s_nationkey AS input, 's' || s_suppkey AS stage, round(100 - s_acctbal / 100, 4) AS lost FROM supplier WHERE s_suppkey % 10 > 0 AND 100 - s_acctbal / 100 > 5")
+def signal_loss_edges(spark, sf_dir):
+    return stage_edges(spark, sf_dir).where("kind = 'loss'").drop("kind")
+
+
 @registry.query("""SELECT user_id, count(*)::BIGINT AS attempts, count(*) FILTER (event_type <> 'view')::BIGINT AS failures, round(count(*) FILTER (event_type <> 'view') / nullif(count(*), 0), 6) AS failure_ratio FROM events GROUP BY user_id""")
 def handshake_tally(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("n", F.lit(1).cast("long"))

@@ -52,9 +52,7 @@ def similarity_page(spark, sf_dir):
 @registry.query()
 def word_similarity_search(spark, sf_dir):
     """Best word extent; it has no SQL form and is tested on examples."""
-    score = paging.word_similarity("widge")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").withColumn("score", F.round(score("p_name"), 6))
-    return paging.page(p.where("score >= 0.3"), "score", "p_partkey", 50, descending=True)
+    return paging.best_extents(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "widge", 50)
 
 
 @registry.query("""SELECT c_custkey, c_name, n_name, o.n AS orders FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey

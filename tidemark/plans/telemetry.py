@@ -249,6 +249,35 @@ def alerts_active(spark, sf_dir):
     return found.withColumn("observed", F.round("observed", 6))
 
 
+#: What one series of each kind reports, and the alert it has to raise: one for every rule, and one that raises none.
+_CASES = (
+    ({"upstream_retry": 3.0}, "upstream-churn", "WARNING", 3.0), ({"upstream_connected": 0.0}, "upstream-down", "CRITICAL", 0.0),
+    ({"periods_run": 5.0, "periods_dropped": 15.0}, "transcription-saturation", "CRITICAL", 0.75), ({"jobs": 20.0, "rtf_sum": 10.0}, "transcription-falling-behind", "WARNING", 0.5),
+    ({"periods_run": 14.0, "periods_dropped": 6.0}, "transcription-tail-overrun", "WARNING", 0.3), ({"worker_alive": 0.0}, "worker-dead", "CRITICAL", 0.0),
+    ({"buffer_overflow": 5.0}, "buffer-overflow", "WARNING", 5.0), ({"dropped_audio_seconds": 0.5}, "audio-dropped", "WARNING", 0.5), ({"decode_drop": 10.0}, "decode-drop", "WARNING", 10.0),
+    ({"auth_fail": 3.0, "auth_ok": 2.0}, "auth-failure", "WARNING", 0.6), ({"status_up": 0.0, "status_not_found": 1.0}, "status-poll-refused", "CRITICAL", 0.0),
+    ({"status_up": 0.0}, "status-poll-unavailable", "WARNING", 0.0), ({"latency_samples": 20.0, "latency_negative": 5.0}, "clock-skew", "WARNING", 0.25),
+    ({"chunk_eviction": 10.0}, "pending-chunk-eviction", "WARNING", 10.0), ({"canary_ok": 0.0}, "canary-failure", "CRITICAL", 0.0), ({"canary_latency_seconds": 16.0}, "canary-latency", "WARNING", 16.0),
+    ({"canary_recall": 0.4}, "canary-recall", "WARNING", 0.4), ({"canary_repetition": 0.9}, "canary-repetition", "WARNING", 0.9), ({"diarization_stalled": 1.0}, "diarization-stalled", "WARNING", 1.0),
+    ({"diarization_audio_seconds": 100.0, "diarization_uncovered_seconds": 20.0}, "diarization-uncovered", "WARNING", 0.2),
+    ({"diarization_audio_seconds": 100.0, "diarization_lag_p95": 12.0}, "diarization-lag", "WARNING", 12.0), ({"close_auth_fail": 4.0, "close_ok": 1.0}, "auth-failure", "WARNING", 0.8),
+    ({"periods_run": 100.0}, None, None, 0.0),
+)
+_RAISED = ", ".join(f"({k}, '{i}', '{s}', {v}::DOUBLE)" for k, (_, i, s, v) in enumerate(_CASES) if i)
+
+
+@registry.query(f"SELECT id, severity, 'room-' || c_custkey AS series, round(v, 6) AS observed FROM customer JOIN (VALUES {_RAISED}) r(k, id, severity, v) ON c_custkey % {len(_CASES)} = k")
+def alerts_of_every_rule(spark, sf_dir):
+    """Customers are series; each reports, shortly before now, what one rule waits for, and an old reading that is out of the window."""
+    reading = lambda m, v: F.struct(F.lit(m).alias("metric"), F.lit(v).alias("value"))
+    cases = F.array(*(F.array(*(reading(m, v) for m, v in said.items())) for said, *_ in _CASES))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("room-"), F.col("c_custkey").cast("string")).alias("series"), F.explode(cases[(F.col("c_custkey") % len(_CASES)).cast("int")]).alias("r"))
+    fresh = c.select("series", "r.*", (now() - F.expr("INTERVAL 30 SECONDS")).alias("ts"))
+    stale = c.select("series", "r.metric", F.lit(1000.0).alias("value"), (now() - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    found = alerts.evaluate(fresh.unionByName(stale), now())
+    return found.select("id", "severity", "series", F.round("observed", 6).alias("observed"))
+
+
 @registry.query("""SELECT date_diff('minute', TIMESTAMP '2024-01-01', min(ts)) AS first_minute, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
     (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def session_windows(spark, sf_dir):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
@@ -83,3 +84,36 @@ def exposition(df: DataFrame, name: str, kind: str, labels: Sequence[str], value
 def snapshot_json(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One JSON object per row."""
     return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def deep_merged(base: Column, over: Column, base_type: StructType, over_type: StructType) -> Column:
+    """Struct of the fields of both: nested structs are merged, any other value of ``over`` wins where it is not null."""
+    mine, theirs = {f.name: f.dataType for f in base_type}, {f.name: f.dataType for f in over_type}
+    fields = []
+    for name in [*mine, *(n for n in theirs if n not in mine)]:
+        if name not in theirs:
+            value = base[name]
+        elif name not in mine:
+            value = over[name]
+        elif isinstance(mine[name], StructType) and isinstance(theirs[name], StructType):
+            value = deep_merged(base[name], over[name], mine[name], theirs[name])
+        else:
+            value = F.coalesce(over[name], base[name])
+        fields.append(value.alias(name))
+    return F.struct(*fields)
+
+
+def config_fragment(url: Column) -> Column:
+    """The JSON text that a URL's fragment ``config=`` carries in base 64; null without one."""
+    ref = F.try_parse_url(url, F.lit("REF"))
+    return F.when(ref.startswith("config="), F.decode(F.unbase64(F.substring(ref, 8, 1 << 20)), "utf-8"))
+
+
+def built_snapshot(counters: DataFrame, probes: DataFrame, alerts: DataFrame, canary: DataFrame, now: Column) -> DataFrame:
+    """One row ``json``: counters, probes and alerts as sorted arrays, the last canary run or null, and the time."""
+    rows = [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)) for name, df in (("counters", counters), ("probes", probes), ("alerts", alerts))]
+    last = canary.agg(F.max_by(F.struct(*canary.columns), "at").alias("canary"))
+    out = last
+    for r in rows:
+        out = out.crossJoin(r)  # one row each
+    return out.select(F.to_json(F.struct(now.alias("at"), "counters", "probes", "alerts", "canary"), {"ignoreNullFields": "false"}).alias("json"))
