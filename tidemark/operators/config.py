@@ -87,6 +87,7 @@ def console_checks() -> list[Check]:
     grave, rising, mild = ("advisory", "critical", "critical"), ("advisory", "warning", "critical"), ("advisory", "warning", "warning")
     example_secrets = {"admin-api-key": "admin_api_key", "admin-session-secret": "admin_session_secret", "db-password": "db_password", "test-audio-service-key": "test_audio_service_key"}
     secret = t("admin_session_secret")
+    # Ids, categories and severities of the rules.
     return [
         Check("deployment-env-invalid", "environment", ~F.col("declared_env").isin(*ENVIRONMENTS), ("warning", "warning", "warning")),
         Check("dev-flag-in-deployed-env", "access", F.col("is_development"), ("ok", "critical", "critical")),
