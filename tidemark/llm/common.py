@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -41,12 +42,40 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables written inside each open ``scratch``.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside go at the end, but for those given to what this yields: a lazy result still reads them."""
+    mine: list[DataFrame] = []
+    needed: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        needed.add(df._tidemark_path)
+        return df
+
+    _SCRATCH.append(mine)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(mine)
+        for df in mine:
+            if df._tidemark_path not in needed:
+                drop_written(df)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(df)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write the frame to the shared folder and read it back."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -134,6 +163,12 @@ def shielded(docs: DataFrame, core: tuple[str, ...] = CORE) -> tuple[DataFrame,
     return docs.toDF(*inner), inner
 
 
+def first_columns(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` columns, by place: names may differ in case only."""
+    own = df.toDF(*(f"in_{k}" for k in range(len(df.columns))))
+    return own.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(df.columns[:n])))
+
+
 def restored(df: DataFrame, docs: DataFrame | list[str], inner: list[str], *extra: str, front: bool = False) -> DataFrame:
     """The columns of ``docs`` under their own names, and after (or before) them those of ``extra``, with underscores added where a name is taken."""
     names = docs if isinstance(docs, list) else docs.columns

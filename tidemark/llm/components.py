@@ -52,7 +52,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out._tidemark_path = cur._tidemark_path
+    return out
 
 
 def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

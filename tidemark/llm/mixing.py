@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import restored, shielded, written
+from tidemark.llm.common import restored, scratch, shielded, written
 
 #: Leaves a mixture may have; a tree with target weights is written by hand or by rule, not per document.
 MAX_LEAVES = 100_000
@@ -137,8 +137,9 @@ def mix(
     gives no rows; equal rows share their place; an empty table gives no rows; other columns stay.
     """
     outer, (docs, inner) = docs, shielded(docs)
-    # at most MAX_LEAVES rows, which decisions() holds it to
-    plan = F.broadcast(written(decisions(docs, share, max_epochs, seed, weights, domain), "leaves"))
+    with scratch() as keep:
+        # at most MAX_LEAVES rows, which decisions() holds it to
+        plan = F.broadcast(keep(written(decisions(docs, share, max_epochs, seed, weights, domain), "leaves")))
     rows = _leafed(docs, domain_of() if domain is None else domain).join(plan, "_leaf").withColumn("_h", F.xxhash64("text"))
     more = (_order(seed, F.col("whole")) <= F.col("last")).cast("int")
     rows = rows.withColumn("_times", F.col("whole") + more).where("_times > 0")

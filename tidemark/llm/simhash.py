@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, columns_of, drop_written, restored, shielded, text_slices, written
+from tidemark.llm.common import arrow_map, columns_of, restored, scratch, shielded, text_slices, written
 from tidemark.llm.components import connected_components, local_labels
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into blocks of this.
@@ -263,8 +263,9 @@ def components_of(docs: DataFrame, width: int = 4, max_bits: int = 4, lanes: int
     whatever their names, also where one differs in case only.
     """
     names = [f"_f{k}" for k in range(lanes)]
-    prints = written(fingerprints(columns_of(docs, "doc_id", "text"), width, lanes).drop("text"), "prints")
-    members = groups_of(prints, lanes, max_bits, count)
+    with scratch() as keep:
+        prints = keep(written(fingerprints(columns_of(docs, "doc_id", "text"), width, lanes).drop("text"), "prints"))
+        members = keep(groups_of(prints, lanes, max_bits, count))
     low = members.groupBy("root").agg(F.min("low").alias("component_id"))
     groups = members.join(low, "root").select(*names, "root", "component_id")
     hexes = F.concat(*(F.lower(F.lpad(F.hex(n), 16, "0")) for n in names))
@@ -445,19 +446,20 @@ def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 42
     names = [f"_f{k}" for k in range(lanes)]
     key = F.xxhash64("text")
     outer, (docs, inner) = docs, shielded(docs)
-    prints = written(set_prints(docs.select("doc_id", "text", key.alias("_h")), width, lanes), "prints")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("best")
-    same = [F.first(c).alias(c) for c in ("size", "prefix", *names)]
-    classes = written(prints.groupBy("node").agg(best, *same), "classes")
-    found = prefix_links(classes, lanes, max_bits)
-    roots = connected_components(verified_edges(docs, classes, found, width))
-    groups = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    kept = groups.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best._h")
-    kept = kept.join(
-        prints.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.count("*").alias("_n")),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")),
-    ).select("_d", "_g", "_n")
-    kept = written(kept, "kept")
+    with scratch() as keep:
+        prints = written(set_prints(docs.select("doc_id", "text", key.alias("_h")), width, lanes), "prints")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("best")
+        same = [F.first(c).alias(c) for c in ("size", "prefix", *names)]
+        classes = written(prints.groupBy("node").agg(best, *same), "classes")
+        found = prefix_links(classes, lanes, max_bits)
+        roots = connected_components(verified_edges(docs, classes, found, width))
+        groups = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+        kept = groups.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best._h")
+        kept = kept.join(
+            prints.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.count("*").alias("_n")),
+            F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")),
+        ).select("_d", "_g", "_n")
+        kept = keep(written(kept, "kept"))
     on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_g"))
     one = docs.join(kept.where("_n = 1"), on, "left_semi")
     if kept.where("_n > 1").isEmpty():

@@ -134,7 +134,7 @@ def _as_numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _neighbours(df: DataFrame, keys: list[str], order: list[str], both: bool, tag: str) -> DataFrame:
-    """Rows of ``df`` whose keys equal those of the row before (with ``both``, or after) in the order of keys and ``order``."""
+    """Rows of ``df`` whose keys equal those of the row before (with ``both``, or after) in the order of keys and ``order``; their keys are null."""
     names = df.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -146,6 +146,9 @@ def _neighbours(df: DataFrame, keys: list[str], order: list[str], both: bool, ta
         held_on = first = True
 
         def told(table: pa.Table, kind: np.ndarray) -> pa.RecordBatch:
+            if not kind.any():  # only the rows at the edges are compared again
+                for k in keys:
+                    table = table.set_column(table.schema.get_field_index(k), k, pa.nulls(len(table), pa.int64()))
             table = table.append_column("_kind", pa.array(kind.astype(np.int32))).append_column(
                 "_part", pa.array(np.full(len(table), part, np.int32))
             )
@@ -188,7 +191,8 @@ def _neighbours(df: DataFrame, keys: list[str], order: list[str], both: bool, ta
             missed += [b, a] if both else [b]
     out = found.where("_kind = 0").select(*names)
     if missed:
-        out = out.unionByName(df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in missed], df.schema)).distinct()
+        out = out.unionByName(df.sparkSession.createDataFrame([tuple(None if c in keys else r[c] for c in names) for r in missed], df.schema)).distinct()
+    out._tidemark_path = found._tidemark_path
     return out
 
 
@@ -248,7 +252,7 @@ def repeated_places(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     keys = [f"key{k}" for k in range(LANES)]
     schema = ", ".join(f"{k} long" for k in keys) + f", doc_id {id_type}, _h long, at int"
     extended = written(arrow_map(suspects, passages, schema), "passages")
-    found = _neighbours(extended, keys, ["doc_id", "_h", "at"], False, "repeats").select("doc_id", "_h", "at")
+    found = _neighbours(extended, keys, ["doc_id", "_h", "at"], False, "repeats")
     drop_written(twice)
     drop_written(extended)
     return found
