@@ -16,7 +16,7 @@ _N = """n AS (SELECT user_id AS node, count(*) FILTER (event_type = 'view') AS s
     CASE WHEN count(*) FILTER (event_type IN ('error', 'click')) = 0 THEN NULL WHEN count(*) FILTER (event_type = 'error') >= count(*) FILTER (event_type = 'click') THEN 'invalid-token' ELSE 'token-expired' END AS dominant,
     count(*) FILTER (CAST(json_extract(props, '$.k') AS BIGINT) > 97) AS ended FROM events GROUP BY 1),
   nf AS (SELECT node, 'auth-never-succeeded' AS id, 'error' AS level, CASE WHEN invalid = failures THEN 'signing-key' ELSE coalesce(dominant, 'rejected') END AS cause FROM n WHERE failures > 0 AND successes = 0
-    UNION ALL SELECT node, 'auth-reject-ratio', 'warning', round(100.0 * failures / (failures + successes))::INTEGER::VARCHAR FROM n WHERE successes > 0 AND failures > 0 AND failures >= 0.5 * (failures + successes)
+    UNION ALL SELECT node, 'auth-reject-ratio', 'warning', round(failures::DOUBLE / (failures + successes) * 100::DOUBLE)::INTEGER::VARCHAR FROM n WHERE successes > 0 AND failures > 0 AND failures >= 0.5 * (failures + successes)
     UNION ALL SELECT node, 'ended-session-registrations', 'warning', ended::VARCHAR FROM n WHERE ended > 0)"""
 _H = """h AS (SELECT s_nationkey AS host, count(*) FILTER (s_acctbal < 0) AS rejects, list_sort(list_distinct(list(CASE s_suppkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'small' ELSE 'turbo' END))) AS providers FROM supplier GROUP BY 1),
   hf AS (SELECT host, 'invalid-provider-key' AS id, 'error' AS level, array_to_string(providers, ', ') AS cause FROM h WHERE rejects > 0)"""
