@@ -56,18 +56,60 @@ def longest(known: dict[str, int]) -> int:
     return max(map(len, known), default=1)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _prefixes(letters: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the prefixes of each row of code points, modulo 2**64."""
+    out = np.zeros((len(letters), letters.shape[1] + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(letters.shape[1]):
+            out[:, j + 1] = out[:, j] * np.uint64(_BASE) + letters[:, j]
+    return out
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+
+
+_TABLES: dict[int, tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]] = {}
+
+
+def _table(known: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the sorted hashes of the pieces that long, and their numbers."""
+    if _TABLES.get(id(known), (None,))[0] is not known:
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        for l in range(1, longest(known) + 1):
+            names = [n for n in known if len(n) == l]
+            h = _prefixes(_letters(names))[:, -1] if names else np.zeros(0, np.uint64)
+            order = np.argsort(h)
+            out.append((h[order], np.array([known[n] for n in names], np.int32)[order]))
+        _TABLES.clear()
+        _TABLES[id(known)] = (known, out)
+    return _TABLES[id(known)][1]
+
+
 def grids(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words by length: (their places, for each end j and piece length l the piece that ends there; unknown ones are last)."""
-    none, by, most = len(known), {}, longest(known)
+    """Words by length: (their places, for each end j and piece length l the piece that ends there; unknown ones are last).
+
+    Pieces are met by 64-bit hashes of all substrings of a group of words at once.
+    """
+    none, by, tables = len(known), {}, _table(known)
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
-    get = known.get
     for n, at in by.items():
-        spans = [(j, l) for j in range(1, n + 1) for l in range(1, min(most, j) + 1)]
-        cells = [[get(w[j - l : j], none) for j, l in spans] for w in (words[k] for k in at)]
-        grid = np.full((len(at), n + 1, most + 1), none, np.int32)
-        grid[:, [s[0] for s in spans], [s[1] for s in spans]] = cells
-        yield np.array(at), grid
+        for some in (at[k : k + 8192] for k in range(0, len(at), 8192)):
+            grid = np.full((len(some), n + 1, len(tables)), none, np.int32)
+            upto = _prefixes(_letters([words[k] for k in some])) if n else None
+            for l in range(1, min(len(tables) - 1, n) + 1):
+                keys, numbers = tables[l]
+                if len(keys):
+                    with np.errstate(over="ignore"):
+                        h = upto[:, l:] - upto[:, :-l] * np.uint64(pow(_BASE, l, 1 << 64))
+                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    grid[:, l:, l] = np.where(keys[place] == h, numbers[place], none)
+            yield np.array(some), grid
 
 
 def forward(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -114,9 +156,9 @@ def log_likelihood(words: list[str], known: dict[str, int], table: np.ndarray) -
         for k in range(0, len(at), 4096):
             alpha = forward(grid[k : k + 4096], table)[:, -1]
             out[np.asarray(short)[at[k : k + 4096]]] = np.log(np.maximum(alpha, 1e-300))
-    for k, w in enumerate(words):
-        if len(w) > LONG or out[k].min(initial=0) < -600:
-            out[k] = long_likelihood(w, known, table)
+    again = (np.fromiter(map(len, words), np.int64, len(words)) > LONG) | (out.min(1, initial=0) < -600)
+    for k in np.nonzero(again)[0].tolist():
+        out[k] = long_likelihood(words[k], known, table)
     return out
 
 
