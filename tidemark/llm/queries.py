@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, mixing, pq, sharding, simhash, suffix, toxicity, wavelet
+from tidemark.llm import ann, bpe, importance, langid, mixing, pq, sharding, simhash, suffix, toxicity, wavelet
 from tidemark.llm.common import read
 
 
@@ -54,11 +54,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("_words").alias("n_words"), gone.cast("long").alias("removed_words"), F.col("_spans").alias("spans"), "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pq_near_dedup, op2_learned_partitions, op3_language_id, op4_bpe, op5_wavelet_shards,
         op6_toxicity, op7_mixing, op8_simhash, op9_minimax_sharding, op10_suffix_dedup,
+        op11_importance_resampling,
     )
 }
 
@@ -70,4 +76,21 @@ ORACLE_SQL: dict[str, str] = {
       c AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.other),
       k AS (SELECT vec_id, min(other) AS component_id FROM c GROUP BY 1)
       SELECT k.vec_id, coalesce(n.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = k.vec_id""",
+    "op11_importance_resampling": """WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+      e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+      f AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY 1, 2),
+      g AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM e UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM e) GROUP BY 1),
+      x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)),
+      y AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM x),
+      b AS (SELECT f, xor(list_reduce(bytes, lambda c, v: list_reduce(range(8), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)), xor(c, v)), 4294967295), 4294967295) % 10000 AS bucket FROM y),
+      s AS (SELECT bucket, sum(n)::BIGINT AS s FROM f JOIN b USING (f) GROUP BY 1),
+      t AS (SELECT bucket, sum(n)::BIGINT AS t FROM g JOIN b USING (f) GROUP BY 1),
+      o AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::BIGINT AS S_ALL, (SELECT coalesce(sum(t), 0) FROM t)::BIGINT AS T_ALL),
+      v AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (S_ALL + 10000)::DOUBLE / ((s + 1)::DOUBLE * (T_ALL + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), o),
+      m AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS gain FROM f JOIN b USING (f) JOIN v USING (bucket) GROUP BY 1),
+      w AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (gain - ((gain % n) + n) % n) // n END AS weight,
+          ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+      p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+      r AS (SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able_all FROM p)
+      SELECT doc_id, n_words, n_features, weight, score, CASE WHEN able AND place <= 25 * able_all // 100 THEN place END AS rank FROM r""",
 }
