@@ -73,7 +73,7 @@ def test_draw_prefers_texts_like_the_target(spark):
     target = spark.createDataFrame([(" ".join(rng.choice(sorts[1]) for _ in range(60)),) for _ in range(40)], "text string")
     drawn = [r["doc_id"] for r in importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), target).collect() if r["rank"]]
     assert len(drawn) == 100
-    assert sum(d % 4 == 0 for d in drawn) > 60
+    assert sum(d % 4 == 0 for d in drawn) > 2 * 25  # a draw by chance alone takes 25 of them
 
 
 @given(st.lists(st.tuples(st.binary(max_size=30), st.binary(max_size=300)), max_size=20))
