@@ -195,4 +195,4 @@ def test_a_collision_of_one_lane_cuts_nothing(spark):
 
 
 def test_registered_queries_are_the_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, len(queries.QUERIES) + 1))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, importance, langid, mixing, pq, sharding, simhash, suffix, toxicity, wavelet
+from tidemark.llm import ann, bpe, collocations, importance, langid, mixing, pq, sharding, simhash, suffix, toxicity, wavelet
 from tidemark.llm.common import read
 
 
@@ -59,12 +59,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pq_near_dedup, op2_learned_partitions, op3_language_id, op4_bpe, op5_wavelet_shards,
         op6_toxicity, op7_mixing, op8_simhash, op9_minimax_sharding, op10_suffix_dedup,
-        op11_importance_resampling,
+        op11_importance_resampling, op13_collocations,
     )
 }
 
@@ -93,4 +97,17 @@ ORACLE_SQL: dict[str, str] = {
       p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
       r AS (SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able_all FROM p)
       SELECT doc_id, n_words, n_features, weight, score, CASE WHEN able AND place <= 25 * able_all // 100 THEN place END AS rank FROM r""",
+    "op13_collocations": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+      t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+      g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS g FROM w, (SELECT unnest(range(1, 5)) AS k)),
+      f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+      o AS (SELECT lang, x, max(a) AS a FROM (SELECT lang, g[:k - 1] AS x, a FROM f WHERE k > 2 UNION ALL SELECT lang, g[2:] AS x, a FROM f WHERE k > 2) GROUP BY 1, 2),
+      s AS (SELECT lang, k, g, a FROM f LEFT JOIN (SELECT lang, x AS g, a AS over FROM o) USING (lang, g) WHERE k > 1 AND (over IS NULL OR 100::HUGEINT * over < 80::HUGEINT * a)),
+      c AS (SELECT lang, s.g, s.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * s.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM s) s JOIN f x USING (lang) JOIN f y USING (lang) WHERE x.g = s.g[:j] AND y.g = s.g[j + 1:]),
+      b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS best FROM c),
+      z AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b JOIN t USING (lang) WHERE best = 1),
+      q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z)
+      SELECT * FROM q WHERE rank <= 2000""",
 }
