@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, collocations, importance, langid, mixing, pq, sharding, simhash, suffix, toxicity, wavelet
+from tidemark.llm import ann, bpe, collocations, importance, langid, mixing, packing, pq, sharding, simhash, suffix, toxicity, wavelet
 from tidemark.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best_phrases(read(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pq_near_dedup, op2_learned_partitions, op3_language_id, op4_bpe, op5_wavelet_shards,
         op6_toxicity, op7_mixing, op8_simhash, op9_minimax_sharding, op10_suffix_dedup,
-        op11_importance_resampling, op13_collocations,
+        op11_importance_resampling, op12_best_fit_packing, op13_collocations,
     )
 }
 
