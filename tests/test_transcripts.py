@@ -74,15 +74,6 @@ def test_gate_verdicts(spark):
     assert [r["v"] for r in v.collect()] == ["worse", "better", "pass", "new", "missing"]
 
 
-def test_reconciler_keeps_and_merges_speakers(spark):
-    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
-    rows = [("s", 0, "x", 3.0, a, 0.0), ("s", 0, "y", 3.0, b, 0.0), ("s", 1, "x", 3.0, b, 5.0), ("s", 1, "y", 3.0, a, 5.0), ("s", 2, "z", 1.0, [0.0, 0.0, 1.0], 9.0), ("s", 3, "z", 2.0, [0.0, 0.0, 1.0], 12.0)]
-    df = spark.createDataFrame(rows, "session string, window long, raw string, seconds double, vector array<double>, at double")
-    got = {(r["window"], r["raw"]): r["speaker"] for r in vectors.reconciled(df).collect()}
-    assert got[1, "x"] == got[0, "y"] and got[1, "y"] == got[0, "x"] and got[0, "x"] != got[0, "y"]
-    assert got[2, "z"] is None and got[3, "z"] not in (None, got[0, "x"], got[0, "y"])
-
-
 def test_equal_error_near_scan(spark):
     rng = np.random.default_rng(3)
     same, diff = rng.normal(0.5, 0.2, 400).clip(-1, 1), rng.normal(0.0, 0.2, 400).clip(-1, 1)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tidemark.operators import scoring
 from tidemark.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -24,7 +26,10 @@ def test_diarization_error_counts_every_turn(spark):
         for k in range(int(2 * day), int(2 * day) + 40):
             ref.setdefault((file, k), set()).add(r)
             hyp.setdefault((file, k + 4), set()).add(h)
-    got = {r["file"]: r for r in QUERIES["diarization_error"](spark, DIR).collect()}
+    o = spark.read.parquet(f"{DIR}/orders.parquet")
+    day = F.unix_timestamp("o_orderdate") / 86_400
+    side = lambda shift, n: o.select((F.col("o_custkey") % 20).alias("file"), (day + shift).alias("start"), (day + shift + 20).alias("end"), (F.col("o_custkey") % n).cast("string").alias("label"))
+    got = {r["file"]: r for r in scoring.diarization_error(side(0.0, 3), side(2.0, 4), ["file"], width=100.0).collect()}
     assert set(got) == {t[0] for t in turns}
     for file in got:
         cells = {k for k in {*ref, *hyp} if k[0] == file}

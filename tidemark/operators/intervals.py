@@ -105,15 +105,27 @@ def free_slots(windows: DataFrame, blockers: DataFrame, keys: Sequence[str], lea
     return gaps.select(*keys, "uid", "slot_start", F.col("start").alias("slot_end"))
 
 
-def sweep(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def stepped(ticks: DataFrame, keys: Sequence[str], sums: Sequence[str], width: float) -> DataFrame:
+    """Elementary intervals (start, end) of a key from ticks (at, changes), with the running sums of the changes.
+
+    A key's time is cut into parts of ``width``; parts are summed and put in order first, and each then
+    runs by itself from what came before it, so a long timeline is many tasks.
+    """
+    changes = ticks.groupBy(*keys, "at").agg(*(F.sum(c).alias(c) for c in sums)).withColumn("_part", F.floor(F.col("at") / width))
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    so_far = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    parts = changes.groupBy(*keys, "_part").agg(F.min("at").alias("_first"), *(F.sum(c).alias(c) for c in sums))
+    parts = parts.select(*keys, "_part", F.lead("_first").over(by_part).alias("_next"), *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy(*keys, "_part").orderBy("at")
+    rows = changes.join(parts, [*keys, "_part"])
+    out = rows.select(*keys, F.col("at").alias("start"), F.coalesce(F.lead("at").over(inside), "_next").alias("end"), *((F.col(f"_{c}") + F.sum(c).over(inside)).alias(c) for c in sums))
+    return out.where("end is not null")
+
+
+def sweep(df: DataFrame, keys: Sequence[str], width: float = 30 * 86_400.0) -> DataFrame:
     """Elementary intervals of a key and how many intervals cover each."""
-    ticks = df.select(*keys, F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(
-        df.select(*keys, F.col("end").alias("at"), F.lit(-1).alias("d"))
-    ).groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    return ticks.withColumn("depth", F.sum("d").over(order)).withColumn("until", F.lead("at").over(order)).where(
-        F.col("until").isNotNull() & (F.col("depth") > 0)
-    ).select(*keys, F.col("at").alias("start"), F.col("until").alias("end"), "depth")
+    ticks = df.select(*keys, F.col("start").alias("at"), F.lit(1).alias("depth")).unionByName(df.select(*keys, F.col("end").alias("at"), F.lit(-1).alias("depth")))
+    return stepped(ticks, keys, ["depth"], width).where("depth > 0").select(*keys, "start", "end", "depth")
 
 
 def overlap_seconds(df: DataFrame, keys: Sequence[str], least: int = 2) -> DataFrame:

@@ -6,24 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import overlap_join
-
-
-def elementary(reference: DataFrame, hypothesis: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
-    """Elementary intervals of a file: start, end, labels of both sides (start, end, label) in each.
-
-    Boundaries of both sides cut the time; each turn meets the cells it covers through buckets of
-    ``width``, so cost follows the number of covered cells.
-    """
-    both = reference.select(*keys, "start", "end").unionByName(hypothesis.select(*keys, "start", "end"))
-    ticks = both.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
-    cells = ticks.withColumn("until", F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))).where("until is not null")
-    out = cells
-    for name, side in (("ref", reference), ("hyp", hypothesis)):
-        pairs = overlap_join(cells.select(*keys, F.col("at").alias("start"), F.col("until").alias("end")), side.select(*keys, "start", "end", "label"), keys, width, float("inf"))
-        got = pairs.groupBy(*keys, F.col("l_start").alias("at")).agg(F.sort_array(F.collect_set("r_label")).alias(name))
-        out = out.join(got, [*keys, "at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.withColumnsRenamed({"at": "start", "until": "end"})
+from tidemark.operators.intervals import merged, overlap_join, shared_seconds, stepped
 
 
 def best_mapping(overlap: dict[tuple[str, str], float]) -> dict[str, str]:
@@ -60,29 +43,58 @@ def best_mapping(overlap: dict[tuple[str, str], float]) -> dict[str, str]:
     return {h: r for h, r in pairs.items() if overlap.get((h, r), 0) > 0}
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
-    """missed, false_alarm, confusion, total (seconds) and der per file; labels are mapped one to one at best."""
-    cells = elementary(reference, hypothesis, keys)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        length = frame["end"] - frame["start"]
-        overlap: dict[tuple[str, str], float] = {}
-        for d, refs, hyps in zip(length, frame["ref"], frame["hyp"], strict=True):
-            for h in hyps:
-                for r in refs:
-                    overlap[h, r] = overlap.get((h, r), 0.0) + d
-        to = best_mapping(overlap) if overlap else {}
-        miss = alarm = wrong = total = 0.0
-        for d, refs, hyps in zip(length, frame["ref"], frame["hyp"], strict=True):
-            nr, nh = len(refs), len(hyps)
-            right = len({to.get(h) for h in hyps} & set(refs))
-            miss, alarm, total = miss + d * max(0, nr - nh), alarm + d * max(0, nh - nr), total + d * nr
-            wrong += d * (min(nr, nh) - right)
-        der = (miss + alarm + wrong) / total if total else float("nan")
-        return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), miss, alarm, wrong, total, der]], columns=[*keys, "missed", "false_alarm", "confusion", "total", "der"])
+def scored_regions(reference: DataFrame, hypothesis: DataFrame, keys: list[str], regions: DataFrame | None, collar: float, width: float) -> DataFrame:
+    """(start, end) per file that count: the given regions, or all that either side spans, without ``collar`` seconds around each end of a reference turn."""
+    if regions is None:
+        both = reference.select(*keys, "start", "end").unionByName(hypothesis.select(*keys, "start", "end"))
+        regions = both.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    mark = lambda df, at, **d: df.select(*keys, at.alias("at"), *(F.lit(d.get(c, 0)).alias(c) for c in ("in", "out")))
+    ticks = mark(regions, F.col("start"), **{"in": 1}).unionByName(mark(regions, F.col("end"), **{"in": -1}))
+    if collar > 0:
+        ends = reference.select(*keys, F.explode(F.array("start", "end")).alias("at"))
+        for side in (1, -1):
+            ticks = ticks.unionByName(mark(ends, F.col("at") - F.lit(side * collar / 2), out=side))
+    return stepped(ticks, keys, ["in", "out"], width).where("`in` > 0 AND `out` = 0").select(*keys, "start", "end")
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: list[str], regions: DataFrame | None = None, collar: float = 0.0, width: float = 600.0) -> DataFrame:
+    """missed, false_alarm, confusion, total (seconds) and der per file; labels are mapped one to one at best.
+
+    Both sides have start, end and label. Only time in ``regions`` (start, end) counts, and none within ``collar`` / 2 of the ends of
+    reference turns. Turns of one label that meet are one. Files that neither side has a turn in within the regions have no row.
+    A file's time is cut into parts of ``width`` seconds that any task may take; only the matrix of seconds that a reference label and
+    another label share goes to the assignment, a row for each pair of labels.
+    """
+    reference, hypothesis = (merged(df.where("end > start").select(*keys, "start", "end", "label"), [*keys, "label"]) for df in (reference, hypothesis))
+    counted = scored_regions(reference, hypothesis, keys, regions, collar, width)
+
+    def inside(side: DataFrame) -> DataFrame:
+        pairs = overlap_join(side, counted, keys, width, float("inf"))
+        return pairs.select(*keys, F.col("l_label").alias("label"), F.greatest("l_start", "r_start").alias("start"), F.least("l_end", "r_end").alias("end"))
+
+    refs, hyps = inside(reference), inside(hypothesis)
+    mark = lambda df, at, ref, hyp: df.select(*keys, F.col(at).alias("at"), F.lit(ref).alias("refs"), F.lit(hyp).alias("hyps"))
+    ticks = mark(refs, "start", 1, 0)
+    for df, at, d in ((refs, "end", (-1, 0)), (hyps, "start", (0, 1)), (hyps, "end", (0, -1))):
+        ticks = ticks.unionByName(mark(df, at, *d))
+    long, more = F.col("end") - F.col("start"), F.col("refs") - F.col("hyps")
+    seconds = stepped(ticks, keys, ["refs", "hyps"], width).groupBy(*keys).agg(
+        F.sum(long * F.greatest(F.lit(0), more)).alias("missed"), F.sum(long * F.greatest(F.lit(0), -more)).alias("false_alarm"),
+        F.sum(long * F.least("refs", "hyps")).alias("_both"), F.sum(long * F.col("refs")).alias("total"),
+    )
+    pairs = overlap_join(refs, hyps, keys, width, float("inf"))
+    shared = pairs.groupBy(*keys, F.col("l_label").alias("ref"), F.col("r_label").alias("hyp")).agg(F.sum(shared_seconds(pairs)).alias("s"))
+
+    def assign(frame: pd.DataFrame) -> pd.DataFrame:
+        overlap = dict(zip(zip(frame["hyp"], frame["ref"], strict=True), frame["s"], strict=True))
+        right = sum(overlap[pair] for pair in best_mapping(overlap).items())
+        return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), float(right)]], columns=[*keys, "_right"])
 
     kinds = ", ".join(f"{k} {reference.schema[k].dataType.simpleString()}" for k in keys)
-    return cells.groupBy(*keys).applyInPandas(run, f"{kinds}, missed double, false_alarm double, confusion double, total double, der double")
+    right = shared.groupBy(*keys).applyInPandas(assign, f"{kinds}, _right double")
+    out = seconds.join(right, keys, "left").withColumn("confusion", F.col("_both") - F.coalesce("_right", F.lit(0.0)))
+    der = F.coalesce(F.try_divide(F.col("missed") + F.col("false_alarm") + F.col("confusion"), "total"), F.lit(float("nan")))
+    return out.select(*keys, "missed", "false_alarm", "confusion", "total", der.alias("der"))
 
 
 def gate_verdict(base: Column, current: Column, direction: Column, abs_tol: Column, rel_tol: Column) -> Column:

@@ -1,11 +1,7 @@
-"""Speaker vectors: unit length, cosine, centroids, error rates, stable identities."""
+"""Speaker vectors: unit length, cosine, centroids, error rates."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,83 +67,3 @@ def equal_error(scores: DataFrame, steps: int = 200) -> DataFrame:
     above = (F.sum("d").over(every) - F.coalesce(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("d").over(every)
     t = h.select((F.col("cell") / steps * 2 - 1).alias("threshold"), below.alias("split"), above.alias("merge"))
     return t.orderBy(F.abs(F.col("split") - F.col("merge")), "threshold").limit(1).select("threshold", ((F.col("split") + F.col("merge")) / 2).alias("equal_error"))
-
-
-@dataclass
-class Speaker:
-    label: str
-    centroid: np.ndarray
-    weight: float
-    total: float
-    last_seen: float
-
-
-@dataclass
-class Reconciler:
-    """Maps the labels of successive windows to stable speakers by centroid similarity.
-
-    A window's clusters are matched greedily, best score first, one to one. A cluster that matches
-    nobody at ``match`` becomes a new speaker if it is long enough; speakers whose centroids come
-    together at ``merge`` are one, and the older name stays.
-    """
-
-    match: float = 0.5
-    merge: float = 0.8
-    least_new: float = 1.5
-    most_weight: float = 60.0
-    speakers: list[Speaker] = field(default_factory=list)
-    renamed: dict[str, str] = field(default_factory=dict)
-
-    def window(self, clusters: list[tuple[str, float, np.ndarray, float]]) -> dict[str, str | None]:
-        """``clusters``: (raw label, seconds, vector, time); the speaker of each raw label."""
-        unit_ = [(r, s, v / n, t) for r, s, v, t in clusters if (n := float(np.linalg.norm(v))) > 0]
-        pairs = sorted(((float(s.centroid @ c[2]), -j, -i) for i, c in enumerate(unit_) for j, s in enumerate(self.speakers)), reverse=True)
-        taken: dict[int, int] = {}
-        used: set[int] = set()
-        for score, j, i in pairs:
-            if score >= self.match and -i not in taken and -j not in used:
-                taken[-i] = -j
-                used.add(-j)
-        out: dict[str, str | None] = {r: None for r, *_ in clusters}
-        for i, (raw, seconds, v, at) in enumerate(unit_):
-            if i in taken:
-                s = self.speakers[taken[i]]
-                w = min(s.weight, self.most_weight)
-                c = s.centroid * w + v * seconds
-                s.centroid, s.weight, s.total, s.last_seen = c / np.linalg.norm(c), w + seconds, s.total + seconds, at
-                out[raw] = s.label
-            elif seconds >= self.least_new:
-                s = Speaker(f"spk_{len(self.speakers) + len(self.renamed)}", v, seconds, seconds, at)
-                self.speakers.append(s)
-                out[raw] = s.label
-        self._merge()
-        return {r: self.renamed.get(s, s) if s else None for r, s in out.items()}
-
-    def _merge(self) -> None:
-        k = 0
-        while k < len(self.speakers):
-            old = next((a for a in self.speakers[:k] if float(a.centroid @ self.speakers[k].centroid) >= self.merge), None)
-            if old is None:
-                k += 1
-                continue
-            young = self.speakers.pop(k)
-            c = old.centroid * old.weight + young.centroid * young.weight
-            old.centroid, old.weight, old.total = c / np.linalg.norm(c), old.weight + young.weight, old.total + young.total
-            self.renamed |= {r: old.label for r, s in self.renamed.items() if s == young.label} | {young.label: old.label}
-
-
-def reconciled(passes: DataFrame, **settings: float) -> DataFrame:
-    """(session, window, raw, speaker) of diarisation passes (session, window, raw, seconds, vector, at).
-
-    One session is one ordered fold, so a session is a group; sessions run in parallel.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fold, rows = Reconciler(**settings), []
-        for window, part in frame.sort_values(["window", "raw"]).groupby("window", sort=True):
-            got = fold.window([(r, float(s), np.asarray(v, float), float(t)) for r, s, v, t in zip(part["raw"], part["seconds"], part["vector"], part["at"], strict=True)])
-            rows += [(frame["session"].iloc[0], window, r, got[r]) for r in part["raw"]]
-        return pd.DataFrame(rows, columns=["session", "window", "raw", "speaker"])
-
-    kind = passes.schema["session"].dataType.simpleString()
-    return passes.groupBy("session").applyInPandas(run, f"session {kind}, window long, raw string, speaker string")
