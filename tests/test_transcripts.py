@@ -92,15 +92,6 @@ def test_audio_levels(spark):
     assert r["g"] == [32767, 32767, 0, -32768, 200]
 
 
-def test_agreement_commits_common_prefix():
-    fold = jobs.Agreement(2)
-    assert fold.append(["a", "b", "c"]) == []
-    assert fold.append(["a", "b", "d."]) == ["a", "b"]
-    assert fold.append(["a", "b", "d.", "e"]) == ["d."]
-    assert fold.in_progress() == ["a", "b", "d.", "e"]
-    assert fold.finalized() == ["a", "b", "d."]
-
-
 def memory_stream(spark, tmp_path, rows, schema):
     """Files read one by one, a micro-batch each."""
     for k, part in enumerate(rows):
@@ -144,12 +135,6 @@ def test_stream_latency_join(spark, tmp_path):
     assert [(r["k"], r["latency_ms"]) for r in spark.table("latency").collect()] == [("x", 2000.0)]
 
 
-def test_stream_agreement(spark, tmp_path):
-    s = memory_stream(spark, tmp_path, [[("s", 1, ["a", "b"]), ("s", 2, ["a", "c"]), ("s", 3, ["a", "c", "d"])]], "session string, seq int, words array<string>")
-    drained(jobs.agreed(s), "agreed", tmp_path)
-    assert [w for r in spark.table("agreed").collect() for w in r["words"]] == ["a", "c"]
-
-
 def test_stream_upsert_keeps_the_newest(spark, tmp_path):
     s = memory_stream(spark, tmp_path, [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]], "k string, v int, w string")
     q = jobs.upserted(s, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "c")).trigger(availableNow=True).start()

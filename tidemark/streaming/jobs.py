@@ -75,61 +75,6 @@ def increments(polls: DataFrame, late: str) -> DataFrame:
     )
 
 
-class Agreement:
-    """Commits the words that the last ``n`` hypotheses of a session share as a prefix."""
-
-    def __init__(self, n: int = 2, committed: list[str] | None = None, recent: list[list[str]] | None = None) -> None:
-        self.n, self.committed, self.recent = n, committed or [], recent or []
-
-    def append(self, hypothesis: list[str]) -> list[str]:
-        """Newly committed words."""
-        tail = hypothesis[len(self.committed) :] if hypothesis[: len(self.committed)] == self.committed else hypothesis
-        self.recent = [*self.recent, tail][-self.n :]
-        if len(self.recent) < self.n:
-            return []
-        k = 0
-        while all(len(r) > k and r[k] == self.recent[0][k] for r in self.recent):
-            k += 1
-        new = self.recent[0][:k]
-        self.committed += new
-        self.recent = [r[k:] for r in self.recent]
-        return new
-
-    def finalized(self) -> list[str]:
-        """Committed words up to the last sentence end."""
-        at = max((k for k, w in enumerate(self.committed) if w.rstrip("\"')]").endswith((".", "!", "?"))), default=-1)
-        out, self.committed = self.committed[: at + 1], self.committed[at + 1 :]
-        return out
-
-    def in_progress(self) -> list[str]:
-        return self.committed + (self.recent[-1] if self.recent else [])
-
-
-def agreed(hypotheses: DataFrame, n: int = 2) -> DataFrame:
-    """(session, committed words) of a stream of hypotheses (session, seq, words array).
-
-    A session's state goes when it is silent for FORGET_MS.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        committed, recent = state.get if state.exists else ([], [])
-        fold = Agreement(n, list(committed), [list(r) for r in recent])
-        out = []
-        for words in _ordered(frames, "seq")["words"]:
-            if new := fold.append(list(words)):
-                out.append((key[0], new))
-        state.update((fold.committed, fold.recent))
-        state.setTimeoutDuration(FORGET_MS)
-        yield pd.DataFrame(out, columns=["session", "words"])
-
-    return hypotheses.groupBy("session").applyInPandasWithState(
-        step, "session string, words array<string>", "committed array<string>, recent array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 class LateLabels(StatefulProcessor):
     """Words wait for a speaker; a label settles them, or a timeout leaves them without one. A label is never overwritten.
 
