@@ -7,9 +7,11 @@ place on, and since every part of a frequent phrase is frequent, what stands in
 phrase that ends with the adjacent word. So a phrase of k words is known by the numbers of the two
 frequent phrases of k - 1 words that it holds, exactly and without any hash.
 
-Only words or numbers with their counts are shuffled by phrase; the lists themselves stay with their
-block, to which the numbers of its frequent phrases are joined. A phrase that every text has is one
-row a block, and texts of one language are as many blocks as they fill.
+Only words or numbers with their counts are shuffled by phrase; the lists stay with their block, to
+which the numbers of its frequent phrases are joined, and only the lists of frequent phrases are kept.
+A phrase that every text has is one row a block, and texts of one language are as many blocks as they
+fill. Before a block asks for numbers, a filter of the frequent phrases, as long as that is small,
+spares the shuffle most of those that are not; the join decides.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, columns_of, drop_written, scratch, text_slices, written
+from tidemark.llm.common import arrow_map, columns_of, drop_written, scratch, text_slices, tidy_shuffles, written
 from tidemark.llm.words import Runs, letters
 
 #: Words of the longest phrase, and occurrences of a candidate.
@@ -36,6 +37,8 @@ BLOCK_BYTES = 4 << 20
 BLANKS, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = letters(BLANKS + STOPS)
 _STOP = ~letters(STOPS)
+#: Frequent phrases of one length up to which a filter of them is sent to all tasks: 16 bytes each on the driver, 2 to 4 in a task.
+FILTERED = 1 << 22
 #: Parts of a language in which its best phrases are looked for first.
 SALTS = 64
 
@@ -95,49 +98,130 @@ def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return arrow_map(rows, run, "block long, lang string, words array<string>, counts array<long>, lists binary")
 
 
-def longer_lists(blocks: DataFrame) -> DataFrame:
-    """(block, firsts, seconds, counts, lists): postings of the phrases that are a word longer than those of ``blocks``.
+def _occurrences(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's lists: the ids, and where, in order of the places, which of them (by number) occurs."""
+    ids, counts = (np.asarray(row[c].flatten()) for c in ("ids", "counts"))
+    places, of = _unpacked(row["lists"][0].as_buffer(), counts), np.repeat(np.arange(len(ids)), counts)
+    order = np.argsort(places)
+    return ids, places[order], of[order]
 
-    ``blocks`` has block, counts, lists and found, the numbers (at, id) that the frequent ones of its lists have.
+
+def _extended(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which a phrase a word longer occurs, and what it is: first phrase times number of ids, plus second phrase."""
+    ids, places, of = _occurrences(row)
+    # an occurrence and one that begins a place later are one occurrence of a phrase a word longer
+    met = np.nonzero(places[1:] == places[:-1] + 1)[0]
+    return ids, places[met], of[met] * len(ids) + of[met + 1]
+
+
+def _listed(block: pa.Array, ids: np.ndarray, lists: bytes, counts: np.ndarray) -> pa.RecordBatch:
+    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64()))
+    return pa.RecordBatch.from_arrays([block, one(ids), one(counts), pa.array([lists])], names=["block", "ids", "counts", "lists"])
+
+
+LISTS = "block long, ids array<long>, counts array<long>, lists binary"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1)
+
+
+def first_lists(blocks: DataFrame) -> DataFrame:
+    """Lists of a block's frequent words from those of all its words, with the numbers (at, id) of the frequent ones in ``found``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            counts, found = np.asarray(row["counts"].flatten()), row["found"].flatten()
+            number = np.full(len(counts), -1, np.int64)
+            number[np.asarray(found.field("at"))] = np.asarray(found.field("id"))
+            of, places = np.repeat(number, counts), _unpacked(row["lists"][0].as_buffer(), counts)
+            ids, key = np.unique(of[of >= 0], return_inverse=True)
+            order = np.argsort(places[of >= 0])
+            yield _listed(row["block"], ids, *_postings(places[of >= 0][order], key[order], len(ids)))
+
+    return arrow_map(blocks, run, LISTS)
+
+
+def pair_counts(lists: DataFrame) -> DataFrame:
+    """(first, second, n) for each phrase of a block that is a word longer than the block's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ids, _, key = _extended(row)
+            pairs, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[pairs // len(ids)], ids[pairs % len(ids)], n)], names=["first", "second", "n"])
+
+    return arrow_map(lists, run, "first long, second long, n long")
+
+
+def _spots(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of a pair in a filter of 2**bits bits."""
+    with np.errstate(over="ignore"):
+        z = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (second.astype(np.uint64) + np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return [(z >> np.uint64(64 - bits)).astype(np.int64), *((z >> np.uint64(s)).astype(np.int64) & ((1 << bits) - 1) for s in (3, 17))]
+
+
+def pair_filter(frequent: DataFrame, most: int = FILTERED) -> np.ndarray | None:
+    """Bits, eight a byte, that are all on for a frequent pair and seldom for another; null where there are more than ``most``.
+
+    The driver sees the numbers of at most ``most`` pairs; tasks get 16 to 32 bits for each.
     """
+    n = frequent.count()
+    if not 0 < n <= most:
+        return None
+    bits = max(16, int(16 * n - 1).bit_length())
+    out = np.zeros(1 << bits, bool)
+    pairs = frequent.select("first", "second").toArrow()
+    for at in _spots(pairs["first"].to_numpy(), pairs["second"].to_numpy(), bits):
+        out[at] = True
+    return np.packbits(out, bitorder="little")
+
+
+def asked_pairs(lists: DataFrame, allowed: np.ndarray | None) -> DataFrame:
+    """(block, first, second) of the phrases that ``pair_counts`` counts and the filter does not rule out."""
+    on = None if allowed is None else lists.sparkSession.sparkContext.broadcast(allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                counts = np.asarray(row["counts"].flatten())
-                found = row["found"].flatten()
-                number = np.full(len(counts), -1, np.int64)
-                number[np.asarray(found.field("at"))] = np.asarray(found.field("id"))
-                places = _unpacked(row["lists"][0].as_buffer(), counts)
-                of = np.repeat(number, counts)
-                places, of = places[of >= 0], of[of >= 0]
-                order = np.argsort(places)
-                places, of = places[order], of[order]
-                # an occurrence and one that begins a place later are one occurrence of a phrase a word longer
-                met = np.nonzero(places[1:] == places[:-1] + 1)[0]
-                if not len(met):
-                    continue
-                ids, short = np.unique(of, return_inverse=True)
-                pairs, key = np.unique(short[met] * len(ids) + short[met + 1], return_inverse=True)
-                lists, counts = _postings(places[met], key, len(pairs))
-                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [row["block"], one(ids[pairs // len(ids)]), one(ids[pairs % len(ids)]), one(counts), pa.array([lists])],
-                    names=["block", "firsts", "seconds", "counts", "lists"],
-                )
+        for row in _rows(batches):
+            ids, _, key = _extended(row)
+            pairs = np.unique(key)
+            first, second = ids[pairs // len(ids)], ids[pairs % len(ids)]
+            if on is not None:
+                table = on.value
+                keep = np.logical_and.reduce([table[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _spots(first, second, len(table).bit_length() + 2)])
+                first, second = first[keep], second[keep]
+            block = np.full(len(first), row["block"][0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, first, second)], names=["block", "first", "second"])
+
+    return arrow_map(lists, run, "block long, first long, second long")
+
+
+def longer_lists(lists: DataFrame) -> DataFrame:
+    """Lists of the frequent phrases that are a word longer; ``found`` has those of the block (first, second, id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ids, places, key = _extended(row)
+            found = row["found"].flatten()
+            first, second, number = (np.asarray(found.field(c)) for c in ("first", "second", "id"))
+            code = np.searchsorted(ids, first) * len(ids) + np.searchsorted(ids, second)
+            order = np.argsort(code)
+            code, number = code[order], number[order]
+            at = np.minimum(np.searchsorted(code, key), len(code) - 1)
+            hit = code[at] == key
+            new, of = np.unique(number[at[hit]], return_inverse=True)
+            yield _listed(row["block"], new, *_postings(places[hit], of, len(new)))
 
-    return arrow_map(blocks, run, "block long, firsts array<long>, seconds array<long>, counts array<long>, lists binary")
+    return arrow_map(lists, run, LISTS)
 
 
-def _numbered(blocks: DataFrame, key: list[str], arrays: list[str], least: int, tag: str) -> tuple[DataFrame, DataFrame]:
-    """The phrases of all blocks with ``least`` occurrences or more (key, f, id), and the blocks with what is frequent in them."""
-    columns = [c for c in key if c not in arrays]
-    each = blocks.select("block", *columns, F.posexplode(F.arrays_zip(*arrays, "counts")).alias("at", "x"))
-    each = each.select("block", "at", *(F.col(f"x.{a}").alias(a) if a in arrays else F.col(a) for a in key), F.col("x.counts").alias("n"))
-    frequent = written(each.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), tag)
-    found = each.join(frequent.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-    return frequent, blocks.select("block", "counts", "lists").join(found, "block")
+def _frequent(counts: DataFrame, key: list[str], least: int, tag: str) -> DataFrame:
+    """Phrases with ``least`` occurrences or more (key, f), numbered."""
+    sums = counts.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return written(sums.withColumn("id", F.monotonically_increasing_id()), tag)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -146,26 +230,34 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     A phrase has id, lang, words, f, its parent phrases' ids (first, second: without its last and its first
     word) and the frequencies of what it begins with (pre) and ends with (suf), by length.
     """
-    blocks = written(word_lists(docs, block_bytes), "lists1")
+    blocks = written(word_lists(docs, block_bytes), "lists0")
     total = written(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    named = blocks.withColumnRenamed("words", "word")
-    frequent, held = _numbered(named, ["lang", "word"], ["word"], least, "phrases1")
+    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    frequent = _frequent(each, ["lang", "word"], least, "phrases1")
+    found = written(each.join(frequent, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "found1")
+    lists = written(first_lists(blocks.select("block", "counts", "lists").join(found, "block")), "lists1")
+    for used in (blocks, found):
+        drop_written(used)
     one = F.array("f")
     none = F.lit(None).cast("long")
     levels = [frequent.select("id", "lang", F.array("word").alias("words"), "f", none.alias("first"), none.alias("second"), one.alias("pre"), one.alias("suf"))]
     for k in range(2, longest + 1):
-        before = blocks
-        blocks = written(longer_lists(held), f"lists{k}")
-        drop_written(before)
-        named = blocks.withColumnsRenamed({"firsts": "first", "seconds": "second"})
-        frequent, held = _numbered(named, ["first", "second"], ["first", "second"], least, f"phrases{k}")
+        frequent = _frequent(pair_counts(lists), ["first", "second"], least, f"phrases{k}")
         a = levels[-1].select(F.col("id").alias("first"), "lang", F.col("words").alias("_a"), "pre")
         b = levels[-1].select(F.col("id").alias("second"), F.element_at("words", -1).alias("_b"), "suf")
         grown = frequent.join(a, "first").join(b, "second")
         f = F.array("f")
         grown = grown.select("id", "lang", F.concat("_a", F.array("_b")).alias("words"), "f", "first", "second", F.concat("pre", f).alias("pre"), F.concat("suf", f).alias("suf"))
         levels.append(written(grown, f"described{k}"))
-    drop_written(blocks)
+        if k < longest:
+            asked = asked_pairs(lists, pair_filter(frequent))
+            numbers = asked.join(frequent.select("first", "second", "id"), ["first", "second"])
+            found = written(numbers.groupBy("block").agg(F.collect_list(F.struct("first", "second", "id")).alias("found")), f"found{k}")
+            before, lists = lists, written(longer_lists(lists.join(found, "block")), f"lists{k}")
+            for used in (before, found):
+                drop_written(used)
+        drop_written(frequent)
+    drop_written(lists)
     return levels, total
 
 
@@ -205,7 +297,7 @@ def best_phrases(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least:
     a text must fit in a worker; an empty table gives no rows; other columns are ignored.
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    with scratch() as keep:
+    with scratch() as keep, tidy_shuffles(docs.sparkSession):
         levels, total = frequent_phrases(docs, longest, least, block_bytes)
         keep(total)
         found = keep(written(candidates(levels).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))), "candidates"))

@@ -68,6 +68,18 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _SCRATCH[-1].append(df)
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table that is written inside go as soon as it is, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write the frame to the shared folder and read it back."""
     path = new_path(df.sparkSession, tag)
