@@ -37,6 +37,22 @@ def test_chunks_are_encoded_as_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, ends)[: len(texts)]] == [whole(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "é", "Straße", "naïve", "x1", "9", ".", ",", "..", "?!", "'", "'s", "’", "…", "-", " ", " ", "\n", "ﬁ", "日本", "Ä"]), max_size=20).map("".join), max_size=6))
+def test_words_and_marks_are_encoded_as_whole_texts(texts):
+    ids, ends = packing.chunked(packing.default_path()).encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends)[: len(texts)]] == [whole(t) for t in texts]
+
+
+def test_a_given_table_is_encoded_as_whole_texts():
+    import pyarrow.parquet
+
+    texts = pyarrow.parquet.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids, ends = packing.ChunkedBPE(packing.default_path()).encode(texts)
+    assert ids.tolist() == [i for e in library().encode_batch(texts.to_pylist(), add_special_tokens=False) for i in e.ids]
+    assert len(ends) == len(texts)
+
+
 def test_every_kind_of_white_space_between_words():
     spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
     texts = [f"ab{a}{b}{c} cd{b}" for a in spaces for b in spaces[:8] + spaces[-3:] for c in ("", " ", "\n")]

@@ -16,6 +16,7 @@ task that makes them and moved by the counts of the tasks before; no size has to
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,7 +35,11 @@ from tidemark.llm.common import arrow_map, columns_of, text_slices, written
 CAPACITY, END_ID = 1024, 2
 BATCH_BYTES = 4 << 20
 #: Pieces of text whose ids a Python worker remembers, across its tasks.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+#: Chunks that one call gives to the library, and the letter that stands for a blank in its tokens.
+LINE_CHUNKS, BLANK = 2048, "Ġ"
+#: Marks before which a chunk may end after an ASCII letter or digit.
+MARKS = b".,;:!?"
 #: Letters beyond ASCII that are white space: texts that hold one are given to the library whole.
 _SPACES = r"[\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -48,9 +53,10 @@ def default_path() -> str:
 class ChunkedBPE:
     """A byte-level BPE of the tokenizers library, asked once for each distinct chunk.
 
-    Its words take one blank before them and no other; so a text may be cut wherever ASCII white space
-    begins, as long as no other white space stands before it. Texts that hold special tokens or such
-    white space are encoded whole.
+    Its words take one blank before them and no other, and letters and marks are different words; so a
+    text may be cut wherever ASCII white space begins, as long as no other white space stands before it,
+    and between an ASCII letter or digit and a mark. Texts that hold special tokens or rarer white space
+    are given to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,6 +68,9 @@ class ChunkedBPE:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = "|".join([_SPACES, *("".join(f"\\x{{{ord(c):x}}}" for c in s) for s in special)])
+        names = self.library.get_vocab()
+        self.blank_first = np.zeros(max(names.values()) + 1, bool)
+        self.blank_first[[i for t, i in names.items() if t.startswith(BLANK)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -75,13 +84,33 @@ class ChunkedBPE:
         at = np.asarray(pc.fill_null(pc.index_in(chunks, value_set=self.names), -1)).astype(np.int64)
         fresh = np.nonzero(at < 0)[0]
         new = chunks.take(pa.array(fresh))
-        each = [e.ids for e in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-        at[fresh] = len(self.names) + np.arange(len(fresh))
-        self.names = pa.concat_arrays([self.names, new])
-        self.flat = np.concatenate([self.flat, *(np.array(e, np.int32) for e in each)])
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(e) for e in each], dtype=np.int64))
+        usual = pc.match_substring_regex(new, r"^ [^\x09-\x0d ]")
+        for part, encode in ((new.filter(usual), self._lines), (new.filter(pc.invert(usual)), self._singly)):
+            ids, sizes = encode(part)
+            self.names = pa.concat_arrays([self.names, part])
+            self.flat = np.concatenate([self.flat, ids])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64))
+        usual = usual.to_numpy(zero_copy_only=False)
+        base = len(self.names) - len(new)
+        at[fresh[usual]] = base + np.arange(usual.sum())
+        at[fresh[~usual]] = base + usual.sum() + np.arange((~usual).sum())
         return at
 
+    def _singly(self, chunks: pa.StringArray) -> tuple[np.ndarray, list[int]]:
+        each = [e.ids for e in self.library.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(e, np.int32) for e in each)]), [len(e) for e in each]
+
+    def _lines(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray | list[int]]:
+        """Chunks of a blank and a word, many in one text: a token that begins with a blank begins a chunk."""
+        at = np.append(np.arange(0, len(chunks), LINE_CHUNKS), len(chunks)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), chunks), "").to_pylist() if len(chunks) else []
+        got = self.library.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
+        first = np.nonzero(self.blank_first[ids])[0]
+        if len(first) != len(chunks) or len(first) and first[0]:
+            return self._singly(chunks)
+        return ids, np.diff(np.append(first, len(ids)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each ends; null texts have none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -104,7 +133,8 @@ class ChunkedBPE:
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        begins = blank & ~np.append(False, blank[:-1])
+        before = np.append(np.uint8(32), raw[:-1])
+        begins = (blank & ~np.append(False, blank[:-1])) | (_MARK[raw] & _ALNUM[before])
         begins[at[at < len(raw)]] = True
         start = np.nonzero(begins)[0]
         chunks = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(raw))
@@ -114,6 +144,9 @@ class ChunkedBPE:
         return ids, np.append(0, ends)[np.searchsorted(start, at[1:])]
 
 
+_ALNUM, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (string.ascii_letters.encode() + string.digits.encode(), MARKS))
+
+
 @cache
 def chunked(path: str) -> ChunkedBPE:
     return ChunkedBPE(path)
