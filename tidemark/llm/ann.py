@@ -10,13 +10,15 @@ id. There are more partitions the larger the table is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, columns_of, written
-from tidemark.llm.vectors import dimension, matrix, sample, usable
+from tidemark.llm.vectors import lengths, matrix, sample, usable
 
 #: Vectors the graph is built on at least, and for each partition; its neighbours, hidden units.
 SAMPLE, PER_PARTITION, NEIGHBOURS, HIDDEN = 4096, 64, 20, 128
@@ -147,26 +149,28 @@ def _search(dim: int, top: int):
 
     def run(key, table):
         asks = np.asarray(table["asks"].combine_chunks().cast(pa.int8())) > 0
-        ids, x = np.asarray(table["vec_id"].combine_chunks()), matrix(table["embedding"], dim)
+        ids, row = (np.asarray(table[c].combine_chunks()) for c in ("vec_id", "row"))
+        x = matrix(table["embedding"], dim)
         q, y = np.nonzero(asks)[0], np.nonzero(~asks)[0]
-        y = y[np.argsort(ids[y], kind="stable")]
+        y = y[np.lexsort((row[y], ids[y]))]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q) if len(y) else 0, 256):
             rows = q[at : at + 256]
             s = x[rows] @ x[y].T
-            s[ids[rows][:, None] == ids[y][None]] = -np.inf
+            s[row[rows][:, None] == row[y][None]] = -np.inf
             k = min(top, len(y)) - 1
             least = np.partition(s, len(y) - 1 - k, axis=1)[:, len(y) - 1 - k]
             least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -1.7e308)
             a, b = np.nonzero(s >= least[:, None])
             exact = np.concatenate([np.zeros(0), *((x[rows[a[c : c + 65536]]] * x[y[b[c : c + 65536]]]).sum(1) for c in range(0, len(a), 65536))])
-            order = np.lexsort((ids[y[b]], -exact, a))
+            order = np.lexsort((b, -exact, a))  # rows stand by id
             a, b, exact = a[order], b[order], exact[order]
             first = np.searchsorted(a, np.arange(len(rows)))
             keep = np.arange(len(a)) - first[a] < top
-            out.append((ids[rows[a[keep]]], ids[y[b[keep]]], exact[keep]))
-        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(parts[0]), "vec_id": pa.array(parts[1]), "score": pa.array(parts[2])})
+            a, b = rows[a[keep]], y[b[keep]]
+            out.append((row[a], ids[a], row[b], ids[b], exact[keep]))
+        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_row", "query_id", "row", "vec_id", "score"), map(pa.array, parts), strict=True)))
 
     return run
 
@@ -174,20 +178,24 @@ def _search(dim: int, top: int):
 def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int | None = None, mass: float = MASS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` largest inner products found of each row whose id ``every`` divides.
 
-    Every usable row but the query's own is a candidate. Defined cases: vectors that are null, zero,
-    not finite or not of the commonest length, and null ids, take no part; ties go to the smaller id;
-    of rows that share an id the equal ones count once; with few rows all are returned; an empty
-    table gives no rows; other columns are ignored, also where a name differs in case only.
+    Every usable row but the query's own is a candidate. Defined cases: vectors that are null, zero or
+    not finite, and null ids, take no part; vectors of different lengths have no inner product, so each
+    length is searched by itself; ties go to the smaller id; rows that share an id are rows of their own,
+    also as queries; with few rows all are returned; an empty table gives no rows; other columns are
+    ignored, also where a name differs in case only.
     """
-    good = columns_of(vectors, "vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull()).distinct()
-    dim = dimension(good)
-    good = written(good.where(F.size("embedding") == dim), "vectors")
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    good = columns_of(vectors, "vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull())
+    found = [_of_length(good.where(F.size("embedding") == dim), dim, every, top, parts, mass) for dim in lengths(good)]
+    if not found:
+        return good.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0D AS score")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_length(good: DataFrame, dim: int, every: int, top: int, parts: int | None, mass: float) -> DataFrame:
+    """``search`` among usable vectors that are ``dim`` long, one at least. Written rows keep their numbers, which tell equal ids apart."""
+    good = written(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
     parts = parts or partitions_for(good.count())
     x = sample(good, "vec_id", max(SAMPLE, PER_PARTITION * parts))
-    if not len(x):
-        return spark.createDataFrame([], schema)
     assign, route = learn(x, parts)
 
     def place(batches):
@@ -197,7 +205,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int | None
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *batch.columns], names=["part", *batch.schema.names])
 
     kind = good.schema["embedding"].dataType.simpleString()
-    placed = written(arrow_map(good, place, f"part int, vec_id long, embedding {kind}"), "placed")
+    placed = written(arrow_map(good, place, f"part int, vec_id long, embedding {kind}, row long"), "placed")
     held = np.zeros(parts, np.int64)
     for r in placed.groupBy("part").count().collect():  # PARTITIONS[1] rows at most
         held[r["part"]] = r["count"]
@@ -212,25 +220,23 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, parts: int | None
             before, seen = np.cumsum(sure, 1) - sure, np.cumsum(met, 1) - met
             r, c = np.nonzero((before < mass) | (seen <= top))  # the query's own row is one of those met
             take = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order[r, c].astype(np.int32)), batch["vec_id"].take(take), batch["embedding"].take(take)], names=["part", "vec_id", "embedding"]
-            )
+            cols = [pa.array(order[r, c].astype(np.int32)), *(batch[name].take(take) for name in ("vec_id", "embedding", "row"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "vec_id", "embedding", "row"])
 
-    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
-    asked = written(arrow_map(queries, ask, f"part int, vec_id long, embedding {kind}"), "asked")
+    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding", "row")
+    asked = written(arrow_map(queries, ask, f"part int, vec_id long, embedding {kind}, row long"), "asked")
     blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
     blocks = blocks.join(placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ni")), "part")
     both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
     dealt = both.join(F.broadcast(blocks), "part")  # a row a partition
-    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("asks"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("asks"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("ni")).otherwise(F.col("nq")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumn("i", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))).withColumn(
         "q", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))
     )
-    found = dealt.select("part", "i", "q", "asks", "vec_id", "embedding").groupBy("part", "i", "q").applyInArrow(
-        _search(dim, top), "query_id long, vec_id long, score double"
+    found = dealt.select("part", "i", "q", "asks", "vec_id", "row", "embedding").groupBy("part", "i", "q").applyInArrow(
+        _search(dim, top), "query_row long, query_id long, row long, vec_id long, score double"
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    best = found.distinct().withColumn("rank", rank).where(F.col("rank") <= top)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -15,6 +15,8 @@ in separate tasks, which fold what they find into counts and a spanning forest,
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, columns_of, drop_written, written
 from tidemark.llm.components import connected_components, local_labels
-from tidemark.llm.vectors import dimension, matrix, sample, usable
+from tidemark.llm.vectors import lengths, matrix, sample, usable
 
 #: Vectors that the quantisers are fitted on at least, and for each list; coarse lists, subspaces, codewords of each.
 SAMPLE, PER_LIST, MAX_LISTS, SUBSPACES, CODEWORDS = 8192, 8, 4096, 8, 64
@@ -30,16 +32,24 @@ SAMPLE, PER_LIST, MAX_LISTS, SUBSPACES, CODEWORDS = 8192, 8, 4096, 8, 64
 REGION = 16
 #: Vectors of a region, and vectors that probe it, of one task.
 BLOCK, PROBING = 4096, 16384
+#: Cells of a matrix of distances that the driver holds at once.
+CELLS = 1 << 22
 #: Links of a task that are held before they are folded.
 PAIRS = 1 << 20
 EPS = 1e-9
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The row of ``c`` that is closest to each of ``x``, some rows at a time."""
+    rows, half = max(1, CELLS // max(1, len(c))), (c * c).sum(1) / 2
+    return np.concatenate([np.zeros(0, int), *((x[k : k + rows] @ c.T - half).argmax(1) for k in range(0, len(x), rows))])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = (x @ c.T * 2 - (c * c).sum(1)).argmax(1)
+        near = _nearest(x, c)
         for d in range(x.shape[1]):
             s = np.bincount(near, x[:, d], len(c))
             n = np.bincount(near, minlength=len(c))
@@ -50,12 +60,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
 class Quantiser:
     def __init__(self, unit: np.ndarray, lists: int) -> None:
         self.coarse = kmeans(unit, max(1, min(lists, len(unit))))
-        rest = unit - self.coarse[self.home(unit)]
+        rest = unit - self.coarse[_nearest(unit, self.coarse)]
         dim = unit.shape[1]
         self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         regions = max(1, -(-len(self.coarse) // REGION))
         middles = kmeans(self.coarse, regions, seed=7)
-        self.region = ((self.coarse[:, None] - middles[None]) ** 2).sum(2).argmin(1) if regions > 1 else np.zeros(len(self.coarse), int)
+        self.region = _nearest(self.coarse, middles)
         self.books = [kmeans(rest[:, a:b], min(CODEWORDS, len(rest)), seed=k) for k, (a, b) in enumerate(self.parts)]
 
     @property
@@ -65,18 +75,20 @@ class Quantiser:
     def squares(self, unit: np.ndarray) -> np.ndarray:
         return 1 - 2 * unit @ self.coarse.T + (self.coarse**2).sum(1)
 
-    def home(self, unit: np.ndarray) -> np.ndarray:
-        return self.squares(unit).argmin(1)
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances of the lists' centroids from each other, found once a task."""
+        if len(self.coarse) <= 64:
+            return np.sqrt(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2))
+        own = (self.coarse**2).sum(1)
+        return np.sqrt(np.maximum(own[:, None] + own - 2 * self.coarse @ self.coarse.T, 0))
 
     def probes(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """Home list, and for each row and list whether the border between it and home is within ``reach``."""
         sq = self.squares(unit)
         home = sq.argmin(1)
-        apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2), 0)) if len(self.coarse) <= 64 else np.sqrt(
-            np.maximum((self.coarse**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * self.coarse @ self.coarse.T, 0)
-        )
         gap = sq - sq[np.arange(len(sq)), home][:, None]
-        near = gap <= 2 * apart[home] * (reach + EPS) + EPS
+        near = gap <= 2 * self.apart[home] * (reach + EPS) + EPS
         near[np.arange(len(sq)), home] = False
         return home, near
 
@@ -223,53 +235,55 @@ def _compare(quantiser: Quantiser, dim: int, cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, lists: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    Defined cases: vectors that are null, zero, not finite, or not of the commonest length link with
-    nothing: no links, a component of their own, kept. Equal vectors link with each other. A null
-    vec_id takes no part and gives null. Repeated ids: rows of one id and vector are rows of one
-    class. An empty table gives no rows; other columns are ignored, also where a name differs in case only.
+    Defined cases: vectors that are null, zero or not finite link with nothing: no links, a component of
+    their own, kept. Vectors of different lengths do not link; each length is searched by itself. Equal
+    vectors link with each other. A null vec_id takes no part and gives null. Repeated ids: rows of one id
+    and vector are rows of one class. An empty table gives no rows; other columns are ignored, also where
+    a name differs in case only.
     """
     rows = columns_of(vectors, "vec_id", "embedding")
-    good = rows.where(usable() & F.col("vec_id").isNotNull())
-    dim = dimension(good)
-    good = good.where(F.size("embedding") == dim)
+    fit = usable() & F.col("vec_id").isNotNull()
+    good = rows.where(fit)
+    parts = [_of_length(good.where(F.size("embedding") == dim), dim, cosine, lists, block) for dim in lengths(good)]
+    rest = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = reduce(DataFrame.unionByName, parts, rest)
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _of_length(good: DataFrame, dim: int, cosine: float, lists: int | None, block: int) -> DataFrame:
+    """vec_id, n_links, component_id of usable vectors that are ``dim`` long, one at least."""
     classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")), "classes")
     members = good.join(classes, "embedding").select("vec_id", "node", "mult")
     n = classes.count()
-    if n:
-        k = lists or max(1, min(MAX_LISTS, round(n**0.5)))
-        quantiser = Quantiser(_unit(sample(classes, "node", max(SAMPLE, PER_LIST * k))), k)
-        reach = float(np.sqrt(2 - 2 * cosine)) / 2
-        kind = classes.schema["embedding"].dataType.simpleString()
-        indexed = arrow_map(
-            classes.select("node", "mult", "embedding"), _index(quantiser, dim, reach),
-            f"region int, probing boolean, node long, mult long, embedding {kind}, home int, code binary, error double, probes array<int>",
-        )
-        indexed = written(indexed, "lists")
-        sizes = indexed.groupBy("region").agg(
-            F.ceil(F.sum((~F.col("probing")).cast("long")) / block).cast("int").alias("ni"),
-            F.ceil(F.sum(F.col("probing").cast("long")) / (block * PROBING // BLOCK)).cast("int").alias("nq"),
-        )
-        # a row a region, MAX_LISTS at most
-        dealt = indexed.join(F.broadcast(sizes), "region").withColumn(
-            "own", F.pmod(F.xxhash64("node"), F.when(F.col("probing"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
-        )
-        upto = lambda n: F.sequence(F.lit(0), n - 1)
-        inner = dealt.where("not probing and ni > 0").withColumn("o", F.explode(upto(F.col("ni"))))
-        inner = inner.select("*", F.lit(0).alias("kind"), F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
-        held = dealt.where("not probing and nq > 0").withColumn("o", F.explode(upto(F.col("nq"))))
-        held = held.select("*", F.lit(1).alias("kind"), F.col("own").alias("p"), F.col("o").alias("q"))
-        asked = dealt.where("probing and ni > 0").withColumn("o", F.explode(upto(F.col("ni"))))
-        asked = asked.select("*", F.lit(1).alias("kind"), F.col("o").alias("p"), F.col("own").alias("q"))
-        tasks = inner.unionByName(held).unionByName(asked)
-        found = tasks.groupBy("region", "kind", "p", "q").applyInArrow(_compare(quantiser, dim, cosine), "a long, b long, n long")
-        found = written(found, "links")
-        drop_written(indexed)
-        counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        roots = connected_components(found.select("a", "b"))
-        members = members.join(counts, "node", "left").join(roots, "node", "left")
-        members = members.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    else:
-        members = members.select("vec_id", (F.col("mult") - 1).alias("n_links"), F.col("node").alias("component_id"))
-    rest = rows.where(~(usable() & F.col("vec_id").isNotNull() & (F.coalesce(F.size("embedding"), F.lit(-1)) == dim)))
-    rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return members.unionByName(rest).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    k = lists or max(1, min(MAX_LISTS, round(n**0.5)))
+    quantiser = Quantiser(_unit(sample(classes, "node", max(SAMPLE, PER_LIST * k))), k)
+    reach = float(np.sqrt(2 - 2 * cosine)) / 2
+    kind = classes.schema["embedding"].dataType.simpleString()
+    indexed = arrow_map(
+        classes.select("node", "mult", "embedding"), _index(quantiser, dim, reach),
+        f"region int, probing boolean, node long, mult long, embedding {kind}, home int, code binary, error double, probes array<int>",
+    )
+    indexed = written(indexed, "lists")
+    sizes = indexed.groupBy("region").agg(
+        F.ceil(F.sum((~F.col("probing")).cast("long")) / block).cast("int").alias("ni"),
+        F.ceil(F.sum(F.col("probing").cast("long")) / (block * PROBING // BLOCK)).cast("int").alias("nq"),
+    )
+    # a row a region, MAX_LISTS at most
+    dealt = indexed.join(F.broadcast(sizes), "region").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.when(F.col("probing"), F.col("nq")).otherwise(F.col("ni"))).cast("int")
+    )
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    inner = dealt.where("not probing and ni > 0").withColumn("o", F.explode(upto(F.col("ni"))))
+    inner = inner.select("*", F.lit(0).alias("kind"), F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
+    held = dealt.where("not probing and nq > 0").withColumn("o", F.explode(upto(F.col("nq"))))
+    held = held.select("*", F.lit(1).alias("kind"), F.col("own").alias("p"), F.col("o").alias("q"))
+    asked = dealt.where("probing and ni > 0").withColumn("o", F.explode(upto(F.col("ni"))))
+    asked = asked.select("*", F.lit(1).alias("kind"), F.col("o").alias("p"), F.col("own").alias("q"))
+    tasks = inner.unionByName(held).unionByName(asked)
+    found = tasks.groupBy("region", "kind", "p", "q").applyInArrow(_compare(quantiser, dim, cosine), "a long, b long, n long")
+    found = written(found, "links")
+    drop_written(indexed)
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.select("a", "b"))
+    members = members.join(counts, "node", "left").join(roots, "node", "left")
+    return members.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))

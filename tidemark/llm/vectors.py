@@ -15,10 +15,9 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dimension(vectors: DataFrame, column: str = "embedding") -> int:
-    """The commonest length, the smaller one of equals; 0 without vectors. Other lengths take no part."""
-    row = vectors.groupBy(F.size(column).alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    return row["d"] if row else 0
+def lengths(vectors: DataFrame, column: str = "embedding") -> list[int]:
+    """The lengths that there are. Vectors of different lengths have no cosine and no inner product; each length is searched by itself."""
+    return sorted(r[0] for r in vectors.select(F.size(column)).distinct().collect())  # a row a length: models, not vectors
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
