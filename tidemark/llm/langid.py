@@ -25,8 +25,8 @@ from tidemark.llm.toxicity import word_lists
 DOCS = 600
 #: Languages with fewer training rows than this are still learned; there may be at most so many languages.
 MAX_LANGUAGES = 256
-#: Runs longer than this are summed one at a time, in blocks of places.
-LONG, PLACES = 64, 4096
+#: Runs longer than this are summed with their scale kept apart, in blocks of places; cells of those that the fit takes at once.
+LONG, PLACES, CELLS = 64, 4096, 1 << 22
 ROUNDS = 5
 UNKNOWN = 1e-7
 REMEMBERED = 400_000
@@ -162,10 +162,65 @@ def log_likelihood(words: list[str], known: dict[str, int], table: np.ndarray) -
     return out
 
 
+def long_counts(words: list[str], counts: np.ndarray, known: dict[str, int], table: np.ndarray) -> np.ndarray:
+    """Expected use of each piece, unknown ones last, by runs of any length at once.
+
+    Both passes keep the last values within range and what they were divided by as logarithms.
+    """
+    most, none = longest(known), len(known)
+    size = np.array([len(w) for w in words])
+    n, w = int(size.max()), len(words)
+    grid = np.full((w, n + 1, most + 1), none, np.int32)
+    for at, own in grids(words, known):
+        grid[at, : own.shape[1]] = own
+    q = table[grid[:, :, 1:]]
+    ends = np.arange(n + 1)
+    inside = (ends[None] >= 1) & (ends[None] <= size[:, None])
+    q[:, :, 0] = np.where(inside, np.maximum(q[:, :, 0], UNKNOWN), 0.0)
+
+    def passed(step, begin: np.ndarray) -> np.ndarray:
+        """Logarithms of what ``step`` makes of the last values; ``begin`` is where each run's first value, one, stands."""
+        logs, last, scale = np.full((w, n + 1), -np.inf), np.zeros((w, most)), np.zeros(w)
+        for t in range(n + 1):
+            new = np.where(begin == t, 1.0, (last * step(t)).sum(1))
+            with np.errstate(divide="ignore"):
+                logs[:, t] = np.log(new) + scale
+            last = np.concatenate([new[:, None], last[:, :-1]], 1)
+            if t % 8 == 7:
+                top = last.max(1)
+                top[top == 0] = 1
+                last /= top[:, None]
+                scale += np.log(top)
+        return logs
+
+    lengths = np.arange(1, most + 1)
+
+    def backward(t: int) -> np.ndarray:
+        to = n - t + lengths
+        return np.where(to <= n, q[:, np.minimum(to, n), lengths - 1], 0.0)
+
+    alpha = passed(lambda t: q[:, t], np.zeros(w, int))
+    beta = passed(backward, n - size)[:, ::-1]
+    whole = alpha[np.arange(w), size]
+    out = np.zeros(none + 1)
+    for l in range(1, min(most, n) + 1):
+        with np.errstate(divide="ignore"):
+            use = np.log(q[:, l:, l - 1]) + alpha[:, : n + 1 - l] + beta[:, l:] - whole[:, None]
+        out += np.bincount(grid[:, l:, l].ravel(), (np.exp(use) * counts[:, None]).ravel(), none + 1)
+    return out
+
+
 def expected_counts(words: list[str], counts: np.ndarray, known: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected use of each piece by one language's words: the forward-backward step. Runs over LONG letters teach nothing."""
+    """Expected use of each piece by one language's words: the forward-backward step, over runs of any length."""
     table, out, most = np.append(p, 0.0)[:, None], np.zeros(len(known) + 1), longest(known)
-    for at, grid in grids([w if len(w) <= LONG else "" for w in words], known):
+    short = np.array([k for k, w in enumerate(words) if len(w) <= LONG], int)
+    far = sorted((k for k, w in enumerate(words) if len(w) > LONG), key=lambda k: len(words[k]))
+    while far:  # runs of similar lengths together, as many as their cells allow, one at least
+        some = max(1, min(len(far), CELLS // (len(words[far[-1]]) * (most + 1))))
+        out += long_counts([words[k] for k in far[-some:]], counts[far[-some:]], known, table[:, 0])
+        far = far[:-some]
+    for at, grid in grids([words[k] for k in short], known):
+        at = short[at]
         alpha = forward(grid, table)[:, :, 0]
         n = grid.shape[1]
         beta = np.zeros_like(alpha)
