@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def rows_table(spark: SparkSession, rows: Iterable[dict], schema: str, tag: str) -> DataFrame:
+    """Rows that the driver has, as a table that the JVM reads: no Python worker stands behind it."""
+    path = new_path(spark, tag)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows.json")
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        lines = iter(rows)
+        while part := "".join(json.dumps(r) + "\n" for r in islice(lines, 4096)):
+            out.write(part.encode())
+    finally:
+        out.close()
+    table = spark.read.schema(schema).json(path)
+    table._tidemark_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(table)
+    return table
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove what ``written`` wrote, once nothing reads it any more."""
     path = getattr(df, "_tidemark_path", None)

@@ -14,10 +14,10 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import restored, scratch, shielded, written
+from tidemark.llm.common import restored, rows_table, scratch, shielded, written
 
-#: Leaves a mixture may have; a tree with target weights is written by hand or by rule, not per document.
-MAX_LEAVES = 100_000
+#: Leaves up to which their decisions are sent to all tasks; those of more meet the rows in a shuffle.
+BROADCAST_LEAVES = 100_000
 #: Bits of the seeded order by which each step narrows the place where a leaf's prefix ends, and steps.
 ORDER_BITS, STEPS = 8, 4
 #: Stands for a null domain, language or source.
@@ -100,16 +100,16 @@ def decisions(
     spark = docs.sparkSession
     narrow = _leafed(docs, domain_of() if domain is None else domain)
     narrow = written(narrow.select("doc_id", "_leaf", F.xxhash64("text").alias("_h"), word_count().alias("n_tokens")), "tokens")
-    rows = narrow.groupBy("_leaf").agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
+    rows = narrow.groupBy("_leaf").agg(F.sum("n_tokens").alias("n")).collect()  # a row a leaf
     tokens = {tuple(r["_leaf"]): r["n"] for r in rows}
     budgets = leaf_budgets(tokens, share * sum(tokens.values()), WEIGHTS if weights is None else weights, max_epochs)
-    plan = [(p, n, budgets[p], budgets[p] // n if n else 0, budgets[p] % n if n else 0) for p, n in sorted(tokens.items())]
-    leaves = spark.createDataFrame(
-        plan, "_leaf struct<domain:string,lang:string,source:string>, tokens long, budget long, whole int, part long"
+    plan = (
+        {"_leaf": dict(zip(("domain", "lang", "source"), p, strict=True)), "tokens": n, "budget": budgets[p], "whole": budgets[p] // n if n else 0, "part": budgets[p] % n if n else 0}
+        for p, n in sorted(tokens.items())
     )
-    placed = narrow.join(F.broadcast(leaves.where("part > 0").select("_leaf", "whole", "part")), "_leaf")
+    leaves = rows_table(spark, plan, "_leaf struct<domain:string,lang:string,source:string>, tokens long, budget long, whole int, part long", "plan")
+    small = F.broadcast if len(tokens) <= BROADCAST_LEAVES else lambda df: df
+    placed = narrow.join(small(leaves.where("part > 0").select("_leaf", "whole", "part")), "_leaf")
     placed = placed.withColumn("_at", _order(seed, F.col("whole")))
     run = Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("_from", F.lit(0).cast("long"))
@@ -118,7 +118,7 @@ def decisions(
         sums = inside.groupBy("_leaf", "part", "_from", bucket.alias("_bucket")).agg(F.sum("n_tokens").alias("n"))
         sums = sums.withColumn("_before", F.col("_from") + F.coalesce(F.sum("n").over(run), F.lit(0)))
         edge = sums.where("_before < part").groupBy("_leaf").agg(F.max_by(F.struct("_bucket", "_before"), "_bucket").alias("e"))
-        inside = placed.join(F.broadcast(edge), "_leaf").where(bucket == F.col("e._bucket")).withColumn("_from", F.col("e._before")).drop("e")
+        inside = placed.join(small(edge), "_leaf").where(bucket == F.col("e._bucket")).withColumn("_from", F.col("e._before")).drop("e")
     step = Window.partitionBy("_leaf").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("_from") + F.coalesce(F.sum("n_tokens").over(step), F.lit(0)))
     last = inside.where("start < part").groupBy("_leaf").agg(F.max("_at").alias("last"))
@@ -138,8 +138,9 @@ def mix(
     """
     outer, (docs, inner) = docs, shielded(docs)
     with scratch() as keep:
-        # at most MAX_LEAVES rows, which decisions() holds it to
-        plan = F.broadcast(keep(written(decisions(docs, share, max_epochs, seed, weights, domain), "leaves")))
+        plan = keep(written(decisions(docs, share, max_epochs, seed, weights, domain), "leaves"))
+        if plan.count() <= BROADCAST_LEAVES:
+            plan = F.broadcast(plan)
     rows = _leafed(docs, domain_of() if domain is None else domain).join(plan, "_leaf").withColumn("_h", F.xxhash64("text"))
     more = (_order(seed, F.col("whole")) <= F.col("last")).cast("int")
     rows = rows.withColumn("_times", F.col("whole") + more).where("_times > 0")

@@ -15,7 +15,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, drop_written, written
+from tidemark.llm.common import columns_of, drop_written, rows_table, written
 
 #: Most key ranges that the driver looks at in one round.
 RANGES = 1 << 16
@@ -90,7 +90,7 @@ def _ranges(groups: DataFrame, of: list[Range] | None, bits: int) -> list[Range]
         rows = groups.groupBy(part.alias("part")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("bytes").alias("m"))
         return sorted((r["part"] << (KEY_BITS - bits), KEY_BITS - bits, r["b"], r["n"], r["m"]) for r in rows.collect())
     spark = groups.sparkSession
-    wide = spark.createDataFrame([(r[0] >> r[1], r[1]) for r in of], "head long, width int")
+    wide = rows_table(spark, ({"head": r[0] >> r[1], "width": r[1]} for r in of), "head long, width int", "ranges")
     out: list[Range] = []
     for width in sorted({r[1] for r in of}):
         left = max(0, width - bits)
@@ -99,6 +99,7 @@ def _ranges(groups: DataFrame, of: list[Range] | None, bits: int) -> list[Range]
         rows = rows.groupBy(F.shiftright("key", left).alias("part"))
         rows = rows.agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("bytes").alias("m"))
         out += [(r["part"] << left, left, r["b"], r["n"], r["m"]) for r in rows.collect()]
+    drop_written(wide)
     return sorted(out)
 
 
