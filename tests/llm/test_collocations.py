@@ -24,10 +24,14 @@ def plain(rows, top: int, longest: int, least: int) -> list[tuple]:
     out = []
     for lang, count in f.items():
         frequent = {g: a for g, a in count.items() if a >= least}
-        inside = lambda g, h: any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))
+        longer = Counter()  # the most occurrences of any longer phrase that holds it
+        for h, b in frequent.items():
+            for k in range(2, len(h)):
+                for i in range(len(h) - k + 1):
+                    longer[h[i : i + k]] = max(longer[h[i : i + k]], b)
         found = []
         for g, a in frequent.items():
-            if len(g) < 2 or any(len(h) > len(g) and 100 * b >= 80 * a and inside(g, h) for h, b in frequent.items()):
+            if len(g) < 2 or g in longer and 100 * longer[g] >= 80 * a:
                 continue
             score, _, left, right = min((2_000_000 * a // (count[g[:j]] + count[g[j:]]), j, count[g[:j]], count[g[j:]]) for j in range(1, len(g)))
             found.append((-score, -a, " ".join(g).encode(), left, right))

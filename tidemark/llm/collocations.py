@@ -16,6 +16,7 @@ spares the shuffle most of those that are not; the join decides.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,27 +44,44 @@ FILTERED = 1 << 22
 SALTS = 64
 
 
-def _packed(places: np.ndarray, ends: np.ndarray) -> bytes:
-    """Ascending lists, end to end, as steps."""
-    step = np.diff(places, prepend=0)
-    first = np.append(0, ends[:-1])
-    step[first] = places[first]
-    return zstandard.ZstdCompressor(level=1).compress(step.astype("<i4").tobytes())
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, low ones first: the high planes of small numbers take next to nothing."""
+    out = []
+    for x in arrays:
+        x = x.astype("<i4" if abs(x).max(initial=0) < 1 << 31 else "<i8")
+        body = zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+        out.append(struct.pack("<BQQ", x.itemsize, len(x), len(body)) + body)
+    return b"".join(out)
 
 
-def _unpacked(data: bytes, counts: np.ndarray) -> np.ndarray:
-    n = int(counts.sum())
-    step = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=4 * n), "<i4").astype(np.int64)
-    total = np.cumsum(step)
-    first = np.cumsum(counts) - counts
-    return total - np.repeat(total[first] - step[first], counts)
+def _arrays(data: bytes) -> list[np.ndarray]:
+    out, at, head = [], 0, struct.calcsize("<BQQ")
+    while at < len(data):
+        size, n, packed = struct.unpack_from("<BQQ", data, at)
+        raw = zstandard.ZstdDecompressor().decompress(data[at + head : at + head + packed], max_output_size=size * n)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<i{size}").ravel().astype(np.int64))
+        at += head + packed
+    return out
 
 
-def _postings(places: np.ndarray, key: np.ndarray, n: int) -> tuple[bytes, np.ndarray]:
-    """The lists of keys 0 to n - 1, packed, and their lengths; places ascend."""
+def _postings(places: np.ndarray, key: np.ndarray, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The lists of keys 0 to len(ids) - 1, whose ids ascend, and their lengths; places ascend and are kept as steps."""
     order = np.argsort(key, kind="stable")
-    counts = np.bincount(key, minlength=n)
-    return _packed(places[order], np.cumsum(counts)), counts
+    counts = np.bincount(key, minlength=len(ids))
+    listed = places[order]
+    step = np.diff(listed, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    step[first] = listed[first]
+    return _squeezed(np.diff(ids, prepend=0), counts, step), counts
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths and places of the lists."""
+    ids, counts, step = _arrays(data)
+    total = np.cumsum(step)
+    first = np.cumsum(counts) - counts
+    on = counts > 0
+    return np.cumsum(ids), counts, total - np.repeat(total[first[on]] - step[first[on]], counts[on])
 
 
 def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -86,7 +104,7 @@ def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 cut = np.append(False, (stops[1:] != stops[:-1]) | (text[1:] != text[:-1]))
                 places = np.arange(len(cut)) + np.cumsum(cut)
                 coded = runs.words.dictionary_encode()
-                lists, counts = _postings(places, np.asarray(coded.indices), len(coded.dictionary))
+                lists, counts = _postings(places, np.asarray(coded.indices), np.arange(len(coded.dictionary)))
                 one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t) if t else v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), pa.array([lang]), one(coded.dictionary, None), one(counts, pa.int64()), pa.array([lists])],
@@ -100,8 +118,8 @@ def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def _occurrences(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's lists: the ids, and where, in order of the places, which of them (by number) occurs."""
-    ids, counts = (np.asarray(row[c].flatten()) for c in ("ids", "counts"))
-    places, of = _unpacked(row["lists"][0].as_buffer(), counts), np.repeat(np.arange(len(ids)), counts)
+    ids, counts, places = _unpacked(row["lists"][0].as_py())
+    of = np.repeat(np.arange(len(ids)), counts)
     order = np.argsort(places)
     return ids, places[order], of[order]
 
@@ -114,12 +132,11 @@ def _extended(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, places[met], of[met] * len(ids) + of[met + 1]
 
 
-def _listed(block: pa.Array, ids: np.ndarray, lists: bytes, counts: np.ndarray) -> pa.RecordBatch:
-    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64()))
-    return pa.RecordBatch.from_arrays([block, one(ids), one(counts), pa.array([lists])], names=["block", "ids", "counts", "lists"])
+LISTS = "block long, lists binary"
 
 
-LISTS = "block long, ids array<long>, counts array<long>, lists binary"
+def _listed(block: pa.Array, places: np.ndarray, key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([block, pa.array([_postings(places, key, ids)[0]])], names=["block", "lists"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +150,14 @@ def first_lists(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            counts, found = np.asarray(row["counts"].flatten()), row["found"].flatten()
+            (_, counts, places), found = _unpacked(row["lists"][0].as_py()), row["found"].flatten()
             number = np.full(len(counts), -1, np.int64)
             number[np.asarray(found.field("at"))] = np.asarray(found.field("id"))
-            of, places = np.repeat(number, counts), _unpacked(row["lists"][0].as_buffer(), counts)
-            ids, key = np.unique(of[of >= 0], return_inverse=True)
-            order = np.argsort(places[of >= 0])
-            yield _listed(row["block"], ids, *_postings(places[of >= 0][order], key[order], len(ids)))
+            of = np.repeat(number, counts)
+            places, of = places[of >= 0], of[of >= 0]
+            ids, key = np.unique(of, return_inverse=True)
+            order = np.argsort(places)
+            yield _listed(row["block"], places[order], key[order], ids)
 
     return arrow_map(blocks, run, LISTS)
 
@@ -213,7 +231,7 @@ def longer_lists(lists: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(code, key), len(code) - 1)
             hit = code[at] == key
             new, of = np.unique(number[at[hit]], return_inverse=True)
-            yield _listed(row["block"], new, *_postings(places[hit], of, len(new)))
+            yield _listed(row["block"], places[hit], of, new)
 
     return arrow_map(lists, run, LISTS)
 
@@ -230,12 +248,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     A phrase has id, lang, words, f, its parent phrases' ids (first, second: without its last and its first
     word) and the frequencies of what it begins with (pre) and ends with (suf), by length.
     """
-    blocks = written(word_lists(docs, block_bytes), "lists0")
+    blocks = written(word_lists(docs, block_bytes), "lists0", "zstd")
     total = written(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     frequent = _frequent(each, ["lang", "word"], least, "phrases1")
-    found = written(each.join(frequent, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "found1")
-    lists = written(first_lists(blocks.select("block", "counts", "lists").join(found, "block")), "lists1")
+    found = written(each.join(frequent, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "found1", "zstd")
+    lists = written(first_lists(blocks.select("block", "lists").join(found, "block")), "lists1")
     for used in (blocks, found):
         drop_written(used)
     one = F.array("f")
@@ -252,7 +270,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         if k < longest:
             asked = asked_pairs(lists, pair_filter(frequent))
             numbers = asked.join(frequent.select("first", "second", "id"), ["first", "second"])
-            found = written(numbers.groupBy("block").agg(F.collect_list(F.struct("first", "second", "id")).alias("found")), f"found{k}")
+            found = written(numbers.groupBy("block").agg(F.collect_list(F.struct("first", "second", "id")).alias("found")), f"found{k}", "zstd")
             before, lists = lists, written(longer_lists(lists.join(found, "block")), f"lists{k}")
             for used in (before, found):
                 drop_written(used)

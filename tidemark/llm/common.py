@@ -82,10 +82,10 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write the frame to the shared folder and read it back."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     if _SCRATCH:
