@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import materialise, tables
+from tidemark.operators import materialise
+from tidemark.operators import tables as writes
 from tidemark.sources import channels
 from tidemark.sources.audio_frames import encode_wav
-from tidemark.streaming import jobs
+from tidemark.streaming import tables
 
 
 def ts(s: str):
@@ -55,7 +56,7 @@ def test_heartbeats_survive_a_new_checkpoint_and_snapshot(spark, tmp_path):
         spark.createDataFrame(rows, "id string, t string, n int").selectExpr("id", "cast(t as timestamp) at", "n").write.mode("append").json(str(tmp_path / f"in{k}"))
         s = spark.readStream.schema(schema).json(str(tmp_path / f"in{k}"))
         channels.heartbeats(s, str(tmp_path / "table"), ["id"], "at", "10 SECONDS", str(tmp_path / f"c{k}")).trigger(availableNow=True).start().awaitTermination(60)
-    now = jobs.current(spark, str(tmp_path / "table"))
+    now = tables.current(spark, str(tmp_path / "table"))
     assert sorted((r["id"], r["n"]) for r in now.collect()) == [("a", 3), ("b", 2)]
     snap = channels.fleet_snapshot(now, now.limit(0), now, now, ts("2024-01-01 00:00:35")).first()
     assert [n["id"] for n in snap["nodes"]] == ["a"] and snap["sessions"] == []
@@ -76,14 +77,14 @@ def test_json_report(spark, tmp_path):
 
 def test_inserts_return_keys_and_members_keep_one_source(spark):
     rows = spark.createDataFrame([("x", 1), (None, 2)], "name string, n int")
-    once, again = (sorted(r["uid"] for r in tables.inserted(rows, "uid", "device").collect()) for _ in range(2))
+    once, again = (sorted(r["uid"] for r in writes.inserted(rows, "uid", "device").collect()) for _ in range(2))
     assert once == again and len(set(once)) == 2 and all(len(u) == 36 for u in once)
     table = spark.createDataFrame([("k", "old", None)], "uid string, name string, seen string")
-    assert sorted(r["name"] or "" for r in tables.appended(table, tables.inserted(rows, "uid", "d")).collect()) == ["", "old", "x"]
-    audit = tables.audited(spark.createDataFrame([("me", 1, "b")], "actor string, p int, q string"), ["p", "q"]).first()
+    assert sorted(r["name"] or "" for r in writes.appended(table, writes.inserted(rows, "uid", "d")).collect()) == ["", "old", "x"]
+    audit = writes.audited(spark.createDataFrame([("me", 1, "b")], "actor string, p int, q string"), ["p", "q"]).first()
     assert json.loads(audit["params_summary"]) == {"p": 1, "q": "b"}
     m = spark.createDataFrame([("r", "d1", True), ("r", "d2", False), ("s", "d3", True)], "room string, device string, src boolean")
-    add = lambda d, f: sorted((r["room"], r["device"], r["src"]) for r in tables.add_member(m, "room", "device", "src", F.lit("r"), F.lit(d), f).collect())
+    add = lambda d, f: sorted((r["room"], r["device"], r["src"]) for r in writes.add_member(m, "room", "device", "src", F.lit("r"), F.lit(d), f).collect())
     assert add("d4", True) == [("r", "d1", False), ("r", "d2", False), ("r", "d4", True), ("s", "d3", True)]
     assert add("d4", False) == [("r", "d1", True), ("r", "d2", False), ("r", "d4", False), ("s", "d3", True)]
     assert len(add("d3", True)) == 3
@@ -109,3 +110,23 @@ def test_stale_rooms_are_materialised(spark, rooms):
     assert new == [("AUTO", "2024-01-08 09:00:00", "2024-01-08 10:00:00"), ("SCHEDULED", "2024-01-10 10:00:00", "2024-01-10 11:00:00")]
     assert [r["uid"] for r in got.deleted.collect()] == ["b"]
     assert {r["uid"]: (r["version"], r["last_materialized_at"]) for r in got.rooms.collect()} == {"r": (2, dt.datetime(2024, 1, 8)), "q": (1, dt.datetime(2024, 1, 7, 23))}
+
+
+def test_rooms_that_would_end_the_job_are_set_aside(spark):
+    day = lambda c: F.col(c).cast("timestamp")
+    rows = [("good", "Europe/Paris"), ("offset", "+02:00"), ("nowhere", "Mars/Olympus"), ("none", None), ("clock", "UTC"), ("days", "UTC"), ("window", "UTC"), ("fresh", "Mars/Olympus")]
+    rooms = spark.createDataFrame([(u, z, True, 1, "2024-01-07 23:00:00" if u == "fresh" else None) for u, z in rows], "uid string, timezone string, auto_session_enabled boolean, version int, t string")
+    rooms = rooms.withColumn("last_materialized_at", day("t")).drop("t")
+    base = "uid string, room_uid string, anchor string, local_start_time string, local_end_time string, frequency string, days_of_week array<string>"
+    full = lambda df: df.withColumn("anchor_start", day("anchor")).withColumn("active_start", day("anchor")).withColumn("active_end", F.lit(None).cast("timestamp")).drop("anchor")
+    plan = [(f"s-{u}", u, "2024-01-01", "25:61" if u == "clock" else "10:00", "11:00", "WEEKLY", [] if u == "days" else ["MON"]) for u, _ in rows]
+    schedules = full(spark.createDataFrame(plan, base))
+    windows = full(spark.createDataFrame([("w", "window", "2024-01-01", "09:00", "12:00", "SOMETIMES", ["MON"]), ("v", "good", "2024-01-01", "09:00", "12:00", "WEEKLY", ["MON"])], base))
+    none = "uid string, room_uid string, schedule_uid string, type string, effective_start timestamp, effective_end timestamp, canceled_at timestamp"
+    got = materialise.materialised(rooms, schedules, windows, spark.createDataFrame([], none), ts("2024-01-08 00:00:00"), ts("2024-01-07 12:00:00"))
+    assert {r["room_uid"]: r["reason"] for r in got.failed.collect()} == {
+        "nowhere": "unknown time zone Mars/Olympus", "none": "unknown time zone (null)", "clock": "schedule s-clock: no time of day", "days": "schedule s-days: no days", "window": "window w: unknown frequency"
+    }
+    new = sorted((r["room_uid"], r["type"], str(r["effective_start"])) for r in got.inserted.collect())
+    assert new == [("good", "AUTO", "2024-01-08 08:00:00"), ("good", "AUTO", "2024-01-08 10:00:00"), ("good", "SCHEDULED", "2024-01-08 09:00:00"), ("offset", "SCHEDULED", "2024-01-08 08:00:00")]
+    assert sorted((r["uid"], r["version"]) for r in got.rooms.collect()) == sorted([("good", 2), ("offset", 2)] + [(u, 1) for u in ("nowhere", "none", "clock", "days", "window", "fresh")])

@@ -45,11 +45,7 @@ def test_counted_and_uncovered_speech(spark):
     assert [x["shifted"] for x in speech.shifted_by_drops(w, d, ["k"]).orderBy("at").collect()] == [3.5, 8.5]
 
 
-def test_capacity_only_falls_in_dirty_windows(spark):
-    rows = [("w", 1, 0.2, 2, 0.0), ("w", 2, 0.9, 5, 0.4), ("w", 3, None, 0, None), ("w", 4, 0.9, 3, 0.4)]
-    df = spark.createDataFrame(rows, "worker string, seq long, busy double, jobs int, drop_share double")
-    got = [r["ceiling"] for r in speech.learned_capacity(df).orderBy("seq").collect()]
-    assert got[0] == 8 and got[1] == 4 and got[3] == 2
+def test_admission(spark):
     a = spark.range(1).select(speech.admitted(F.lit(0), F.lit(0)).alias("a"), speech.admitted(F.lit(3), F.lit(3)).alias("b"), speech.admitted(F.lit(9), F.lit(None).cast("int")).alias("c")).first()
     assert (a["a"], a["b"], a["c"]) == (True, False, True)
 

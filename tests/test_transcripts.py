@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import audio
 from tidemark.operators import scoring, transcript, vectors
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, tables
 
 
 def test_accuracy_words(spark):
@@ -137,9 +137,9 @@ def test_stream_latency_join(spark, tmp_path):
 
 def test_stream_upsert_keeps_the_newest(spark, tmp_path):
     s = memory_stream(spark, tmp_path, [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]], "k string, v int, w string")
-    q = jobs.upserted(s, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = tables.upserted(s, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {r["k"]: r["w"] for r in jobs.current(spark, str(tmp_path / "out")).collect()}
+    got = {r["k"]: r["w"] for r in tables.current(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": "z", "b": "y"}
 
 

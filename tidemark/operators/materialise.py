@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, schedule, tables
@@ -13,12 +13,19 @@ from tidemark.operators import intervals, schedule, tables
 PLANNED = ("SCHEDULED", "ON_DEMAND")
 
 
+#: A time of day, and an offset that stands for a zone.
+CLOCK = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?$"
+OFFSET = r"^(Z|(GMT|UTC|UT)?[+-](0?\d|1[0-7])(:[0-5]\d)?|(GMT|UTC|UT)?[+-]18(:00)?)$"
+FREQUENCIES = ("ONCE", "WEEKLY", "BIWEEKLY")
+
+
 class Written(NamedTuple):
-    """New sessions, uids of automatic ones that go, and the rooms with their versions."""
+    """New sessions, uids of automatic ones that go, the rooms with their versions, and (room_uid, reason) of those that were set aside."""
 
     inserted: DataFrame
     deleted: DataFrame
     rooms: DataFrame
+    failed: DataFrame
 
 
 def add_days(at: Column, days: int) -> Column:
@@ -44,6 +51,35 @@ def stale(rooms: DataFrame, cutoff: Column) -> DataFrame:
     return rooms.where(F.col("last_materialized_at").isNull() | (F.col("last_materialized_at") <= cutoff))
 
 
+def zones(spark: SparkSession) -> DataFrame:
+    """(timezone): the names of zones that the session's clock functions know."""
+    return spark.createDataFrame([(z,) for z in sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())], "timezone string")
+
+
+def set_aside(rooms: DataFrame, schedules: DataFrame, windows: DataFrame) -> DataFrame:
+    """(room_uid, reason) of rooms that cannot be materialised: one row a room, the first reason by name.
+
+    A room fails by its own zone, or by any of its schedules and windows. What is found here is all that the expansion's
+    functions would end the job for, and what they would silently leave out.
+    """
+    known = zones(rooms.sparkSession).withColumn("_known", F.lit(True))
+    own = rooms.join(F.broadcast(known), "timezone", "left")  # some hundred names
+    fine = F.col("_known") | F.coalesce(F.col("timezone").rlike(OFFSET), F.lit(False))
+    found = own.where(~F.coalesce(fine, F.lit(False))).select(F.col("uid").alias("room_uid"), F.concat(F.lit("unknown time zone "), F.coalesce("timezone", F.lit("(null)"))).alias("reason"))
+    for kind, df in (("schedule", schedules), ("window", windows)):
+        clock = lambda c: F.coalesce(F.col(c).rlike(CLOCK), F.lit(False))
+        wrong = (
+            F.when(~clock("local_start_time") | ~clock("local_end_time"), "no time of day")
+            .when(~F.coalesce(F.col("frequency").isin(*FREQUENCIES), F.lit(False)), "unknown frequency")
+            .when(F.col("anchor_start").isNull() | F.col("active_start").isNull(), "no begin")
+            .when((F.col("frequency") != "ONCE") & ~F.coalesce(F.arrays_overlap("days_of_week", F.array(*map(F.lit, schedule.DAYS))), F.lit(False)), "no days")
+            .when(F.col("active_end") < F.col("active_start"), "ends before it begins")
+        )
+        bad = df.withColumn("_wrong", wrong).where("_wrong is not null")
+        found = found.unionByName(bad.select("room_uid", F.concat(F.lit(f"{kind} "), F.col("uid").cast("string"), F.lit(": "), F.col("_wrong")).alias("reason")))
+    return found.groupBy("room_uid").agg(F.min("reason").alias("reason"))
+
+
 def materialised(
     rooms: DataFrame, schedules: DataFrame, windows: DataFrame, sessions: DataFrame, now: Column, cutoff: Column, days: int = schedule.HORIZON_DAYS
 ) -> Written:
@@ -51,14 +87,16 @@ def materialised(
 
     A schedule goes on after the end of its last session; automatic sessions fill what planned ones
     leave of their windows, and those that no longer fit and have not begun go. Every stale room gets
-    a new version. A room is a key of joins, so all rooms are one job; a room that fails fails alone
-    where the caller runs ``captions.guarded``.
+    a new version. A room is a key of joins, so all rooms are one job; rooms that would end it are set
+    aside before, with a reason, keep their version, and so are stale again the next time.
 
     rooms: uid, timezone, auto_session_enabled, version, last_materialized_at. schedules and windows: as
     ``schedule.occurrences`` takes them, and room_uid. sessions: uid, room_uid, schedule_uid, type,
     effective_start, effective_end, canceled_at.
     """
     due = stale(rooms, cutoff)
+    failed = set_aside(due, schedules.join(due.select(F.col("uid").alias("room_uid")), "room_uid", "left_semi"), windows.join(due.select(F.col("uid").alias("room_uid")), "room_uid", "left_semi"))
+    due = due.join(failed.select(F.col("room_uid").alias("uid")), "uid", "left_anti")
     until = add_days(now, days)
     here = due.select(F.col("uid").alias("room_uid"), "timezone", "auto_session_enabled")
     last = sessions.where("type = 'SCHEDULED'").groupBy(F.col("schedule_uid").alias("uid")).agg(F.max("effective_end").alias("_last"))
@@ -87,4 +125,4 @@ def materialised(
     )
     rows = planned.withColumn("schedule_uid", F.col("schedule_uid").cast("string")).unionByName(automatic)
     gone = action.where("action = 'delete'").join(old, ["room_uid", "start", "end"]).select("uid", "room_uid")
-    return Written(tables.inserted(rows, "uid", "session"), gone, tables.bumped(rooms, due, "uid", "version", "last_materialized_at", now))
+    return Written(tables.inserted(rows, "uid", "session"), gone, tables.bumped(rooms, due, "uid", "version", "last_materialized_at", now), failed)

@@ -1,9 +1,7 @@
-"""Speech ranges: hysteresis over frame scores, counted speech, gaps that no pass covered, capacity learning."""
+"""Speech ranges: hysteresis over frame scores, counted speech, gaps that no pass covered."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,42 +59,6 @@ def shifted_by_drops(words: DataFrame, drops: DataFrame, keys: list[str]) -> Dat
     return rows.withColumn("shifted", F.col("at") - F.sum("seconds").over(w)).where("_word = 1").select(*keys, "at", "shifted")
 
 
-@dataclass
-class Capacity:
-    """Sessions that a worker can hold, learned from the cost of clean windows; a dirty one may only lower it."""
-
-    target: float = 0.8
-    cost: float | None = None
-    ceiling: int | None = None
-
-    def window(self, busy: float | None, jobs: int, drop_share: float | None) -> int | None:
-        clean = (drop_share or 0.0) < 0.05
-        if busy is not None and jobs > 0 and clean:
-            per = busy / jobs
-            self.cost = per if self.cost is None else 0.7 * self.cost + 0.3 * per
-        now = None if not self.cost else int(self.target / self.cost)
-        if not clean and jobs > 0:
-            now = min(now if now is not None else jobs, max(1, jobs - 1))
-            self.ceiling = now if self.ceiling is None else min(self.ceiling, now)
-        elif now is not None:
-            self.ceiling = now
-        return self.ceiling
-
-
-def learned_capacity(windows: DataFrame) -> DataFrame:
-    """(worker, seq, ceiling) of windows (worker, seq, busy, jobs, drop_share)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        fold, rows = Capacity(), []
-        for r in f.sort_values("seq").itertuples(index=False):
-            c = fold.window(None if pd.isna(r.busy) else r.busy, int(r.jobs), None if pd.isna(r.drop_share) else r.drop_share)
-            rows.append((r.worker, r.seq, c))
-        return pd.DataFrame(rows, columns=["worker", "seq", "ceiling"]).astype({"ceiling": "Int32"})
-
-    kind = windows.schema["worker"].dataType.simpleString()
-    return windows.groupBy("worker").applyInPandas(run, f"worker {kind}, seq long, ceiling int")
-
-
 def admitted(live: Column, ceiling: Column) -> Column:
     """The first session and unknown capacity are admitted; else one more must fit."""
     return F.when((live == 0) | ceiling.isNull(), True).otherwise(live + 1 <= ceiling)

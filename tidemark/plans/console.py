@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import captions, config, lookups, materialise, tables, values
+from tidemark.operators import captions, config, lookups, materialise, presence, tables, values
 from tidemark.plans.lookups import members
 from tidemark.plans.register import Registry, table
 
@@ -105,10 +105,29 @@ def evicted_frames(spark, sf_dir):
     return captions.evicted(e, ["user_id"], "event_id", 3).select("user_id", "event_id")
 
 
-@registry.query("SELECT user_id, max(epoch(ts)) AS last_seen FROM (SELECT user_id, ts, floor(epoch(ts) / 3600) AS slot FROM events) GROUP BY user_id, slot")
+#: The first touch, then each first one an hour or more after the one written before.
+_WRITES = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS at FROM events{where}), n AS (SELECT e.user_id, e.at, f.at AS next FROM e ASOF LEFT JOIN e f ON e.user_id = f.user_id AND e.at + 3600000000 <= f.at),
+    w AS (SELECT user_id, min(at) AS at FROM e GROUP BY 1 UNION ALL SELECT w.user_id, n.next FROM w JOIN n ON n.user_id = w.user_id AND n.at = w.at WHERE n.next IS NOT NULL)"""
+
+
+def _touches(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+
+
+@registry.query(_WRITES.replace("{where}", "") + " SELECT user_id, at AS last_seen FROM w")
 def coalesced_touches(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return captions.coalesced_touches(e, "user_id", "at", 3600.0)
+    """Touches that are written: an hour or more after the last one that was."""
+    got = presence.coalesced(_touches(spark, sf_dir), "user_id", "at", 3600.0)
+    return got.select("user_id", F.round(F.col("last_seen") * 1_000_000).cast("long").alias("last_seen"))
+
+
+@registry.query(_WRITES.replace("{where}", " WHERE event_type <> 'signup'") + """ SELECT w.user_id, w.at AS published, min(event_id) AS event_id, count(*) AS readings FROM w JOIN events x ON x.user_id = w.user_id AND epoch_us(x.ts) = w.at AND event_type <> 'signup' GROUP BY 1, 2""")
+def throttled_readings(spark, sf_dir):
+    """Readings that are published: those of a session that come an hour or more after its last one."""
+    e = _touches(spark, sf_dir).where("event_type <> 'signup'")
+    got = presence.coalesced(e, "user_id", "at", 3600.0).withColumnRenamed("last_seen", "at")
+    rows = got.join(e.select("user_id", "at", "event_id"), ["user_id", "at"]).groupBy("user_id", "at").agg(F.min("event_id").alias("event_id"), F.count("*").alias("readings"))
+    return rows.select("user_id", F.round(F.col("at") * 1_000_000).cast("long").alias("published"), "event_id", "readings")
 
 
 _E = "e AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'f' || event_id END AS final, CASE WHEN event_type IN ('error', 'click') THEN 'p' || event_id END AS ip, event_type = 'signup' AS brk FROM events)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import audio, text
-from tidemark.operators import config, speech
+from tidemark.operators import capacity, config, speech
 from tidemark.plans.register import Registry, table
 from tidemark.sources import text_formats
 
@@ -119,12 +119,26 @@ def admissions(spark, sf_dir):
     return e.select("user_id", "n", speech.admitted(F.col("n"), F.lit(70)).alias("admitted"))
 
 
-@registry.query()
+@registry.query("""WITH e AS (SELECT user_id // 5 AS worker, user_id AS job, epoch_us(ts) AS us, epoch_us(ts) / 1000000 AS complete, 600.0::DOUBLE + event_id % 7 * 300 AS seconds, CASE WHEN event_id % 11 = 0 THEN 12 ELSE 0 END AS dropped FROM events),
+      p AS (SELECT *, complete - seconds AS start, max(complete) OVER (PARTITION BY worker ORDER BY us, job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(complete) OVER (PARTITION BY worker, job ORDER BY us) AS last FROM e),
+      r AS (SELECT *, sum((last IS NULL OR before - 86400 > last)::INT) OVER (PARTITION BY worker, job ORDER BY us) AS run FROM p),
+      k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker, job, run ORDER BY us) AS nth FROM r) WHERE nth > 1),
+      w AS (SELECT *, count(*) OVER f AS n, sum(seconds) OVER f AS s, sum(dropped) OVER f AS d, min(start) OVER f AS a, len(list_distinct(list(job) OVER f)) AS jobs FROM k
+        WINDOW f AS (PARTITION BY worker ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+      b AS (SELECT *, CASE WHEN n >= 2 AND complete > a THEN least(1, s / (complete - a)) END AS busy, d / (d + n) AS drop_share FROM w),
+      c AS (SELECT *, coalesce(busy < 0.4 AND drop_share < 0.6, false) AS clean FROM b),
+      o AS (SELECT *, last_value(CASE WHEN clean AND busy > 0 THEN busy / jobs END IGNORE NULLS) OVER (PARTITION BY worker ORDER BY us) AS cost, count(*) FILTER (clean) OVER (PARTITION BY worker ORDER BY us) AS cleans FROM c)
+      SELECT worker, job, us, round(busy, 9) AS busy, round(drop_share, 9) AS drop_share, clean, round(cost, 9) AS cost, floor(0.85 / cost)::BIGINT AS ceiling, CASE WHEN cleans >= 5 AND cost IS NOT NULL THEN greatest(1, floor(0.85 / cost))::BIGINT END AS capacity FROM o""")
 def learned_capacity(spark, sf_dir):
-    """An ordered fold per worker; tested on sequences."""
-    e = table(spark, sf_dir, "events")
-    w = e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("busy"), F.lit(3).alias("jobs"), F.when(F.col("event_type") == "error", 0.2).otherwise(0.0).alias("drop_share"))
-    return speech.learned_capacity(w)
+    """Sessions that workers can hold, after each execution of a sliding day."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select(
+        F.floor(F.col("user_id") / 5).alias("worker"), F.col("user_id").alias("job"), (us / 1_000_000).alias("complete"), (600.0 + F.col("event_id") % 7 * 300).alias("seconds"),
+        F.when(F.col("event_id") % 11 == 0, 12).otherwise(0).alias("dropped"),
+    ).withColumn("start", F.col("complete") - F.col("seconds"))
+    got = capacity.learned(e, capacity.Limits(window=86_400.0, warm_up=1, busy=0.4, dropped=0.6, part=5 * 86_400.0))
+    rounded = (F.round(c, 9).alias(c) for c in ("busy", "drop_share", "cost"))
+    return got.select("worker", "job", F.round(F.col("complete") * 1_000_000).cast("long").alias("us"), "clean", "ceiling", "capacity", *rounded)
 
 
 @registry.query()

@@ -79,10 +79,10 @@ def with_expiry(snapshots: DataFrame, at: str, ttl: str) -> DataFrame:
 
 
 def heartbeats(stream: DataFrame, path: str, keys: list[str], at: str, ttl: str, checkpoint: str):
-    """Keep the newest snapshot of each member at ``path``; readers drop those past ``expires_at``."""
-    from tidemark.streaming.jobs import upserted
+    """Keep the newest snapshot of each member at ``path``; readers drop those past ``expires_at``, and they go when runs are merged."""
+    from tidemark.streaming.tables import upserted
 
-    return upserted(with_expiry(stream, at, ttl), path, keys, at, checkpoint)
+    return upserted(with_expiry(stream, at, ttl), path, keys, at, checkpoint, expires="expires_at")
 
 
 def fleet_snapshot(nodes: DataFrame, sessions: DataFrame, hosts: DataFrame, audio: DataFrame, now: Column) -> DataFrame:

@@ -1,13 +1,12 @@
-"""The same logic on Structured Streaming: counters, alerts, latency, transcripts and speaker labels."""
+"""The same logic on Structured Streaming: counters, alerts, latency, sessions and late labels."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -116,57 +115,3 @@ def late_labels(updates: DataFrame, timeout_ms: int) -> DataFrame:
     return updates.groupBy("sequence").transformWithStateInPandas(
         LateLabels(timeout_ms), "sequence string, index int, speaker string, settled boolean", "Update", "ProcessingTime"
     )
-
-
-def _point(spark: SparkSession, path: str, version: str) -> None:
-    """Name the version that readers take; the file appears by a rename, so a reader sees the old name or the new one."""
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, now = Path(f"{path}/next"), Path(f"{path}/current")
-    out = fs.create(new, True)
-    out.writeBytes(version)
-    out.close()
-    fs.delete(now, False)
-    fs.rename(new, now)
-
-
-def _current(spark: SparkSession, path: str) -> str | None:
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in ("current", "next"):
-        if fs.exists(Path(f"{path}/{name}")):
-            return spark.read.text(f"{path}/{name}").first()[0]
-    return None
-
-
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upserted`` keeps at ``path``."""
-    version = _current(spark, path)
-    if version is None:
-        raise ValueError(f"nothing was written to {path}")
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def upserted(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Keep the newest row of each key at ``path``: each micro-batch writes a new version, points to it, and removes the one
-    before the last. The pointer tells where to go on, so a new checkpoint over an old path loses nothing, and a batch that
-    runs again gives the same rows."""
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = _current(spark, path)
-        rows = batch if old is None else batch.unionByName(spark.read.parquet(f"{path}/{old}"))
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        version = f"v-{uuid.uuid4().hex}"
-        newest.write.parquet(f"{path}/{version}")
-        _point(spark, path, version)
-        Path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        for f in fs.listStatus(Path(path)):
-            name = f.getPath().getName()
-            if name.startswith("v-") and name not in (version, old):
-                fs.delete(f.getPath(), True)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
