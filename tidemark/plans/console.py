@@ -106,22 +106,22 @@ def evicted_frames(spark, sf_dir):
 
 
 #: The first touch, then each first one an hour or more after the one written before.
-_WRITES = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS at FROM events{where}), n AS (SELECT e.user_id, e.at, f.at AS next FROM e ASOF LEFT JOIN e f ON e.user_id = f.user_id AND e.at + 3600000000 <= f.at),
-    w AS (SELECT user_id, min(at) AS at FROM e GROUP BY 1 UNION ALL SELECT w.user_id, n.next FROM w JOIN n ON n.user_id = w.user_id AND n.at = w.at WHERE n.next IS NOT NULL)"""
+_WRITES = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events{where}), n AS (SELECT e.user_id, e.t, min(f.t) AS next FROM e LEFT JOIN e f ON e.user_id = f.user_id AND f.t >= e.t + 3600000000 GROUP BY 1, 2),
+    w AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT w.user_id, n.next FROM w JOIN n ON n.user_id = w.user_id AND n.t = w.t WHERE n.next IS NOT NULL)"""
 
 
 def _touches(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
 
 
-@registry.query(_WRITES.replace("{where}", "") + " SELECT user_id, at AS last_seen FROM w")
+@registry.query(_WRITES.replace("{where}", "") + " SELECT user_id, t AS last_seen FROM w")
 def coalesced_touches(spark, sf_dir):
     """Touches that are written: an hour or more after the last one that was."""
     got = presence.coalesced(_touches(spark, sf_dir), "user_id", "at", 3600.0)
     return got.select("user_id", F.round(F.col("last_seen") * 1_000_000).cast("long").alias("last_seen"))
 
 
-@registry.query(_WRITES.replace("{where}", " WHERE event_type <> 'signup'") + """ SELECT w.user_id, w.at AS published, min(event_id) AS event_id, count(*) AS readings FROM w JOIN events x ON x.user_id = w.user_id AND epoch_us(x.ts) = w.at AND event_type <> 'signup' GROUP BY 1, 2""")
+@registry.query(_WRITES.replace("{where}", " WHERE event_type <> 'signup'") + """ SELECT w.user_id, w.t AS published, min(event_id) AS event_id, count(*) AS readings FROM w JOIN events x ON x.user_id = w.user_id AND epoch_us(x.ts) = w.t AND event_type <> 'signup' GROUP BY 1, 2""")
 def throttled_readings(spark, sf_dir):
     """Readings that are published: those of a session that come an hour or more after its last one."""
     e = _touches(spark, sf_dir).where("event_type <> 'signup'")
