@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import captions, config, lookups, materialise, presence, tables, values
+from tidemark.operators import captions, config, lookups, materialise, presence, rolling, tables, values
 from tidemark.plans.lookups import members
 from tidemark.plans.register import Registry, table
 
@@ -235,3 +235,35 @@ def metrics_snapshot_json(spark, sf_dir):
     probes = table(spark, sf_dir, "region").select(F.col("r_name").alias("service"), (F.col("r_regionkey") > 0).alias("ok"))
     alerts = probes.where("service is null").select(F.col("service").alias("id"))
     return built_snapshot(counters, probes, alerts, e.select(F.col("event_id").alias("at"), F.lit(True).alias("ok")), F.lit(0))
+
+
+#: Samples of a label's vectors, one after the other, eight times as loud.
+_SAMPLES = """v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE * 8 AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS pos, count(*) OVER (PARTITION BY label) AS total FROM v)"""
+
+
+def _chunks(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("samples"))
+
+
+@registry.query(f"""WITH {_SAMPLES},
+    b AS (SELECT label, pos // 100 AS block, count(*) AS n, greatest(-120, 10 * log10(sum(x * x) / count(*))) AS db FROM s GROUP BY ALL),
+    w AS (SELECT b.label, b.block, s.pos, s.x FROM b JOIN s ON s.label = b.label AND s.pos // 100 BETWEEN b.block - 9 AND b.block WHERE b.n = 100 OR b.block < 10),
+    r AS (SELECT label, block, count(*) AS run FROM (SELECT label, block, pos - row_number() OVER (PARTITION BY label, block ORDER BY pos) AS g FROM w WHERE abs(x) >= 0.99) GROUP BY label, block, g),
+    c AS (SELECT label, block, sum(run) FILTER (run >= 2) AS charged FROM r GROUP BY ALL),
+    m AS (SELECT label, block, count(*) AS n, greatest(-120, 10 * log10(sum(x * x) / count(*))) AS db, max(abs(x)) AS peak FROM w GROUP BY ALL),
+    f AS (SELECT m.label, m.block, count(*) AS k, quantile_cont(b.db, 0.1) AS floor FROM m JOIN b ON b.label = m.label AND b.block BETWEEN m.block - 9 AND m.block AND b.n = 100 GROUP BY ALL)
+    SELECT m.label, m.block, m.n, round(m.db, 6) AS rms_db, round(20 * log10(peak), 6) AS peak_db, round(coalesce(charged, 0) / m.n, 9) AS clipped, m.db <= 20 * log10(1.0) AS silent, round(CASE WHEN coalesce(k, 0) < 2 THEN m.db ELSE floor END, 6) AS floor_db
+    FROM m LEFT JOIN c USING (label, block) LEFT JOIN f USING (label, block)""")
+def rolling_meter(spark, sf_dir):
+    """Levels, peaks, clipping, silence and noise floor over the ten newest blocks of a hundred samples."""
+    m = rolling.meter(_chunks(spark, sf_dir), ["label"], "vec_id", "samples", 100, 10, silence=1.0)
+    return m.select("label", "block", F.col("n").cast("long").alias("n"), "silent", F.round("clipped", 9).alias("clipped"), *(F.round(c, 6).alias(c) for c in ("rms_db", "peak_db", "floor_db")))
+
+
+@registry.query(f"""WITH {_SAMPLES}, k AS (SELECT label, vec_id, count(*) FILTER (pos < 1000) AS kept, count(*) FILTER (pos >= 1000) AS overflow, count(*) FILTER (pos >= total - 1000) AS newest FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY v.vec_id, v.i) - 1 AS pos, count(*) OVER (PARTITION BY v.label) AS total FROM v) GROUP BY ALL) SELECT * FROM k""")
+def buffered_samples(spark, sf_dir):
+    """What buffers of a thousand samples take of each chunk, give back, and still hold at the end."""
+    c = _chunks(spark, sf_dir)
+    size = lambda c, name: F.size(c).cast("long").alias(name)
+    first = rolling.filled(c, ["label"], "vec_id", "samples", 1000).select("label", "vec_id", size("kept", "kept"), size("overflow", "overflow"))
+    return first.join(rolling.rolled(c, ["label"], "vec_id", "samples", 1000).select("vec_id", size("kept", "newest")), "vec_id")

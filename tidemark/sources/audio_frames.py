@@ -59,6 +59,10 @@ def decode_frame(data: bytes) -> dict:
     return out | {"audio": data[at:-4]}
 
 
+#: Kinds of samples in a WAV file.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+
+
 def decoded_frames(df: DataFrame, column: str) -> DataFrame:
     """The frame's fields beside every column of ``df``."""
 
@@ -74,24 +78,50 @@ def crc_of_frame(frame: Column) -> Column:
     return F.crc32(F.substr(frame, F.lit(1), F.length(frame) - 4))
 
 
-def decode_wav(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(rate, channels, 16-bit samples) of a RIFF/WAVE file in PCM16."""
+def _wav_parts(data: bytes) -> tuple[int, int, int, int, bytes]:
+    """(kind, bits, rate, channels, body) of a RIFF/WAVE file; an extensible format is the kind it names."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, rate, channels, samples = 12, 0, 0, None
+    at, kind, bits, rate, channels, samples = 12, 0, 0, 0, 0, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         body = data[at + 8 : at + 8 + size]
-        if name == b"fmt ":
+        if name == b"fmt " and len(body) >= 16:
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
-            if kind != 1 or bits != 16:
-                raise ValueError("only PCM16")
+            if kind == EXTENSIBLE and len(body) >= 26:
+                kind = struct.unpack_from("<H", body, 24)[0]
         elif name == b"data":
-            samples = np.frombuffer(body[: len(body) // 2 * 2], "<i2")
+            samples = body
         at += 8 + size + size % 2
-    if samples is None or not rate:
+    if samples is None or not rate or not channels:
         raise ValueError("no samples")
-    return rate, channels, samples
+    return kind, bits, rate, channels, samples
+
+
+def decode_wav(data: bytes) -> tuple[int, int, np.ndarray]:
+    """(rate, channels, 16-bit samples) of a RIFF/WAVE file in PCM16."""
+    kind, bits, rate, channels, body = _wav_parts(data)
+    if (kind, bits) != (PCM, 16):
+        raise ValueError("only PCM16")
+    return rate, channels, np.frombuffer(body[: len(body) // 2 * 2], "<i2")
+
+
+def decode_samples(data: bytes) -> tuple[int, np.ndarray]:
+    """(rate, samples by channel in -1..1) of a RIFF/WAVE file: whole numbers of 8, 16, 24 or 32 bits, or floats of 32 or 64."""
+    kind, bits, rate, channels, body = _wav_parts(data)
+    width = bits // 8
+    if (kind, bits) not in {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)}:
+        raise ValueError(f"no format {kind} of {bits} bits")
+    raw = np.frombuffer(body[: len(body) // (width * channels) * width * channels], np.uint8)
+    if kind == FLOAT:
+        x = raw.view(f"<f{width}").astype(np.float64)
+    elif bits == 8:  # the only one without a sign
+        x = (raw.astype(np.float64) - 128) / 128
+    else:  # the bytes are the high ones of 32 bits
+        wide = np.zeros((len(raw) // width, 4), np.uint8)
+        wide[:, 4 - width :] = raw.reshape(-1, width)
+        x = wide.view("<i4").ravel() / 2.0**31
+    return rate, x.reshape(-1, channels)
 
 
 def encode_wav(samples: np.ndarray, rate: int, channels: int) -> bytes:

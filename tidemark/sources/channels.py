@@ -6,13 +6,16 @@ frames give them a schema, put what does not fit aside, and keep the newest stat
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.fleet import closed_set, parsed
-from tidemark.sources.audio_frames import decode_wav
+from tidemark.sources.audio_frames import decode_samples
 
 #: Why a poll can fail.
 POLL_REASONS = ("unreachable", "unauthorized", "not-found", "http-error", "malformed")
@@ -102,26 +105,45 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def mono(samples: np.ndarray, channels: int, rate: int, target: int) -> np.ndarray:
-    """16-bit samples as one channel of floats in [-1, 1), resampled by linear interpolation."""
-    x = samples[: len(samples) // channels * channels].reshape(-1, channels).mean(1) / 32768.0
+#: Zero crossings of the resampling filter on either side, and how much of the band it passes when the rate falls.
+CROSSINGS, PASSED = 24, 0.94
+
+
+def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Samples at another rate by a windowed sinc, a set of weights for each phase; what the new rate cannot carry is filtered out."""
     if rate == target or not len(x):
-        return x.astype(np.float32)
-    n = int(round(len(x) * target / rate))
-    return np.interp(np.arange(n) * rate / target, np.arange(len(x)), x).astype(np.float32)
+        return x
+    up, down = target // gcd(rate, target), rate // gcd(rate, target)
+    band = min(1.0, up / down * (PASSED if down > up else 1.0))
+    half = int(np.ceil(CROSSINGS / band))
+    n = -(-len(x) * up // down)
+    padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
+    taps = sliding_window_view(padded, 2 * half + 1)
+    out = np.empty(n)
+    for phase in range(min(up, n)):
+        at = np.arange(phase, n, up) * down
+        t = np.arange(-half, half + 1) - at[0] % up / up
+        weight = band * np.sinc(band * t) * np.i0(10.0 * np.sqrt(np.maximum(0, 1 - (t / half) ** 2))) / np.i0(10.0)
+        out[phase::up] = taps[at // up] @ weight
+    return out
+
+
+def mono(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Samples by channel as one channel of floats at the target rate."""
+    return resampled(samples.mean(1), rate, target).astype(np.float32)
 
 
 def decoded_audio(df: DataFrame, content: str, target: int = 16_000) -> DataFrame:
-    """``samples`` (floats, one channel at ``target`` Hz) of WAV files in a binary column; null where it is no such file."""
+    """``samples`` (floats, one channel at ``target`` Hz) of WAV files in a binary column; null where it is no such file or of no known format."""
 
     @F.pandas_udf("array<float>")
     def decode(data: pd.Series) -> pd.Series:
         def one(raw: bytes | None) -> np.ndarray | None:
             try:
-                rate, channels, samples = decode_wav(raw or b"")
+                rate, samples = decode_samples(raw or b"")
             except ValueError:
                 return None
-            return mono(samples, channels, rate, target)
+            return mono(samples, rate, target)
 
         return data.map(one)
 
