@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import audio, text
-from tidemark.operators import config, speech
+from tidemark.operators import config, jobs, speech, transcript, values, vectors
 
 
 def test_config_findings_follow_the_environment(spark):
@@ -68,3 +68,30 @@ def test_files_captions_and_codes(spark):
     codes = text.join_codes(s).orderBy("valid_start").collect()
     assert len(codes) == 3 and codes[-1]["valid_end"] == dt.datetime(2024, 1, 1, 0, 12)
     assert all(len(c["join_code"]) == 8 and c["join_code"].isalnum() for c in codes) and len({c["join_code"] for c in codes}) == 3
+
+
+def test_more_labels_than_one_array_holds(spark):
+    rng = __import__("random").Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centers = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(23)], "label long, centroid array<double>")
+    one, many = (sorted(map(tuple, vectors.nearest_label(df, centers, "vec_id", "embedding", "label", m).collect())) for m in (4096, 5))
+    assert one == many and len(one) == 60
+
+
+def test_what_a_worker_does_next(spark):
+    rows = [("a", 1, "READY", 5.0, 9.0), ("a", 2, "READY", 1.0, 13.0), ("a", 3, "SLEEPING", 9.0, 1.0), ("b", 4, "SLEEPING", 10.0, 1.0), ("b", 5, "RUNNING", 0.0, 1.0), ("c", 6, "RUNNING", 0.0, 1.0), ("d", None, None, None, None)]
+    df = spark.createDataFrame(rows, "worker string, job int, state string, period_start double, period double")
+    at = lambda now: {r["worker"]: (r["job"], r["deadline"], r["idle"]) for r in jobs.next_jobs(df, F.lit(now)).collect()}
+    assert at(9.0) == {"a": (1, 14.0, None), "b": (None, None, 1.0), "c": (None, None, None), "d": (None, None, None)}
+    assert at(10.5) == {"a": (3, 10.0, None), "b": (4, 11.0, None), "c": (None, None, None), "d": (None, None, None)}
+
+
+def test_halves_are_cut_where_a_chunk_ends(spark):
+    texts = ["One. Two three four five six", "a", " ab ", "x" * 9, "para one\n\npara two. And more text here", 'He said "no." Then "yes!" went', "no end here at all", "\n\n", "a b"]
+    got = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", values.bisected(F.col("t"))).collect()}
+    for t in texts:
+        bare = t.strip()
+        cut = transcript.cut_point(bare, -(-len(bare) // 2)) if len(bare) >= 2 else 0
+        want = [bare[:cut].strip(), bare[cut:].strip()]
+        assert got[t] == (want if all(want) else None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.presence import cut
+
 #: Heartbeats, seconds, and how many of them a member may miss.
 HEARTBEAT = {"node": 2, "host": 5}
 MISSES = 5
@@ -65,16 +67,15 @@ def stage_depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     need = edges.select("child", "parent").distinct()
     wait = need.groupBy(F.col("child").alias("stage")).agg(F.count("*").alias("left"))
-    state = nodes.select("stage").join(wait, "stage", "left").select("stage", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("depth")).cache()
+    state = nodes.select("stage").join(wait, "stage", "left").select("stage", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("depth"))
+    state = cut(state)
     level = 1
     while not state.where("depth is null and left = 0").isEmpty():
         ready = state.where("depth is null and left = 0").select(F.col("stage").alias("parent"))
         served = need.join(ready, "parent").groupBy(F.col("child").alias("stage")).agg(F.count("*").alias("got"))
         depth = F.when(F.col("depth").isNull() & (F.col("left") == 0), level).otherwise(F.col("depth"))
-        after = state.join(served, "stage", "left").select("stage", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), depth.alias("depth")).cache()
-        after.count()
-        state.unpersist()
-        state, level = after, level + 1
+        after = state.join(served, "stage", "left").select("stage", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), depth.alias("depth"))
+        state, level = cut(after), level + 1  # a round reads only what the last one wrote
     return nodes.join(state.select("stage", "depth"), "stage", "left")
 
 

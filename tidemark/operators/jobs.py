@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.transcript import split_text
@@ -145,3 +145,18 @@ def summaries(df: DataFrame, key: str, text: str, model: Callable[[str], str], l
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, summary string, sections int, passes int, converged boolean")
+
+
+def next_jobs(entries: DataFrame, now: Column) -> DataFrame:
+    """(worker, job, deadline, idle): what each worker does next.
+
+    ``entries``: worker, job (null: a worker without jobs), state, period_start, period. A sleeping job is ready once its period has
+    begun; of ready jobs the one with the earliest deadline runs, the end of its period, ties to the smaller job. Without a ready job the
+    worker idles until the first sleeping one's period begins, without a sleeping one for good (null).
+    """
+    sleeping = F.col("state") == "SLEEPING"
+    ready = (F.col("state") == "READY") | (sleeping & (F.col("period_start") < now))
+    end = F.col("period_start") + F.col("period")
+    best = F.min(F.when(ready, F.struct(end.alias("deadline"), F.col("job").alias("job"))))
+    got = entries.groupBy("worker").agg(best.alias("_b"), F.min(F.when(sleeping, F.col("period_start"))).alias("_s"))
+    return got.select("worker", "_b.job", "_b.deadline", F.when(F.col("_b").isNull(), F.col("_s") - now).alias("idle"))

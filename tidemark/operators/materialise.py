@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, schedule, tables
@@ -42,8 +42,9 @@ def admitted(start: Column, end: Column, begin: Column, until: Column) -> Column
     return (end > begin) & (start < until)
 
 
-def by_start(slots: DataFrame, keys: list[str]) -> DataFrame:
-    return slots.orderBy(*keys, "start", "end")
+def by_start(slots: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """``slots`` with place, their number in the order of start, end and ``tie`` among those of their keys."""
+    return slots.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("start", F.asc_nulls_last("end"), tie)))
 
 
 def stale(rooms: DataFrame, cutoff: Column) -> DataFrame:

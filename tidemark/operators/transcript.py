@@ -114,6 +114,10 @@ def awaiting(labels: Column) -> Column:
     return F.coalesce(F.exists(labels, lambda x: x.isNull()), F.lit(True))
 
 
+#: Marks that end a sentence, and what may close after them.
+MARKS, CLOSERS = ".!?", "\"')]"
+
+
 def cut_point(text: str, limit: int) -> int:
     """Where a chunk of at most ``limit`` letters ends: after the last paragraph, else sentence, else word, else hard."""
     head = text[:limit]
@@ -122,9 +126,9 @@ def cut_point(text: str, limit: int) -> int:
         return at + 2
     best = 0
     for k in range(len(head) - 1):
-        if head[k] in ".!?":
+        if head[k] in MARKS:
             e = k + 1
-            while e < len(head) and head[e] in "\"')]":
+            while e < len(head) and head[e] in CLOSERS:
                 e += 1
             if e < len(head) and head[e].isspace():
                 best = e + 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.transcript import CLOSERS, MARKS
+
 #: Duty ratios above which a provider is busy, on a CPU and on anything else or unknown.
 CPU_DUTY, DUTY = 0.7, 0.45
 
@@ -49,16 +51,17 @@ def contrast(a: Column, b: Column) -> Column:
 
 
 def bisected(text: Column) -> Column:
-    """Two trimmed halves, cut in the first half at the last blank line, else after the last sentence, else at the last blank, else in the middle; null under two letters."""
+    """Two trimmed halves, cut where a chunk of half the letters would end (``transcript.cut_point``); null where one of them would be empty."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     half = F.ceil(F.length(t) / 2).cast("int")
     head = F.substring(t, F.lit(1), half)
-    upto = lambda p: F.length(F.regexp_extract(head, p, 1))
-    cuts = [upto(r"(?s)^(.+)\n\s*\n"), upto(r"(?s)^(.*[.!?][\"')\]]*\s)"), upto(r"(?s)^(.+)\s")]
-    cut = F.coalesce(*(F.when(c > 0, c) for c in cuts), half)
+    one_of = lambda letters: "[" + "".join("\\" + c for c in letters) + "]"
+    ends = [r"(?s)^(.+\n\n)", rf"(?s)^(.*{one_of(MARKS)}{one_of(CLOSERS)}*\s)", r"(?s)^(.+\s)"]
+    found = [F.length(F.regexp_extract(head, e, 1)) for e in ends]
+    cut = F.coalesce(*(F.when(c > 0, c) for c in found), half)
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    halves = F.array(trim(F.substring(t, F.lit(1), cut)), trim(F.substring(t, cut + 1, F.length(t))))
-    return F.when(F.length(t) >= 2, halves)
+    first, second = trim(F.substring(t, F.lit(1), cut)), trim(F.substring(t, cut + 1, F.length(t)))
+    return F.when((F.length(t) >= 2) & (first != "") & (second != ""), F.array(first, second))
 
 
 def meter(samples: Column, silence: float) -> Column:

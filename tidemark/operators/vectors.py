@@ -33,18 +33,25 @@ def centroids(df: DataFrame, label: str, vector: str, weight: Column | None = No
     return sums.groupBy(label).agg(F.transform(parts, lambda p: p["m"]).alias("centroid"))
 
 
-def nearest_label(df: DataFrame, centers: DataFrame, uid: str, vector: str, label: str) -> DataFrame:
+#: Centroids that travel to all tasks as one array; more go in so many arrays, each of which meets all vectors.
+LABELS = 4096
+
+
+def nearest_label(df: DataFrame, centers: DataFrame, uid: str, vector: str, label: str, most: int = LABELS) -> DataFrame:
     """Label of the most similar centroid, the smaller one of equals.
 
-    The centroids are one row a label: they travel as one array, behind a check of their number.
+    The centroids are one row a label. They are dealt to arrays of about ``most``; a vector is compared with each array by itself,
+    and with more than one its best of each are compared.
     """
-    most = 4096
-    rows = centers.limit(most + 1)
-    packed = rows.agg(F.count("*").alias("n"), F.collect_list(F.struct(label, "centroid")).alias("c"))
-    j = df.join(F.broadcast(packed.withColumn("c", F.when(F.col("n") <= most, F.col("c")).otherwise(F.raise_error(F.lit("too many labels"))))), how="cross")
-    scored = F.transform("c", lambda c: F.struct(cosine(F.col(vector), c["centroid"]).alias("s"), (-c[label]).alias("o")))
-    best = F.array_max(scored)
-    return j.select(uid, (-best["o"]).alias("nearest"), best["s"].alias("score"))
+    arrays = max(1, -(-centers.count() // most))
+    packed = centers.groupBy(F.pmod(F.xxhash64(label), F.lit(arrays)).alias("_part")).agg(F.collect_list(F.struct(label, "centroid")).alias("c"))
+    best = F.array_max(F.transform("c", lambda c: F.struct(cosine(F.col(vector), c["centroid"]).alias("s"), (-c[label]).alias("o"))))
+    if arrays == 1:
+        j = df.join(F.broadcast(packed), how="cross")  # one row
+        return j.select(uid, (-best["o"]).alias("nearest"), best["s"].alias("score"))
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(arrays - 1)))).join(packed, "_part").select(uid, best.alias("_b"))
+    top = parts.groupBy(uid).agg(F.max("_b").alias("_b"))
+    return top.select(uid, (-F.col("_b.o")).alias("nearest"), F.col("_b.s").alias("score"))
 
 
 def error_rates(scores: DataFrame, threshold: Column) -> DataFrame:

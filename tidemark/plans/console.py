@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import captions, config, lookups, materialise, presence, rolling, tables, values
+from tidemark.operators import captions, config, jobs, lookups, materialise, presence, rolling, tables, values
 from tidemark.plans.lookups import members
 from tidemark.plans.register import Registry, table
 
@@ -59,10 +59,10 @@ def date_steps(spark, sf_dir):
     )
 
 
-@registry.query("SELECT o_custkey, o_orderkey FROM orders")
+@registry.query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def sorted_slots(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("start"), F.col("o_orderdate").alias("end"))
-    return materialise.by_start(o, ["o_custkey"]).select("o_custkey", "o_orderkey")
+    return materialise.by_start(o, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @registry.query("SELECT event_id, round(value * 10 - 200, 6) AS rtt, CASE WHEN value >= 20 THEN round(value * -3, 6) END AS \"offset\", CASE WHEN value >= 20 THEN round(1000 - value * 3, 6) END AS remote FROM events")
@@ -151,19 +151,28 @@ def _transcripts(spark, sf_dir):
     )
 
 
-@registry.query("SELECT s_nationkey AS job, count(*) AS n FROM supplier WHERE s_suppkey % 4 > 0 AND (s_acctbal <= 0 OR s_acctbal + 500 <= 5000) GROUP BY 1")
+@registry.query("SELECT s_suppkey AS job, CASE WHEN s_acctbal > 0 THEN s_acctbal + 500 ELSE 5000.0 END + 500 AS deadline FROM supplier WHERE s_suppkey % 4 > 0 AND (s_acctbal <= 0 OR s_acctbal + 500 <= 5000)")
 def ready_jobs(spark, sf_dir):
-    j = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("job"), (F.col("s_suppkey") % 4).alias("queued"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("last_run"), F.lit(500.0).alias("period"))
-    return captions.ready_jobs(j, F.lit(5000.0)).groupBy("job").agg(F.count("*").alias("n"))
+    j = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("job"), (F.col("s_suppkey") % 4).alias("queued"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("last_run"), F.lit(500.0).alias("period"))
+    return captions.ready_jobs(j, F.lit(5000.0)).select("job", "deadline")
 
 
-@registry.query("SELECT c_custkey AS room, count(*) AS uids, 1::BIGINT AS forms FROM customer GROUP BY 1")
+_UUID = "substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-8' || substr(d, 14, 3) || '-a' || substr(d, 18, 3) || '-' || substr(d, 21, 12)"
+
+
+@registry.query(f"SELECT {_UUID} AS uid, room, name, TIMESTAMP '2024-01-01' AS created_at FROM (SELECT c_custkey AS room, c_name AS name, sha256(concat_ws(chr(31), 'room', c_custkey, c_name)) AS d FROM customer)")
 def inserted_rows(spark, sf_dir):
-    """Rooms as new rows: a key each, all of one form; the keys themselves are digests."""
+    """Rooms as new rows: the key of each is a digest of its content, so an insert that runs again gives the same rows."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("room"), F.col("c_name").alias("name"))
-    out = tables.inserted(rows, "uid", "room", {"created_at": F.lit("2024-01-01").cast("timestamp_ntz")})
-    good = F.col("uid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}$")
-    return out.groupBy("room").agg(F.count_distinct("uid").alias("uids"), F.count_if(good).alias("forms"))
+    return tables.inserted(rows, "uid", "room", {"created_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+
+
+@registry.query(f"SELECT {_UUID} AS uid, order_key, window_start, NULL::VARCHAR AS canceled_by FROM (SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y-%m-%d') AS window_start, sha256(concat_ws(chr(31), 'session', o_orderkey, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, chr(0)))) AS d, o_orderkey % 5 > 0 AS known FROM orders) WHERE known UNION ALL SELECT {_UUID}, order_key, NULL, NULL FROM (SELECT o_orderkey AS order_key, sha256(concat_ws(chr(31), 'session', o_orderkey, chr(0))) AS d FROM orders WHERE o_orderkey % 5 = 0)")
+def inserted_sessions(spark, sf_dir):
+    """Sessions as new rows, some without a start; a null is content of its own."""
+    start = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), start.alias("window_start"))
+    return tables.inserted(rows, "uid", "session", {"canceled_by": F.lit(None).cast("string")})
 
 
 @registry.query("""SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS params_summary FROM nation""")
@@ -183,13 +192,26 @@ def finalized_rooms(spark, sf_dir):
     return tables.bumped(rooms, keys, "uid", "version", "touched", F.lit(1))
 
 
-@registry.query(r"SELECT conv_id, turn, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 1 AS halved FROM conversations WHERE text IS NOT NULL")
+@registry.query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE text IS NOT NULL),
+    h AS (SELECT *, ceil(length(t) / 2)::INT AS half, substr(t, 1, ceil(length(t) / 2)::INT) AS head FROM t),
+    c AS (SELECT *, coalesce(nullif(length(regexp_extract(head, '(?s)^(.+\n\n)', 1)), 0), nullif(length(regexp_extract(head, '(?s)^(.*[.!?]["'')\]]*\s)', 1)), 0), nullif(length(regexp_extract(head, '(?s)^(.+\s)', 1)), 0), half) AS cut FROM h),
+    b AS (SELECT conv_id, turn, length(t) AS n, regexp_replace(substr(t, 1, cut), '^\s+|\s+$', '', 'g') AS a, regexp_replace(substr(t, cut + 1), '^\s+|\s+$', '', 'g') AS b FROM c)
+    SELECT conv_id, turn, CASE WHEN n >= 2 AND a <> '' AND b <> '' THEN a END AS first, CASE WHEN n >= 2 AND a <> '' AND b <> '' THEN b END AS second FROM b""")
 def halved_texts(spark, sf_dir):
-    """Both halves give the text back, and where there are two of them."""
-    c = table(spark, sf_dir, "conversations").where("text is not null").withColumn("h", values.bisected(F.col("text")))
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    whole = (bare(F.concat(F.col("h")[0], F.col("h")[1])) == bare(F.col("text"))) & (F.col("h")[0] != "") & (F.col("h")[1] != "")
-    return c.select("conv_id", "turn", F.coalesce(whole, F.lit(False)).alias("halved"))
+    """Both halves of each text, null where it cannot be cut."""
+    h = values.bisected(F.col("text"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", h[0].alias("first"), h[1].alias("second"))
+
+
+@registry.query("""WITH e AS (SELECT s_nationkey AS worker, s_suppkey AS job, CASE s_suppkey % 3 WHEN 0 THEN 'READY' WHEN 1 THEN 'SLEEPING' ELSE 'RUNNING' END AS state, s_acctbal AS t, 100.0 * (1 + s_suppkey % 7) AS period FROM supplier),
+    r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY t + period, job) AS k FROM e WHERE state = 'READY' AND t > 9000 OR state = 'SLEEPING' AND t < -500 OR state = 'READY' AND worker % 2 = 0)
+    SELECT w.worker, r.job, r.t + r.period AS deadline, CASE WHEN r.job IS NULL THEN (SELECT min(t) FROM e WHERE e.worker = w.worker AND state = 'SLEEPING') + 500 END AS idle FROM (SELECT DISTINCT worker FROM e) w LEFT JOIN r ON r.worker = w.worker AND k = 1""")
+def next_jobs(spark, sf_dir):
+    """The job that each worker runs next, or how long it idles."""
+    start, worker = F.col("s_acctbal"), F.col("s_nationkey")
+    state = F.when(F.col("s_suppkey") % 3 == 0, F.when((start > 9000) | (worker % 2 == 0), "READY").otherwise("RUNNING")).when(F.col("s_suppkey") % 3 == 1, "SLEEPING").otherwise("RUNNING")
+    e = table(spark, sf_dir, "supplier").select(worker.alias("worker"), F.col("s_suppkey").alias("job"), state.alias("state"), start.alias("period_start"), (100.0 * (1 + F.col("s_suppkey") % 7)).alias("period"))
+    return jobs.next_jobs(e, F.lit(-500.0))
 
 
 @registry.query("SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS peak, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) <= 0.125 AS silent FROM embeddings")
