@@ -9,28 +9,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def rttm_turns(lines: DataFrame, line: str = "value") -> DataFrame:
+    """file, start, end, label of SPEAKER lines; other lines are left out, and what a line lacks is null."""
+    p = lambda k: F.get(F.split(F.trim(line), r"\s+"), F.lit(k))
+    start, dur = p(3).try_cast("double"), p(4).try_cast("double")
+    return lines.where(F.col(line).startswith("SPEAKER")).select(p(1).alias("file"), start.alias("start"), (start + dur).alias("end"), p(7).alias("label"))
+
+
+def rttm_lines(turns: DataFrame) -> DataFrame:
+    line = F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", "file", "start", F.col("end") - F.col("start"), "label")
+    return turns.select(line.alias("value"))
+
+
+def uem_regions(lines: DataFrame, line: str = "value") -> DataFrame:
+    """file, start, end of scored regions; blank lines are left out, and what a line lacks is null."""
+    p = lambda k: F.get(F.split(F.trim(line), r"\s+"), F.lit(k))
+    return lines.where(F.trim(line) != "").select(p(0).alias("file"), p(2).try_cast("double").alias("start"), p(3).try_cast("double").alias("end"))
+
+
+def uem_lines(regions: DataFrame) -> DataFrame:
+    return regions.select(F.format_string("%s 1 %.3f %.3f", "file", "start", "end").alias("value"))
+
+
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, end, label of SPEAKER lines."""
-    p = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.col("value").startswith("SPEAKER")).select(p.alias("p"))
-    start, dur = F.col("p")[3].cast("double"), F.col("p")[4].cast("double")
-    return rows.select(F.col("p")[1].alias("file"), start.alias("start"), (start + dur).alias("end"), F.col("p")[7].alias("label"))
+    return rttm_turns(spark.read.text(path))
 
 
 def write_rttm(turns: DataFrame, path: str) -> None:
-    line = F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", "file", "start", F.col("end") - F.col("start"), "label")
-    turns.select(line.alias("value")).write.text(path)
+    rttm_lines(turns).write.text(path)
 
 
 def read_uem(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, end of scored regions."""
-    p = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p"))
-    return rows.select(F.col("p")[0].alias("file"), F.col("p")[2].cast("double").alias("start"), F.col("p")[3].cast("double").alias("end"))
+    return uem_regions(spark.read.text(path))
 
 
 def write_uem(regions: DataFrame, path: str) -> None:
-    regions.select(F.format_string("%s 1 %.3f %.3f", "file", "start", "end").alias("value")).write.text(path)
+    uem_lines(regions).write.text(path)
 
 
 def logged_times(spark: SparkSession, path: str, pattern: str) -> DataFrame:
