@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import transcript
+from tidemark.operators import captions, transcript
 from tidemark.plans.register import Registry, table
 
 registry = Registry()
@@ -104,3 +105,28 @@ def verdict_fractions(spark, sf_dir):
 
     every = Window.partitionBy(F.lit(1))  # three rows
     return n.withColumn("fraction", F.round(F.col("n") / F.sum("n").over(every), 6))
+
+
+def spoken_drafts(spark, sf_dir):
+    """Conversations as growing drafts: at each turn all words so far, half a second each."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    word = c.select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "word"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i"))
+    word = word.withColumn("p", place.cast("double"))
+    turns = c.select("conv_id", F.col("turn").alias("seq"))
+    so_far = turns.join(word, "conv_id").where("turn <= seq").groupBy("conv_id", "seq")
+    text = F.struct(F.col("p"), F.concat(F.lit(" "), F.col("word")).alias("text"), F.col("p").alias("start"), (F.col("p") + 0.5).alias("end"))
+    words = F.transform(F.sort_array(F.collect_list(text)), lambda w: F.struct(w["text"], w["start"], w["end"]))
+    return so_far.agg(words.alias("words")).select(F.col("conv_id").alias("session"), F.col("seq").cast("long").alias("seq"), "words", F.lit(None).cast("double").alias("full_until"))
+
+
+@registry.query(r"""WITH w AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS p FROM (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS l FROM conversations WHERE text IS NOT NULL))),
+    n AS (SELECT conv_id, turn, max(p) AS upto FROM w GROUP BY ALL),
+    a AS (SELECT *, lag(upto, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS agreed FROM n),
+    f AS (SELECT a.conv_id, a.turn, a.upto, a.agreed, coalesce(max(p) FILTER (regexp_matches(w, '[.?!]$') AND NOT w LIKE '%...'), 0) AS done FROM a LEFT JOIN w ON w.conv_id = a.conv_id AND p <= a.agreed GROUP BY ALL),
+    g AS (SELECT *, lag(done, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM f)
+    SELECT g.conv_id AS session, g.turn::BIGINT AS seq, string_agg(' ' || w, '' ORDER BY p) FILTER (p > before AND p <= done) AS final, max(p + 0.5) FILTER (p > before AND p <= done)::DOUBLE AS final_end,
+      string_agg(' ' || w, '' ORDER BY p) FILTER (p > done) AS in_progress, false AS forced FROM g JOIN w ON w.conv_id = g.conv_id AND p <= g.upto GROUP BY ALL""")
+def caption_steps(spark, sf_dir):
+    """What clients are told as a conversation grows: sentences that two drafts agree on are final."""
+    return captions.caption_steps(spoken_drafts(spark, sf_dir))
