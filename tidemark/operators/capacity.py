@@ -35,6 +35,10 @@ class Limits:
     part: float = 3600.0
 
 
+#: What orders executions of a job that complete at one instant.
+TIES = ("start", "seconds", "dropped")
+
+
 def retained(executions: DataFrame, limits: Limits) -> DataFrame:
     """Executions that count: not the first ``warm_up`` of a job, nor of one that comes back after the worker has moved on by a window without it."""
     part = max(limits.part, limits.window)
@@ -42,13 +46,13 @@ def retained(executions: DataFrame, limits: Limits) -> DataFrame:
     newest = rows.groupBy("worker", "_part").agg(F.max("complete").alias("_last"))
     earlier = F.max("_last").over(Window.partitionBy("worker").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.join(newest.select("worker", "_part", earlier.alias("_earlier")), ["worker", "_part"])
-    before = F.coalesce(F.lag("complete").over(Window.partitionBy("worker", "_part").orderBy("complete", "job")), "_earlier")
+    before = F.coalesce(F.lag("complete").over(Window.partitionBy("worker", "_part").orderBy("complete", "job", *TIES)), "_earlier")
     rows = rows.withColumn("_before", before)
-    job = Window.partitionBy("worker", "job").orderBy("complete")
+    job = Window.partitionBy("worker", "job").orderBy("complete", *TIES)
     last = F.lag("complete").over(job)
     begins = F.when(last.isNull() | (F.col("_before") - limits.window > last), 1).otherwise(0)
     rows = rows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(job))
-    nth = F.row_number().over(Window.partitionBy("worker", "job", "_run").orderBy("complete"))
+    nth = F.row_number().over(Window.partitionBy("worker", "job", "_run").orderBy("complete", *TIES))
     return rows.withColumn("_nth", nth).where(F.col("_nth") > limits.warm_up).drop("_earlier", "_before", "_begins", "_run", "_nth")
 
 
@@ -99,7 +103,7 @@ class Sliding:
         """(job, complete, busy, drop_share, clean, cost, ceiling, capacity) of the executions of one instant that count."""
         r, now = self.limits, instant[0][2]
         added = []
-        for e in sorted(instant):
+        for e in sorted(instant, key=lambda e: (e[0], e[1], e[3], e[4])):
             self.jobs = {j: v for j, v in self.jobs.items() if v[1] >= self.newest - r.window}
             n = self.jobs.get(e[0], (0, 0.0))[0] + 1
             self.jobs[e[0]] = (n, now)
