@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import merged, overlap_join, shared_seconds, stepped
+from tidemark.operators.presence import cut
 
 
 def best_mapping(overlap: dict[tuple[str, str], float]) -> dict[str, str]:
@@ -66,13 +67,13 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: list[st
     another label share goes to the assignment, a row for each pair of labels.
     """
     reference, hypothesis = (merged(df.where("end > start").select(*keys, "start", "end", "label"), [*keys, "label"]) for df in (reference, hypothesis))
-    counted = scored_regions(reference, hypothesis, keys, regions, collar, width)
+    counted = cut(scored_regions(reference, hypothesis, keys, regions, collar, width))
 
     def inside(side: DataFrame) -> DataFrame:
         pairs = overlap_join(side, counted, keys, width, float("inf"))
         return pairs.select(*keys, F.col("l_label").alias("label"), F.greatest("l_start", "r_start").alias("start"), F.least("l_end", "r_end").alias("end"))
 
-    refs, hyps = inside(reference), inside(hypothesis)
+    refs, hyps = cut(inside(reference)), cut(inside(hypothesis))  # each is read several times below
     mark = lambda df, at, ref, hyp: df.select(*keys, F.col(at).alias("at"), F.lit(ref).alias("refs"), F.lit(hyp).alias("hyps"))
     ticks = mark(refs, "start", 1, 0)
     for df, at, d in ((refs, "end", (-1, 0)), (hyps, "start", (0, 1)), (hyps, "end", (0, -1))):
