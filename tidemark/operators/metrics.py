@@ -12,6 +12,11 @@ RING = 4096
 QUANTILES = (0.5, 0.95, 0.99)
 
 
+def nearest_second(ts: Column) -> Column:
+    """The whole second nearest to an instant, halves to the even one."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 def counter_increments(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, process: str) -> DataFrame:
     """``increment`` of a cumulative counter: 0 at a series' first poll, the whole value after a
     change of process or a decrease, else the difference."""

@@ -123,6 +123,6 @@ def drift(words: DataFrame, bin_seconds: float, least: int = 5) -> DataFrame:
     """Per bin and reference: the commonest label of ``least`` words or more, and whether it differs from the bin before."""
     cell = F.floor(F.col("at") / bin_seconds).cast("long")
     n = words.groupBy("reference", cell.alias("bin"), "label").agg(F.count("*").alias("n"))
-    top = n.groupBy("reference", "bin").agg(F.max_by("label", F.struct("n", "label")).alias("label"), F.sum("n").alias("words")).where(F.col("words") >= least)
+    top = n.groupBy("reference", "bin").agg(F.max_by("label", F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("label"), F.sum("n").alias("words")).where(F.col("words") >= least)
     before = F.lag("label").over(Window.partitionBy("reference").orderBy("bin"))
     return top.withColumn("swapped", F.coalesce(before != F.col("label"), F.lit(False)))
