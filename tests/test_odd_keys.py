@@ -32,3 +32,9 @@ def test_label_drift_rounds_to_the_nearest_second(spark, tmp_path):
     events_at_borders(spark, tmp_path)
     got, want = both(spark, tmp_path, "label_drift", "events")
     assert got == want and len(got) > 5
+
+
+def test_latency_bins_round_to_the_nearest_second(spark, tmp_path):
+    events_at_borders(spark, tmp_path)
+    got, want = both(spark, tmp_path, "latency_bins", "events")
+    assert got == want and len(got) > 30

@@ -45,11 +45,14 @@ def ring(df: DataFrame, series: Sequence[str], order: Sequence[Column], n: int =
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """count, sum, mean, least, greatest and nearest-rank quantiles: the value at place ceil(q * n)."""
+def summary(df: DataFrame, keys: Sequence[str], value: str, every: bool = False) -> DataFrame:
+    """count, sum, mean, least, greatest and nearest-rank quantiles: the value at place ceil(q * n).
+
+    Rows without a value are counted only if ``every`` is set; they take no part in the rest.
+    """
     q = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(q * 100)}") for q in QUANTILES]
     return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"),
+        F.count("*" if every else value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"),
         F.max(value).alias("greatest"), *q,
     )
 
