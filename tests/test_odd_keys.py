@@ -6,6 +6,9 @@ import datetime as dt
 
 import duckdb
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import config
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -38,3 +41,17 @@ def test_latency_bins_round_to_the_nearest_second(spark, tmp_path):
     events_at_borders(spark, tmp_path)
     got, want = both(spark, tmp_path, "latency_bins", "events")
     assert got == want and len(got) > 30
+
+
+def test_unroutable_hosts_for_every_first_part(spark, tmp_path):
+    spark.range(600).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got, want = both(spark, tmp_path, "unroutable_hosts", "supplier")
+    assert got == want and len(got) == 600
+
+
+def test_ranges_that_the_second_part_decides(spark):
+    """The operator keeps the private, link-local and shared ranges that the query's addresses stay out of."""
+    hosts = [(f"{a}.{b}.3.4",) for a in (100, 169, 172, 192) for b in range(256)]
+    got = {r["host"] for r in spark.createDataFrame(hosts, "host string").where(config.unroutable(F.col("host"))).collect()}
+    ranges = {100: range(64, 128), 169: [254], 172: range(16, 32), 192: [168]}
+    assert got == {f"{a}.{b}.3.4" for a, inside in ranges.items() for b in inside}
