@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8.
 
+    SimHash fingerprints meet on deletion variants; pairs too far apart for these meet on rare shingles; shingles decide.
     The smallest doc_id stays, null ids last; null and blank texts are one group; of equal rows one stays.
     """
     return simhash.keep_one(docs)

@@ -88,3 +88,35 @@ def test_similar_sets_against_all_pairs(seed):
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if full[a] and full[b] and alike(full[a], full[b])]
     assert all(alike(full[a], full[b]) for a, b in zip(i, j, strict=True))
     assert components(len(sets), list(zip(i.tolist(), j.tolist(), strict=True))) == components(len(sets), pairs)
+
+
+def test_deletion_variants_find_all_pairs_within_their_bits(spark):
+    rng = np.random.default_rng(2)
+    prints = []
+    for k in range(150):
+        bits = rng.integers(0, 2, 128)
+        prints.append(bits)
+        prints.append(np.where(np.isin(np.arange(128), rng.choice(128, 12 + k % 7, replace=False)), 1 - bits, bits))
+    f = np.packbits(np.array(prints, np.uint8), axis=1, bitorder="little").view(np.int64)
+    nodes = spark.createDataFrame([(k, *map(int, x)) for k, x in enumerate(f)], "node long, _f0 long, _f1 long")
+    edges = [(r["a"], r["b"]) for r in simhash.fingerprint_links(nodes, 2, 15, 8).collect()]
+    far = (np.array(prints)[:, None] != np.array(prints)[None]).sum(2)
+    close = [(a, b) for a in range(300) for b in range(a) if far[a, b] <= 15]
+    assert len(close) > 50 and components(300, edges) == components(300, close)
+
+
+def test_deletion_variants_carry_the_stage(spark, monkeypatch):
+    """Near copies go by their fingerprints alone; rare shingles are asked only for what is farther apart."""
+    rng = random.Random(9)
+    rows, asked = [], []
+    for k in range(40):
+        text = words(rng, 200, 10**6)
+        rows += [(2 * k, text), (2 * k + 1, replaced_tail(rng, text, 1))]
+
+    def none(classes, lanes, max_bits, beyond):
+        asked.append(beyond)
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(simhash, "prefix_links", none)
+    assert kept(spark, rows) == brute_kept(rows) == list(range(0, 80, 2))
+    assert asked == [15]

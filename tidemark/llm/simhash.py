@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, columns_of, restored, scratch, shielded, text_slices, written
+from tidemark.llm.common import arrow_map, columns_of, restored, scratch, shielded, text_slices, tidy_shuffles, written
 from tidemark.llm.components import connected_components, local_labels
 
 #: Members of a bucket that one task compares with each other; larger buckets are cut into blocks of this.
@@ -117,16 +117,16 @@ def _variants(nodes: DataFrame, lanes: int, count: int) -> DataFrame:
     return nodes.select("node", *(f"_f{k}" for k in range(lanes)), F.explode(F.array(*keys)).alias("key"))
 
 
-def _may_be_close(far: np.ndarray, max_bits: int, a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray:
-    """Which pairs ``far`` bits apart are linked; with set sizes a and b, those that can be 0.8 alike."""
+def _may_be_close(far: np.ndarray, max_bits: int, a: np.ndarray | None, b: np.ndarray | None, beyond: int) -> np.ndarray:
+    """Which pairs ``far`` bits apart are linked; with set sizes a and b, those over ``beyond`` that can be 0.8 alike."""
     near = far <= max_bits
     if a is None:
         return near
     less, more = np.minimum(a, b), np.maximum(a, b)
-    return (near | (less < FEW)) & (5 * less >= 4 * more)
+    return (near | (less < FEW)) & (far > beyond) & (5 * less >= 4 * more)
 
 
-def forest(lanes: np.ndarray, max_bits: int, rows: int = 128, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(lanes: np.ndarray, max_bits: int, rows: int = 128, size: np.ndarray | None = None, beyond: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest, as index pairs, of the links among fingerprints given as (n, lanes) uint64."""
     n, i, j, held = len(lanes), [], [], 0
     for at in range(0, n, rows):
@@ -135,7 +135,7 @@ def forest(lanes: np.ndarray, max_bits: int, rows: int = 128, size: np.ndarray |
         for k in range(lanes.shape[1]):
             far += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
         sizes = (None, None) if size is None else (size[at : at + rows, None], size[None, at:])
-        a, b = np.nonzero(_may_be_close(far, max_bits, *sizes))
+        a, b = np.nonzero(_may_be_close(far, max_bits, *sizes, beyond))
         up = a < b
         i.append(a[up] + at)
         j.append(b[up] + at)
@@ -149,8 +149,8 @@ def forest(lanes: np.ndarray, max_bits: int, rows: int = 128, size: np.ndarray |
     return on, lab[on]
 
 
-def _bucket_links(lanes: int, max_bits: int, sized: bool = False):
-    """Over rows sorted by bucket: forest edges (a, b) of each bucket; ``sized`` rows have a column size."""
+def _bucket_links(lanes: int, max_bits: int, sized: bool = False, beyond: int = -1):
+    """Over rows sorted by bucket: forest edges (a, b) of each bucket; ``sized`` rows have a column size, and count if over ``beyond`` bits apart."""
 
     def links(node: np.ndarray, f: np.ndarray, n: np.ndarray | None, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -164,11 +164,11 @@ def _bucket_links(lanes: int, max_bits: int, sized: bool = False):
                 break
             far = np.bitwise_count(f[at] ^ f[at + step]).sum(1)
             sizes = (None, None) if n is None else (n[at], n[at + step])
-            hit = at[_may_be_close(far, max_bits, *sizes)]
+            hit = at[_may_be_close(far, max_bits, *sizes, beyond)]
             a.append(node[hit])
             b.append(node[hit + step])
         for s, e in zip(starts[~small], ends[~small], strict=True):
-            i, j = forest(f[s:e], max_bits, size=None if n is None else n[s:e])
+            i, j = forest(f[s:e], max_bits, size=None if n is None else n[s:e], beyond=beyond)
             a.append(node[s:e][i])
             b.append(node[s:e][j])
         return np.concatenate(a), np.concatenate(b)
@@ -214,7 +214,7 @@ def _bucket_links(lanes: int, max_bits: int, sized: bool = False):
 def fingerprint_links(nodes: DataFrame, lanes: int, max_bits: int, count: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links at ``max_bits`` or fewer differing bits.
 
-    ``nodes`` has a long ``node`` and the fingerprint in ``_f0``..., one row a distinct fingerprint.
+    ``nodes`` has a long ``node``, one row each, and the fingerprint in ``_f0``...
     With ``2 * count > max_bits`` no link can be missed.
     """
     names = [f"_f{k}" for k in range(lanes)]
@@ -424,24 +424,28 @@ def set_prints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
     return arrow_map(docs, run, schema + ", ".join(f"{n} long" for n in names))
 
 
-def prefix_links(classes: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+def prefix_links(classes: DataFrame, lanes: int, max_bits: int, beyond: int) -> DataFrame:
     """Edges (a, b) that connect all pairs of ``classes`` with a shingle of their prefixes in common, sizes that allow a
-    similarity of 0.8, and fingerprints at most ``max_bits`` apart or fewer than FEW shingles."""
+    similarity of 0.8, and fingerprints more than ``beyond`` and at most ``max_bits`` apart, or fewer than FEW shingles
+    and more than ``beyond``."""
     columns = ["node", "size", *(f"_f{k}" for k in range(lanes))]
     keyed = lambda df: df.select(*columns, F.explode("prefix").alias("key"))
     part = classes.where(F.pmod(F.xxhash64("node"), F.lit(PLAN_SHARE)) == 0)
     dealt = _dealt(keyed(part), keyed(classes), columns)
-    return arrow_map(dealt, _bucket_links(lanes, max_bits, True), "a long, b long")
+    return arrow_map(dealt, _bucket_links(lanes, max_bits, True, beyond), "a long, b long")
 
 
-def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, near: int = 15, count: int = 8, max_bits: int = 42) -> DataFrame:
     """``docs`` with one row left of each near-duplicate group, every column kept.
 
     A group is what pairs with a Jaccard similarity of 0.8 or more between their sets of five-word
-    shingles connect. Such a pair shares one of the rarest fifth of its shingles, which are the
-    buckets; fingerprints 43 or more of 128 bits apart rule a pair out (at 0.8 they are 19.4 apart,
-    with a deviation of 4.1), and the shingles themselves decide. The row with the smallest doc_id
-    stays (null ids last, then the smallest text hash); of equal rows one stays.
+    shingles connect. Deletion variants of the fingerprints' ``count`` segments find every pair at most
+    ``near`` bits apart (``2 * count > near``). Similar pairs can be farther apart (at 0.8 they are 19.4
+    of 128 bits apart, with a deviation of 4.1), and segments that lose none of those would select
+    nothing. Such a pair shares one of the rarest fifth of its shingles: buckets of these find what is
+    over ``near`` bits apart; ``max_bits`` + 1 or more rule a pair out. The shingles themselves decide on
+    both. The row with the smallest doc_id stays (null ids last, then the smallest text hash); of equal
+    rows one stays.
     """
     names = [f"_f{k}" for k in range(lanes)]
     key = F.xxhash64("text")
@@ -451,7 +455,9 @@ def keep_one(docs: DataFrame, width: int = 5, lanes: int = 2, max_bits: int = 42
         best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("best")
         same = [F.first(c).alias(c) for c in ("size", "prefix", *names)]
         classes = written(prints.groupBy("node").agg(best, *same), "classes")
-        found = prefix_links(classes, lanes, max_bits)
+        with tidy_shuffles(docs.sparkSession):
+            close = written(fingerprint_links(classes, lanes, near, count), "close")
+        found = close.unionByName(prefix_links(classes, lanes, max_bits, near))
         roots = connected_components(verified_edges(docs, classes, found, width))
         groups = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
         kept = groups.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best._h")
