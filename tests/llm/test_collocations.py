@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import DOCS, corpus
@@ -81,3 +82,31 @@ def test_counts_beyond_64_bits_are_exact(spark):
     if 100 * over < 80 * (a - 3):
         want["a b"] = 2_000_000 * (a - 3) // (2 * 9 * 10**18 + 1)
     assert got == want
+
+
+def test_pairs_are_shuffled_packed(spark, monkeypatch):
+    """Each pair is in one part, several times if a task sends often, and takes a few bytes."""
+    rng = np.random.default_rng(4)
+    blocks, want = [], {}
+    for b in range(12):
+        ids = np.unique(rng.integers(0, 3000, 900)) + (1 << 33)
+        key = rng.integers(0, len(ids), 20_000)
+        blocks.append((b, collocations._postings(np.arange(20_000), key, ids)[0]))
+        for x, y in zip(ids[key[:-1]].tolist(), ids[key[1:]].tolist(), strict=True):
+            want[x, y] = want.get((x, y), 0) + 1
+    lists = spark.createDataFrame(blocks, collocations.LISTS).coalesce(2)
+    sizes = {}
+    for held in (1 << 22, 50_000):
+        monkeypatch.setattr(collocations, "HELD", held)
+        rows = collocations.pair_counts(lists, 5).collect()
+        got, parts = {}, {}
+        for r in rows:
+            first, second, n = collocations._arrays(bytes(r["pairs"]))
+            for pair, k in zip(zip(np.cumsum(first).tolist(), np.cumsum(second).tolist(), strict=True), n.tolist(), strict=True):
+                got[pair] = got.get(pair, 0) + k
+                parts.setdefault(pair, set()).add(r["part"])
+        assert got == want and {len(p) for p in parts.values()} == {1}
+        sizes[held] = sum(len(r["pairs"]) for r in rows)
+    assert sizes[1 << 22] < 6 * 2 * len(want)
+    frequent = {(r["first"], r["second"]): r["f"] for r in collocations.frequent_pairs(lists, 3).collect()}
+    assert frequent == {p: k for p, k in want.items() if k >= 3}

@@ -7,7 +7,7 @@ place on, and since every part of a frequent phrase is frequent, what stands in
 phrase that ends with the adjacent word. So a phrase of k words is known by the numbers of the two
 frequent phrases of k - 1 words that it holds, exactly and without any hash.
 
-Only words or numbers with their counts are shuffled by phrase; the lists stay with their block, to
+Only words or numbers with their counts are shuffled by phrase, numbers packed by part; the lists stay with their block, to
 which the numbers of its frequent phrases are joined, and only the lists of frequent phrases are kept.
 A phrase that every text has is one row a block, and texts of one language are as many blocks as they
 fill. Before a block asks for numbers, a filter of the frequent phrases, as long as that is small,
@@ -40,6 +40,8 @@ _KIND = letters(BLANKS + STOPS)
 _STOP = ~letters(STOPS)
 #: Frequent phrases of one length up to which a filter of them is sent to all tasks: 16 bytes each on the driver, 2 to 4 in a task.
 FILTERED = 1 << 22
+#: Pairs that a task holds before it sends them on, and blocks whose pairs, as many as they are, make a part of all pairs.
+HELD, PART_BLOCKS = 1 << 22, 16
 #: Parts of a language in which its best phrases are looked for first.
 SALTS = 64
 
@@ -162,16 +164,76 @@ def first_lists(blocks: DataFrame) -> DataFrame:
     return arrow_map(blocks, run, LISTS)
 
 
-def pair_counts(lists: DataFrame) -> DataFrame:
-    """(first, second, n) for each phrase of a block that is a word longer than the block's."""
+def _summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, in order, with the sums of their counts."""
+    order = np.lexsort((second, first))
+    first, second, n = first[order], second[order], n[order]
+    at = np.nonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))[0]
+    return first[at], second[at], np.add.reduceat(n, at)
+
+
+def _part_of(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a pair: neighbours keep together, as their steps are short, but the pairs of one common word do not."""
+    with np.errstate(over="ignore"):
+        z = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (second >> 8).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((z >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def pair_counts(lists: DataFrame, parts: int) -> DataFrame:
+    """(part, pairs): first, second and count of each phrase that is a word longer than a block's, packed by part, each pair in one part."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        first, second, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        part = _part_of(first, second, parts)
+        order = np.argsort(part, kind="stable")
+        names, starts = np.unique(part[order], return_index=True)
+        step = lambda x: np.diff(x, prepend=0)
+        bodies = [_squeezed(step(first[at]), step(second[at]), n[at]) for at in np.split(order, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for row in _rows(batches):
             ids, _, key = _extended(row)
             pairs, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[pairs // len(ids)], ids[pairs % len(ids)], n)], names=["first", "second", "n"])
+            if len(pairs):
+                held.append((ids[pairs // len(ids)], ids[pairs % len(ids)], n))
+                size += len(pairs)
+            if size > HELD:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return arrow_map(lists, run, "part int, pairs binary")
+
+
+def frequent_pairs(lists: DataFrame, least: int) -> DataFrame:
+    """(first, second, f) of the phrases a word longer than those of ``lists`` that occur ``least`` times or more."""
+    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count() // PART_BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def told() -> pa.RecordBatch:
+            first, second, n = ([np.cumsum(x[0]) for x in held], [np.cumsum(x[1]) for x in held], [x[2] for x in held])
+            first, second, f = _summed(*map(np.concatenate, (first, second, n)))
+            on = f >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (first, second, f)], names=["first", "second", "f"])
+
+        for row in _rows(batches):
+            part = row["part"][0].as_py()
+            if part != now and held:
+                yield told()
+                held = []
+            now = part
+            held.append(_arrays(row["pairs"][0].as_py()))
+        if held:
+            yield told()
 
-    return arrow_map(lists, run, "first long, second long, n long")
+    dealt = pair_counts(lists, parts).repartition(parts, "part").sortWithinPartitions("part")
+    return arrow_map(dealt, run, "first long, second long, f long")
 
 
 def _spots(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -199,7 +261,7 @@ def pair_filter(frequent: DataFrame, most: int = FILTERED) -> np.ndarray | None:
 
 
 def asked_pairs(lists: DataFrame, allowed: np.ndarray | None) -> DataFrame:
-    """(block, first, second) of the phrases that ``pair_counts`` counts and the filter does not rule out."""
+    """(block, first, second) of the phrases that ``pair_counts`` packs and the filter does not rule out."""
     on = None if allowed is None else lists.sparkSession.sparkContext.broadcast(allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +298,8 @@ def longer_lists(lists: DataFrame) -> DataFrame:
     return arrow_map(lists, run, LISTS)
 
 
-def _frequent(counts: DataFrame, key: list[str], least: int, tag: str) -> DataFrame:
-    """Phrases with ``least`` occurrences or more (key, f), numbered."""
-    sums = counts.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(sums.withColumn("id", F.monotonically_increasing_id()), tag)
+def _numbered(frequent: DataFrame, tag: str) -> DataFrame:
+    return written(frequent.withColumn("id", F.monotonically_increasing_id()), tag)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -251,7 +311,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     blocks = written(word_lists(docs, block_bytes), "lists0", "zstd")
     total = written(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    frequent = _frequent(each, ["lang", "word"], least, "phrases1")
+    frequent = _numbered(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases1")
     found = written(each.join(frequent, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "found1", "zstd")
     lists = written(first_lists(blocks.select("block", "lists").join(found, "block")), "lists1")
     for used in (blocks, found):
@@ -260,7 +320,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     none = F.lit(None).cast("long")
     levels = [frequent.select("id", "lang", F.array("word").alias("words"), "f", none.alias("first"), none.alias("second"), one.alias("pre"), one.alias("suf"))]
     for k in range(2, longest + 1):
-        frequent = _frequent(pair_counts(lists), ["first", "second"], least, f"phrases{k}")
+        frequent = _numbered(frequent_pairs(lists, least), f"phrases{k}")
         a = levels[-1].select(F.col("id").alias("first"), "lang", F.col("words").alias("_a"), "pre")
         b = levels[-1].select(F.col("id").alias("second"), F.element_at("words", -1).alias("_b"), "suf")
         grown = frequent.join(a, "first").join(b, "second")
