@@ -110,3 +110,54 @@ def test_pairs_are_shuffled_packed(spark, monkeypatch):
     assert sizes[1 << 22] < 6 * 2 * len(want)
     frequent = {(r["first"], r["second"]): r["f"] for r in collocations.frequent_pairs(lists, 3).collect()}
     assert frequent == {p: k for p, k in want.items() if k >= 3}
+
+
+def test_a_language_fills_its_blocks(spark):
+    """Rows whose languages alternate take as many blocks as their text fills, not one a language and slice."""
+    rows = [(k, ["en", "de", "fr", None][k % 4], f"word{k % 7} and some more of it") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    blocks = collocations.word_lists(docs, 1000).collect()
+    assert len(blocks) == 4 * 3 and len({b["block"] for b in blocks}) == len(blocks)
+    assert {b["lang"] for b in blocks} == {"en", "de", "fr", "und"} and sum(sum(b["counts"]) for b in blocks) == 6 * 400
+    many = spark.createDataFrame([(k, f"l{k % 50}", t) for k, _, t in rows], "doc_id long, lang string, text string").coalesce(1)
+    blocks = collocations.word_lists(many, 100).collect()
+    assert {b["lang"]: 0 for b in blocks} == {f"l{k}": 0 for k in range(50)} and sum(sum(b["counts"]) for b in blocks) == 6 * 400
+
+
+def test_numbers_go_back_to_their_block_packed(spark, monkeypatch):
+    """A block's numbers come back whole in one row, several parts of them if a task sends often, and take a few bytes."""
+    rng = np.random.default_rng(5)
+    want = {(b << 32) + 3: dict(zip(np.flatnonzero(rng.random(5000) < 0.6).tolist(), (rng.integers(0, 40_000, 5000) + (7 << 33)).tolist(), strict=False)) for b in range(9)}
+    rows = [(b, at, k) for b, x in want.items() for at, k in x.items()]
+    numbers = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "block long, at long, id long").repartition(3)
+    for held in (1 << 22, 2000):
+        monkeypatch.setattr(collocations, "HELD", held)
+        packed = collocations.packed_numbers(numbers, 4).collect()
+        assert held == 2000 or sum(len(r["numbers"]) for r in packed) < 5 * len(rows)
+        got = [(r["block"], [np.cumsum(x).tolist() for x in collocations._arrays(bytes(r["found"]))]) for r in collocations.found_by_block(collocations.packed_numbers(numbers, 4)).collect()]
+        assert len(got) == 9 and {b: dict(zip(*x, strict=True)) for b, x in got} == want
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_blocks_get_the_numbers_of_their_frequent_pairs(spark, monkeypatch, most):
+    """Asked and answered packed: with and without the filter, also if a task sends often, and parts without frequent pairs answer nothing."""
+    rng = np.random.default_rng(6)
+    blocks, held = [], {}
+    for b in range(6):
+        ids = np.unique(rng.integers(0, 400, 150)) + (1 << 33)
+        key = rng.integers(0, len(ids), 3000)
+        blocks.append((b, collocations._postings(np.arange(3000), key, ids)[0]))
+        held[b] = sorted(set(zip(ids[key[:-1]].tolist(), ids[key[1:]].tolist(), strict=True)))
+    kinds = sorted(set().union(*held.values()))
+    number = {kinds[k]: int(k) + (5 << 33) for k in rng.permutation(len(kinds))[: len(kinds) // 3]}
+    frequent = spark.createDataFrame([(*p, k) for p, k in number.items()], "first long, second long, id long").repartition(3)
+    lists = spark.createDataFrame(blocks, collocations.LISTS).coalesce(2)
+    for sent in (1 << 22, 1000):
+        monkeypatch.setattr(collocations, "HELD", sent)
+        asked = collocations.asked_pairs(lists, None, 4).collect()
+        assert sent == 1000 or sum(len(r["asked"]) for r in asked) < 8 * sum(map(len, held.values()))
+        numbers = collocations.pair_numbers(lists, frequent, most)
+        got = {r["block"]: [np.cumsum(x).tolist() for x in collocations._arrays(bytes(r["found"]))] for r in collocations.found_by_block(numbers).collect()}
+        assert {b: dict(zip(*x, strict=True)) for b, x in got.items()} == {b: {at: number[p] for at, p in enumerate(x) if p in number} for b, x in held.items()}
+    few = spark.createDataFrame([(*kinds[0], 9)], "first long, second long, id long")
+    assert {(r["block"], *(x[0] for x in collocations._arrays(bytes(r["found"])))) for r in collocations.found_by_block(collocations.pair_numbers(lists, few, most)).collect()} == {(b, x.index(kinds[0]), 9) for b, x in held.items() if kinds[0] in x}

@@ -9,9 +9,10 @@ frequent phrases of k - 1 words that it holds, exactly and without any hash.
 
 Only words or numbers with their counts are shuffled by phrase, numbers packed by part; the lists stay with their block, to
 which the numbers of its frequent phrases are joined, and only the lists of frequent phrases are kept.
-A phrase that every text has is one row a block, and texts of one language are as many blocks as they
+A phrase that every text has is one row a block, and a task's texts of one language are as many blocks as they
 fill. Before a block asks for numbers, a filter of the frequent phrases, as long as that is small,
-spares the shuffle most of those that are not; the join decides.
+spares the shuffle most of those that are not; the numbers themselves decide. Blocks ask for them, packed by part
+of the phrases, and the answers go back packed by block.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ LONGEST, LEAST = 4, 30
 REPLACED, TOP = 80, 2000
 #: Text of a block.
 BLOCK_BYTES = 4 << 20
+#: Blocks that a task fills at a time, one a language; beyond that the fullest is closed.
+OPEN_BLOCKS = 8
 #: Bytes that part words, and those that part pieces, which no phrase crosses.
 BLANKS, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = letters(BLANKS + STOPS)
@@ -41,7 +45,7 @@ _STOP = ~letters(STOPS)
 #: Frequent phrases of one length up to which a filter of them is sent to all tasks: 16 bytes each on the driver, 2 to 4 in a task.
 FILTERED = 1 << 22
 #: Pairs that a task holds before it sends them on, and blocks whose pairs, as many as they are, make a part of all pairs.
-HELD, PART_BLOCKS = 1 << 22, 16
+HELD, PART_BLOCKS = 1 << 22, 4
 #: Parts of a language in which its best phrases are looked for first.
 SALTS = 64
 
@@ -89,30 +93,50 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, lang, words, counts, lists): the postings of a block's words. A place is a word's number; each piece leaves one out."""
 
+    one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t) if t else v)
+
+    def listed(block: int, lang: str, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        runs = Runs(texts, _KIND)
+        if not len(runs.words):
+            return
+        stops = np.append(0, np.cumsum(_STOP[runs.low]))[runs.start]
+        text = runs.text_of()
+        cut = np.append(False, (stops[1:] != stops[:-1]) | (text[1:] != text[:-1]))
+        places = np.arange(len(cut)) + np.cumsum(cut)
+        coded = runs.words.dictionary_encode()
+        lists, counts = _postings(places, np.asarray(coded.indices), np.arange(len(coded.dictionary)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([lang]), one(coded.dictionary, None), one(counts, pa.int64()), pa.array([lists])],
+            names=["block", "lang", "words", "counts", "lists"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
+        held: dict[str, list[pa.Array]] = {}
+        size: dict[str, int] = {}
+
+        def closed(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block += 1
+            del size[lang]
+            return listed(block - 1, lang, pa.concat_arrays(held.pop(lang)))
+
         for batch in text_slices(batches, "text", block_bytes):
             langs = batch["lang"].dictionary_encode()
             which = np.asarray(langs.indices)
             for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch["text"] if len(langs.dictionary) == 1 else batch["text"].filter(pa.array(which == k))
-                runs = Runs(texts, _KIND)
-                if not len(runs.words):
-                    continue
-                stops = np.append(0, np.cumsum(_STOP[runs.low]))[runs.start]
-                text = runs.text_of()
-                cut = np.append(False, (stops[1:] != stops[:-1]) | (text[1:] != text[:-1]))
-                places = np.arange(len(cut)) + np.cumsum(cut)
-                coded = runs.words.dictionary_encode()
-                lists, counts = _postings(places, np.asarray(coded.indices), np.arange(len(coded.dictionary)))
-                one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t) if t else v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([lang]), one(coded.dictionary, None), one(counts, pa.int64()), pa.array([lists])],
-                    names=["block", "lang", "words", "counts", "lists"],
-                )
-                block += 1
+                texts = batch["text"].filter(pa.array(which == k))
+                n = pc.sum(pc.binary_length(texts)).as_py() or 0
+                if lang in held and size[lang] + n > block_bytes:
+                    yield from closed(lang)
+                held.setdefault(lang, []).append(texts)
+                size[lang] = size.get(lang, 0) + n
+            while sum(size.values()) > OPEN_BLOCKS * block_bytes:
+                yield from closed(max(size, key=size.get))
+        for lang in list(held):
+            yield from closed(lang)
 
     rows = columns_of(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     return arrow_map(rows, run, "block long, lang string, words array<string>, counts array<long>, lists binary")
@@ -137,29 +161,30 @@ def _extended(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 LISTS = "block long, lists binary"
 
 
-def _listed(block: pa.Array, places: np.ndarray, key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([block, pa.array([_postings(places, key, ids)[0]])], names=["block", "lists"])
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1)
 
 
+def _kept(block: pa.Array, places: np.ndarray, key: np.ndarray, n: int, found: bytes) -> pa.RecordBatch:
+    """Lists of those of ``n`` keys that ``found`` has numbers for; places ascend."""
+    at, ids = map(np.cumsum, _arrays(found))
+    order = np.argsort(ids)
+    number = np.full(n, -1, np.int64)
+    number[at[order]] = np.arange(len(at))
+    of = number[key]
+    on = of >= 0
+    return pa.RecordBatch.from_arrays([block, pa.array([_postings(places[on], of[on], ids[order])[0]])], names=["block", "lists"])
+
+
 def first_lists(blocks: DataFrame) -> DataFrame:
-    """Lists of a block's frequent words from those of all its words, with the numbers (at, id) of the frequent ones in ``found``."""
+    """Lists of a block's frequent words from those of all its words, with the numbers of the frequent ones in ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            (_, counts, places), found = _unpacked(row["lists"][0].as_py()), row["found"].flatten()
-            number = np.full(len(counts), -1, np.int64)
-            number[np.asarray(found.field("at"))] = np.asarray(found.field("id"))
-            of = np.repeat(number, counts)
-            places, of = places[of >= 0], of[of >= 0]
-            ids, key = np.unique(of, return_inverse=True)
-            order = np.argsort(places)
-            yield _listed(row["block"], places[order], key[order], ids)
+            ids, places, of = _occurrences(row)
+            yield _kept(row["block"], places, of, len(ids), row["found"][0].as_py())
 
     return arrow_map(blocks, run, LISTS)
 
@@ -180,6 +205,13 @@ def _part_of(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
     return ((z >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def _by_part(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Parts, and what belongs to each as steps of the columns, in the order given."""
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    return names, [_squeezed(*(np.diff(x[on], prepend=0) for x in columns)) for on in np.split(order, starts[1:])]
+
+
 def pair_counts(lists: DataFrame, parts: int) -> DataFrame:
     """(part, pairs): first, second and count of each phrase that is a word longer than a block's, packed by part, each pair in one part."""
 
@@ -209,9 +241,13 @@ def pair_counts(lists: DataFrame, parts: int) -> DataFrame:
     return arrow_map(lists, run, "part int, pairs binary")
 
 
+def _parts(lists: DataFrame) -> int:
+    return max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count() // PART_BLOCKS)
+
+
 def frequent_pairs(lists: DataFrame, least: int) -> DataFrame:
     """(first, second, f) of the phrases a word longer than those of ``lists`` that occur ``least`` times or more."""
-    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count() // PART_BLOCKS)
+    parts = _parts(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -260,40 +296,158 @@ def pair_filter(frequent: DataFrame, most: int = FILTERED) -> np.ndarray | None:
     return np.packbits(out, bitorder="little")
 
 
-def asked_pairs(lists: DataFrame, allowed: np.ndarray | None) -> DataFrame:
-    """(block, first, second) of the phrases that ``pair_counts`` packs and the filter does not rule out."""
+def asked_pairs(lists: DataFrame, allowed: np.ndarray | None, parts: int) -> DataFrame:
+    """(part, asked): block, at, first and second of the phrases that ``pair_counts`` packs and the filter does not rule out, packed by part.
+
+    at is the phrase's place among those of the block, in order.
+    """
     on = None if allowed is None else lists.sparkSession.sparkContext.broadcast(allowed)
 
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, at, first, second = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, bodies = _by_part(_part_of(first, second, parts), block, at, first, second)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "asked"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for row in _rows(batches):
             ids, _, key = _extended(row)
             pairs = np.unique(key)
-            first, second = ids[pairs // len(ids)], ids[pairs % len(ids)]
+            at, first, second = np.arange(len(pairs)), ids[pairs // len(ids)], ids[pairs % len(ids)]
             if on is not None:
                 table = on.value
-                keep = np.logical_and.reduce([table[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _spots(first, second, len(table).bit_length() + 2)])
-                first, second = first[keep], second[keep]
-            block = np.full(len(first), row["block"][0].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, first, second)], names=["block", "first", "second"])
+                keep = np.logical_and.reduce([table[x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in _spots(first, second, len(table).bit_length() + 2)]) == 1
+                at, first, second = at[keep], first[keep], second[keep]
+            if len(at):
+                held.append((np.full(len(at), row["block"][0].as_py(), np.int64), at, first, second))
+                size += len(at)
+            if size > HELD:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return arrow_map(lists, run, "part int, asked binary")
+
+
+def _by_block(block: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((at, block))
+    return block[order], at[order], ids[order]
+
+
+def _dealt(numbers: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, numbers) of blocks, places and ids: packed by part, all of a block in one part."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, at, ids = _by_block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        names, bodies = _by_part(_part_of(block, np.zeros_like(block), parts), block, at, ids)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "numbers"])
+
+    held, size = [], 0
+    for some in numbers:
+        if len(some[0]):
+            held.append(some)
+            size += len(some[0])
+        if size > HELD:
+            yield packed(held)
+            held, size = [], 0
+    if held:
+        yield packed(held)
+
+
+DEALT = "part int, numbers binary"
+
+
+def packed_numbers(numbers: DataFrame, parts: int) -> DataFrame:
+    """The numbers (block, at, id) packed by part; all of a block are in one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt((tuple(np.asarray(batch[c]) for c in ("block", "at", "id")) for batch in batches), parts)
+
+    return arrow_map(numbers.select("block", "at", "id"), run, DEALT)
+
+
+def pair_numbers(lists: DataFrame, frequent: DataFrame, most: int = FILTERED) -> DataFrame:
+    """As ``packed_numbers``, the numbers of the frequent pairs (first, second, id) for the blocks of ``lists`` that hold them."""
+    parts, back = _parts(lists), int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                first, second, ids = (np.asarray(batch[c]) for c in ("first", "second", "id"))
+                names, bodies = _by_part(_part_of(first, second, parts), first, second, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "pairs"])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        now, told, known = None, [], None
+        for row in _rows(batches):
+            part, pairs, asked = (row[c][0].as_py() for c in ("part", "pairs", "asked"))
+            if part != now:
+                now, told, known = part, [], None
+            if pairs is not None:  # those of a part come before what is asked of it
+                told.append([np.cumsum(x) for x in _arrays(pairs)])
+                continue
+            if not told:
+                continue
+            if known is None:
+                first, second, ids = (np.concatenate(x) for x in zip(*told, strict=True))
+                firsts, seconds = np.unique(first), np.unique(second)
+                code = np.searchsorted(firsts, first) * len(seconds) + np.searchsorted(seconds, second)
+                order = np.argsort(code)
+                known = firsts, seconds, code[order], ids[order]
+            firsts, seconds, code, ids = known
+            block, at, first, second = (np.cumsum(x) for x in _arrays(asked))
+            i = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
+            j = np.minimum(np.searchsorted(seconds, second), len(seconds) - 1)
+            want = i * len(seconds) + j
+            k = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = (firsts[i] == first) & (seconds[j] == second) & (code[k] == want)
+            yield block[hit], at[hit], ids[k[hit]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt(answers(batches), back)
+
+    none = F.lit(None).cast("binary")
+    told = arrow_map(frequent.select("first", "second", "id"), pack, "part int, pairs binary").withColumn("asked", none)
+    asked = asked_pairs(lists, pair_filter(frequent, most), parts).withColumn("pairs", none)
+    dealt = told.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("pairs").isNull())
+    return arrow_map(dealt, run, DEALT)
+
+
+def found_by_block(packed: DataFrame) -> DataFrame:
+    """(block, found): the numbers of a block's phrases, from those packed by part, as steps of at and id."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        block, at, ids = _by_block(*map(np.concatenate, zip(*([np.cumsum(x) for x in steps] for steps in held), strict=True)))
+        starts = np.nonzero(np.append(True, block[1:] != block[:-1]))[0]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+            found = _squeezed(*(np.diff(x[a:b], prepend=0) for x in (at, ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([found], pa.binary())], names=["block", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for row in _rows(batches):
+            part = row["part"][0].as_py()
+            if part != now and held:
+                yield from told(held)
+                held = []
+            now = part
+            held.append(_arrays(row["numbers"][0].as_py()))
+        if held:
+            yield from told(held)
 
-    return arrow_map(lists, run, "block long, first long, second long")
+    return arrow_map(packed.repartition(parts, "part").sortWithinPartitions("part"), run, "block long, found binary")
 
 
 def longer_lists(lists: DataFrame) -> DataFrame:
-    """Lists of the frequent phrases that are a word longer; ``found`` has those of the block (first, second, id)."""
+    """Lists of the frequent phrases that are a word longer; ``found`` has the numbers of those of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, places, key = _extended(row)
-            found = row["found"].flatten()
-            first, second, number = (np.asarray(found.field(c)) for c in ("first", "second", "id"))
-            code = np.searchsorted(ids, first) * len(ids) + np.searchsorted(ids, second)
-            order = np.argsort(code)
-            code, number = code[order], number[order]
-            at = np.minimum(np.searchsorted(code, key), len(code) - 1)
-            hit = code[at] == key
-            new, of = np.unique(number[at[hit]], return_inverse=True)
-            yield _listed(row["block"], places[hit], of, new)
+            _, places, key = _extended(row)
+            pairs, of = np.unique(key, return_inverse=True)
+            yield _kept(row["block"], places, of, len(pairs), row["found"][0].as_py())
 
     return arrow_map(lists, run, LISTS)
 
@@ -312,7 +466,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     total = written(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     frequent = _numbered(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases1")
-    found = written(each.join(frequent, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")), "found1", "zstd")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(found_by_block(packed_numbers(each.drop("n").join(frequent, ["lang", "word"]), parts)), "found1")
     lists = written(first_lists(blocks.select("block", "lists").join(found, "block")), "lists1")
     for used in (blocks, found):
         drop_written(used)
@@ -328,9 +483,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         grown = grown.select("id", "lang", F.concat("_a", F.array("_b")).alias("words"), "f", "first", "second", F.concat("pre", f).alias("pre"), F.concat("suf", f).alias("suf"))
         levels.append(written(grown, f"described{k}"))
         if k < longest:
-            asked = asked_pairs(lists, pair_filter(frequent))
-            numbers = asked.join(frequent.select("first", "second", "id"), ["first", "second"])
-            found = written(numbers.groupBy("block").agg(F.collect_list(F.struct("first", "second", "id")).alias("found")), f"found{k}", "zstd")
+            found = written(found_by_block(pair_numbers(lists, frequent)), f"found{k}")
             before, lists = lists, written(longer_lists(lists.join(found, "block")), f"lists{k}")
             for used in (before, found):
                 drop_written(used)
